@@ -1,0 +1,222 @@
+"""Cases with an exact, ordered list of changes: sites, roles, device types, devices, interfaces."""
+
+import pytest
+
+from tests.helpers import UNDEFINED, changes_of, key, run
+
+SITE_U = {"id": 1, **UNDEFINED, "status": "active"}
+MAKER_U = {"id": 1, **UNDEFINED}
+ROLE_U = {"id": 1, **UNDEFINED, "color": "000000"}
+TYPE_U = {"id": 1, "model": "undefined", "slug": "undefined", "manufacturer": MAKER_U}
+
+
+def site(name, **more):
+    return {"name": name, **more}
+
+
+def test_site_is_created_with_default_status(spark):
+    got = changes_of(run(spark, [{"site": {"name": "Site A"}}]))
+    assert got == [("create", "dcim.site", {"name": "Site A", "slug": "site-a", "status": "active"})]
+
+
+def test_known_site_without_news(spark):
+    state = [("dcim.site", "Site A", {"id": 1, "name": "Site A", "slug": "site-a",
+                                      "status": {"value": "active", "label": "Active"}})]
+    result = run(spark, [{"site": {"name": "Site A"}}], state)
+    assert changes_of(result) == []
+    assert [r["state"] for r in result.log.collect()] == ["NO_CHANGES"]
+
+
+def test_site_tags_keep_their_order(spark):
+    t1, t3 = {"id": 1, "name": "tag 1", "slug": "tag-1"}, {"id": 3, "name": "tag 3", "slug": "tag-3"}
+    state = [
+        ("dcim.site", "Site A", {"id": 1, "name": "Site A", "slug": "site-a", "status": "active",
+                                 "tags": [t1, t3]}),
+        ("extras.tag", "tag 1", t1),
+    ]
+    got = changes_of(run(spark, [{"site": {"name": "Site A", "tags": [{"name": "tag 1"}, {"name": "tag 2"}]}}], state))
+    assert got == [
+        ("create", "extras.tag", {"name": "tag 2", "slug": "tag-2"}),
+        ("update", "dcim.site", {"id": 1, "name": "Site A", "slug": "site-a", "status": "active",
+                                 "tags": [t1, t3, {"name": "tag 2", "slug": "tag-2"}]}),
+    ]
+
+
+@pytest.mark.parametrize("entity", [
+    {"site": {"name": ""}}, {"device_role": {"name": ""}}, {"manufacturer": {}},
+    {"device_type": {"model": ""}}, {"device": {"name": ""}}, {"platform": {"name": ""}},
+    {"interface": {"name": ""}}, {"ip_address": {"address": ""}}, {"prefix": {"prefix": ""}},
+    {"cluster_group": {"name": ""}}, {"cluster_type": {"name": ""}}, {"cluster": {"name": ""}},
+    {"virtual_machine": {"name": ""}}, {"vminterface": {"name": ""}}, {"virtual_disk": {"name": ""}},
+])
+def test_blank_root_fails(spark, entity):
+    result = run(spark, [entity])
+    assert changes_of(result) == []
+    log = result.log.collect()
+    assert [r["state"] for r in log] == ["FAILED"]
+    assert log[0]["error"]["message"] == "failed to prepare change set: invalid ingest entity"
+    assert log[0]["error"]["code"] == 0
+    assert result.rejects.count() == 1
+
+
+def test_role_description_updates_and_color_is_carried(spark):
+    state = [("dcim.devicerole", "WAN Router", {"id": 1, "name": "WAN Router", "slug": "wan-router",
+                                                "color": "111111"})]
+    got = changes_of(run(spark, [{"device_role": {"name": "WAN Router", "description": "new"}}], state))
+    assert got == [("update", "dcim.devicerole", {"id": 1, "name": "WAN Router", "slug": "wan-router",
+                                                  "color": "111111", "description": "new"})]
+    assert changes_of(run(spark, [{"device_role": {"name": "WAN Router", "color": "111111"}}], state)) == []
+
+
+def test_device_type_with_model_only(spark):
+    got = changes_of(run(spark, [{"device_type": {"model": "ISR4321"}}]))
+    assert got == [
+        ("create", "dcim.manufacturer", UNDEFINED),
+        ("create", "dcim.devicetype", {"model": "ISR4321", "slug": "isr4321", "manufacturer": UNDEFINED}),
+    ]
+
+
+def test_device_type_tags_come_before_its_manufacturer(spark):
+    got = changes_of(run(spark, [{"device_type": {
+        "model": "ISR4321", "manufacturer": {"name": "Cisco", "tags": [{"name": "m"}]},
+        "description": "d", "part_number": "xyz123", "tags": [{"name": "t"}]}}]))
+    assert [(o, d["name"] if "name" in d else d["model"]) for _, o, d in got] == [
+        ("extras.tag", "t"), ("extras.tag", "m"), ("dcim.manufacturer", "Cisco"),
+        ("dcim.devicetype", "ISR4321")]
+    assert got[-1][2]["manufacturer"] == {"name": "Cisco", "slug": "cisco"}
+
+
+def test_device_type_moves_to_a_known_manufacturer(spark):
+    cisco, dell = {"id": 1, "name": "Cisco", "slug": "cisco"}, {"id": 2, "name": "Dell", "slug": "dell"}
+    state = [
+        ("dcim.manufacturer", "Dell", dell),
+        ("dcim.devicetype", key("ISR4321", "Dell"), {"id": 1, "model": "ISR4321", "slug": "isr4321",
+                                                     "manufacturer": cisco}),
+    ]
+    got = changes_of(run(spark, [{"device_type": {"model": "ISR4321", "manufacturer": {"name": "Dell"}}}], state))
+    assert got == [("update", "dcim.devicetype", {"id": 1, "model": "ISR4321", "slug": "isr4321",
+                                                  "manufacturer": {"id": 2}})]
+
+
+def test_device_with_name_only_brings_placeholders(spark):
+    got = changes_of(run(spark, [{"device": {"name": "router01"}}]))
+    maker = UNDEFINED
+    kind = {"model": "undefined", "slug": "undefined", "manufacturer": maker}
+    role = {**UNDEFINED, "color": "000000"}
+    place = {**UNDEFINED, "status": "active"}
+    assert got == [
+        ("create", "dcim.site", place), ("create", "dcim.manufacturer", maker),
+        ("create", "dcim.devicetype", kind), ("create", "dcim.devicerole", role),
+        ("create", "dcim.device", {"name": "router01", "site": place, "device_type": kind,
+                                   "role": role, "status": "active"}),
+    ]
+
+
+DEVICE_STATE = [
+    ("dcim.site", "undefined", SITE_U), ("dcim.manufacturer", "undefined", MAKER_U),
+    ("dcim.devicetype", key("undefined", "undefined"), TYPE_U), ("dcim.devicerole", "undefined", ROLE_U),
+]
+
+
+@pytest.mark.parametrize("device", [{"name": "router01"}, {"name": "router01", "site": {"name": ""}}])
+def test_known_device_without_news(spark, device):
+    state = [*DEVICE_STATE, ("dcim.device", key("router01", "undefined"), {
+        "id": 1, "name": "router01", "site": SITE_U, "device_type": TYPE_U, "role": ROLE_U, "status": "active"})]
+    assert changes_of(run(spark, [{"device": device}], state)) == []
+
+
+def test_known_device_gets_its_missing_parents(spark):
+    lorem = "Lorem ipsum dolor sit amet, consectetur adipiscing elit."
+    state = [
+        ("dcim.manufacturer", "undefined", MAKER_U),
+        ("extras.tag", "tag 1", {"id": 1, "name": "tag 1", "slug": "tag-1"}),
+        ("dcim.device", key("router01", "Site A"), {
+            "id": 1, "name": "router01",
+            "site": {"id": 1, "name": "Site B", "slug": "site-b", "status": "active"},
+            "device_type": {"id": 1, "model": "ISR4322", "slug": "isr4322", "manufacturer": MAKER_U},
+            "role": ROLE_U, "platform": {"id": 1, **UNDEFINED, "manufacturer": MAKER_U},
+            "status": "active", "description": lorem, "serial": "123456"}),
+    ]
+    # The inventory does not know this role, so only the embedded one has the name "undefined".
+    got = changes_of(run(spark, [{"device": {
+        "name": "router01", "device_type": {"model": "ISR4321"}, "role": {"name": "WAN Router"},
+        "site": {"name": "Site A"}, "status": "active", "description": lorem, "serial": "123456",
+        "tags": [{"name": "tag 1"}]}}], state))
+    place = {"name": "Site A", "slug": "site-a", "status": "active"}
+    kind = {"model": "ISR4321", "slug": "isr4321", "manufacturer": {"id": 1}}
+    role = {"name": "WAN Router", "slug": "wan-router", "color": "000000"}
+    assert got == [
+        ("create", "dcim.site", place), ("create", "dcim.devicetype", kind),
+        ("create", "dcim.devicerole", role),
+        ("update", "dcim.device", {
+            "id": 1, "name": "router01", "site": place, "device_type": kind, "role": role,
+            "platform": {"id": 1}, "status": "active", "description": lorem, "serial": "123456",
+            "tags": [{"id": 1, "name": "tag 1", "slug": "tag-1"}]}),
+    ]
+
+
+def test_placeholder_parent_does_not_replace_a_real_one(spark):
+    cisco = {"id": 7, "name": "Cisco", "slug": "cisco"}
+    kind = {"id": 8, "model": "ISR4321", "slug": "isr4321", "manufacturer": cisco}
+    role = {"id": 9, "name": "WAN Router", "slug": "wan-router", "color": "111111"}
+    state = [("dcim.device", key("router01", "Site A"), {
+        "id": 1, "name": "router01", "site": {"id": 2, "name": "Site A", "slug": "site-a", "status": "active"},
+        "device_type": kind, "role": role, "status": "active", "platform": {"id": 5, "name": "ios", "slug": "ios"}})]
+    assert changes_of(run(spark, [{"device": {"name": "router01", "site": {"name": "Site A"}}}], state)) == []
+    got = changes_of(run(spark, [{"device": {"name": "router01", "site": {"name": "Site A"}, "serial": "1"}}], state))
+    assert got == [("update", "dcim.device", {
+        "id": 1, "name": "router01", "site": {"id": 2}, "device_type": {"id": 8}, "role": {"id": 9},
+        "platform": {"id": 5}, "status": "active", "serial": "1"})]
+
+
+def test_changed_parent_is_embedded_and_the_holder_updated(spark):
+    place = {"id": 2, "name": "Site A", "slug": "site-a", "status": "active"}
+    state = [*DEVICE_STATE, ("dcim.site", "Site A", place), ("dcim.device", key("router01", "Site A"), {
+        "id": 1, "name": "router01", "site": place, "device_type": TYPE_U, "role": ROLE_U, "status": "active"})]
+    got = changes_of(run(spark, [{"device": {"name": "router01", "site": {"name": "Site A", "facility": "F1"}}}], state))
+    new = {**place, "facility": "F1"}
+    assert got == [("update", "dcim.site", new), ("update", "dcim.device", {
+        "id": 1, "name": "router01", "site": new, "device_type": {"id": 1}, "role": {"id": 1}, "status": "active"})]
+
+
+def test_placeholder_site_forces_its_status(spark):
+    retired = {**SITE_U, "status": "retired"}
+    state = [("dcim.site", "undefined", retired),
+             ("ipam.prefix", "10.0.0.0/8", {"id": 4, "prefix": "10.0.0.0/8", "site": retired, "status": "active"})]
+    got = changes_of(run(spark, [{"prefix": {"prefix": "10.0.0.0/8"}}], state))
+    assert got == [("update", "dcim.site", SITE_U),
+                   ("update", "ipam.prefix", {"id": 4, "prefix": "10.0.0.0/8", "site": SITE_U, "status": "active"})]
+
+
+def test_interface_with_name_only(spark):
+    got = changes_of(run(spark, [{"interface": {"name": "GigabitEthernet0/0/0", "tags": [{"name": "t"}]}}]))
+    assert [o for _, o, _ in got] == [
+        "extras.tag", "dcim.site", "dcim.platform", "dcim.manufacturer", "dcim.devicetype",
+        "dcim.devicerole", "dcim.device", "dcim.interface"]
+    last = got[-1][2]
+    assert last["type"] == "other" and last["device"]["name"] == "undefined"
+    assert last["device"]["platform"] == UNDEFINED
+    assert last["tags"] == [{"name": "t", "slug": "t"}]
+
+
+INTERFACE_DEVICE = {"id": 1, "name": "router01", "site": SITE_U, "device_type": TYPE_U, "role": ROLE_U,
+                    "status": "active"}
+INTERFACE_STATE = [
+    *DEVICE_STATE, ("dcim.device", key("router01", "undefined"), INTERFACE_DEVICE),
+    ("dcim.interface", key("eth0", "router01", "undefined"), {
+        "id": 1, "name": "eth0", "device": INTERFACE_DEVICE, "type": "other", "mtu": 1500, "enabled": True}),
+]
+
+
+def test_interface_same_and_new_label(spark):
+    seen = {"name": "eth0", "device": {"name": "router01"}}
+    assert changes_of(run(spark, [{"interface": seen}], INTERFACE_STATE)) == []
+    got = changes_of(run(spark, [{"interface": {**seen, "label": "up", "enabled": False}}], INTERFACE_STATE))
+    assert got == [("update", "dcim.interface", {
+        "id": 1, "name": "eth0", "device": {"id": 1}, "type": "other", "mtu": 1500, "enabled": False, "label": "up"})]
+
+
+@pytest.mark.parametrize("bad", [{"type": "laser"}, {"mode": "sideways"}])
+def test_interface_enumerations(spark, bad):
+    result = run(spark, [{"interface": {"name": "eth0", **bad}}])
+    assert changes_of(result) == [] and result.log.first()["state"] == "FAILED"
