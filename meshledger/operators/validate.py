@@ -237,6 +237,19 @@ def nested_objects(entity: Column) -> list[tuple[str, str, Column]]:
     return found
 
 
+def _tag_rule(field_name: str, low: int, high: int, pattern: str | None = None):
+    def broken(tag: Column) -> Column:
+        text = F.coalesce(tag[field_name], F.lit(""))
+        size = (F.length(text) < low) | (F.length(text) > high)
+        return size if pattern is None else size | ~text.rlike(pattern)
+
+    return broken
+
+
+_TAG_RULES = {"name": _tag_rule("name", 1, 100), "slug": _tag_rule("slug", 1, 100, "^[-a-zA-Z0-9_]+$"),
+              "color": _tag_rule("color", 6, 6, "^[0-9a-f]{6}$")}
+
+
 def entity_violations(entity: Column, nested: bool = True) -> Column:
     """Every violated constraint of an entity as ``path.field: rule`` texts."""
     rules = constraint_rules()
@@ -253,19 +266,11 @@ def entity_violations(entity: Column, nested: bool = True) -> Column:
             checks.append(F.when(value.isNotNull() & _violated(read, rule, argument),
                                  F.lit(f"{path}.{field_name}: {rule}")))
     checks.append(F.when(entity["timestamp"].isNull(), F.lit("timestamp: required")))
-    tag_rules = (("name", 100, None), ("slug", 100, "^[-a-zA-Z0-9_]+$"), ("color", 6, "^[0-9a-f]{6}$"))
     tag_checks = []
     for path, name, value in nested_objects(entity):
         if not nested and path != name:
             continue
-        for field_name, high, pattern in tag_rules:
-            low = 6 if field_name == "color" else 1
-
-            def broken(tag, field_name=field_name, high=high, low=low, pattern=pattern):
-                text = F.coalesce(tag[field_name], F.lit(""))
-                size_bad = (F.length(text) < low) | (F.length(text) > high)
-                return size_bad if pattern is None else size_bad | ~text.rlike(pattern)
-
+        for field_name, broken in _TAG_RULES.items():
             tag_checks.append(F.when(F.exists(value["tags"], broken), F.lit(f"{path}.tags.{field_name}")))
     return F.array_compact(F.array(*checks, *tag_checks))
 
