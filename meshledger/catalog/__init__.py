@@ -1 +1,6 @@
+"""Named queries over the given tables, each with the SQL that states the same result."""
 
+from meshledger.catalog import ingest, jobs, logs, state
+from meshledger.catalog.observe import REGISTRY
+
+__all__ = ["REGISTRY", "ingest", "jobs", "logs", "state"]

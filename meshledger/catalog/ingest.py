@@ -17,6 +17,7 @@ from meshledger.operators.validate import (
     root_error, source_request_error, virtualization_status_error,
 )
 from meshledger.plans.constraints import check_constraints
+from meshledger.session import stage
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -159,7 +160,7 @@ def constraint_violations(spark, folder):
         "model": F.when(k % 5 == 0, F.repeat(F.lit("m"), 101)).otherwise("m"), "slug": F.col("p_name"),
         "part_number": F.when(k % 4 == 0, F.repeat(F.lit("n"), 51)).otherwise("n"),
         "manufacturer": {"name": F.col("p_brand")}})
-    found = check_constraints(as_requests(table(spark, folder, "part"), k, F.array(seen)))
+    found = check_constraints(as_requests(table(spark, folder, "part"), k, F.array(seen)), ("device_type",))
     return found.groupBy(F.substring("id", 2, 20).cast("bigint").alias("p_partkey")).agg(
         F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
 
@@ -211,6 +212,11 @@ def nodes_of(requests):
     return flatten(without_kept(add_keys(lay_out(roots))))
 
 
+def staged_nodes(requests):
+    """Nodes written once, for the steps that read them several times."""
+    return stage(nodes_of(requests))
+
+
 INTERFACE_SQL = """
 WITH o AS (SELECT o_orderkey AS k, 'if' || (o_orderkey % 4) AS ifname,
     (o_orderkey % 3 = 0 AND o_orderkey % 9 != 0) AS has_device,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meshledger.catalog.ingest import nodes_of
+from meshledger.catalog.ingest import nodes_of, staged_nodes
 from meshledger.catalog.observe import arrival, as_requests, entity, only_if, query, shown, table, tag
 from meshledger.functions.scalars import key_part, natural_key, scoped_identity
 from meshledger.operators.carry import add_chunks, carry_forward
@@ -113,24 +113,24 @@ RUNNING_SQL = """
 WITH d AS (SELECT doc_id, source || (doc_id % 4) AS site, lang, 'len' || (n_chars % 5) AS band FROM documents),
 l AS (SELECT doc_id, site, lang AS tag, 0 AS pos FROM d UNION ALL SELECT doc_id, site, band, 1 FROM d),
 seen AS (SELECT tag, min(doc_id) AS first FROM l GROUP BY 1),
-att AS (SELECT site, tag, min(doc_id) AS at, arg_min(pos, doc_id) AS pos FROM l GROUP BY 1, 2),
-a AS (SELECT site, att.tag, at, pos, at = first AS is_new FROM att JOIN seen USING (tag))"""
+att AS (SELECT site, tag, min(doc_id) AS doc, arg_min(pos, doc_id) AS pos FROM l GROUP BY 1, 2),
+a AS (SELECT site, att.tag, doc, pos, doc = first AS is_new FROM att JOIN seen USING (tag))"""
 
 
 @query("running_tags", RUNNING_SQL + """
-SELECT doc_id, string_agg(tag, ',' ORDER BY at, is_new, pos) AS tags
-FROM d JOIN a ON a.site = d.site AND a.at <= d.doc_id GROUP BY 1""")
+SELECT doc_id, string_agg(tag, ',' ORDER BY doc, is_new, pos) AS tags
+FROM d JOIN a ON a.site = d.site AND a.doc <= d.doc_id GROUP BY 1""")
 def running_tags(spark, folder):
     """Tags of a site after each observation: earlier ones, then the known, then the new."""
-    folded = fold_observations(nodes_of(tagged_documents(spark, folder)), empty_state(spark))
+    folded = fold_observations(staged_nodes(tagged_documents(spark, folder)), empty_state(spark))
     return folded.select(arrival().alias("doc_id"),
                          F.array_join(F.transform("record.tags", lambda t: t["name"]), ",").alias("tags"))
 
 
 @query("new_tags", RUNNING_SQL + """
-SELECT at AS doc_id, tag FROM a WHERE is_new""")
+SELECT doc AS doc_id, tag FROM a WHERE is_new""")
 def new_tags_query(spark, folder):
-    folded = fold_observations(nodes_of(tagged_documents(spark, folder)), empty_state(spark))
+    folded = fold_observations(staged_nodes(tagged_documents(spark, folder)), empty_state(spark))
     return folded.select(arrival().alias("doc_id"), F.explode("tags_new.name").alias("tag"))
 
 
@@ -214,7 +214,7 @@ SELECT k AS o_orderkey, CASE WHEN nth = 1 THEN 'create'
   ELSE 'none' END AS change FROM p""")
 def change_detect(spark, folder):
     """A carried description, and a size that is compared as observed."""
-    folded = fold_observations(nodes_of(observed_disks(spark, folder)), empty_state(spark))
+    folded = fold_observations(staged_nodes(observed_disks(spark, folder)), empty_state(spark))
     change = F.when(F.col("created"), "create").when(F.col("fields_differ"), "update").otherwise("none")
     return folded.where("slot = 'virtual_disk'").select(arrival().alias("o_orderkey"), change.alias("change"))
 
@@ -224,7 +224,7 @@ SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'planned' ELSE 'active' END A
 def default_fill(spark, folder):
     status = F.when(F.col("c_custkey") % 4 == 0, "planned").otherwise("")
     seen = entity(site={"name": F.col("c_name"), "status": status})
-    nodes = nodes_of(as_requests(table(spark, folder, "customer"), F.col("c_custkey"), F.array(seen)))
+    nodes = staged_nodes(as_requests(table(spark, folder, "customer"), F.col("c_custkey"), F.array(seen)))
     return fold_observations(nodes, empty_state(spark)).select(
         arrival().alias("c_custkey"), F.col("record.status").alias("status"))
 
@@ -233,7 +233,7 @@ def default_fill(spark, folder):
 def first_creator(spark, folder):
     """An object new in several roots is created by the earliest."""
     seen = entity(device_role={"name": F.col("o_orderpriority")})
-    nodes = nodes_of(as_requests(table(spark, folder, "orders"), F.col("o_orderkey"), F.array(seen)))
+    nodes = staged_nodes(as_requests(table(spark, folder, "orders"), F.col("o_orderkey"), F.array(seen)))
     return fold_observations(nodes, empty_state(spark)).where("created").select(
         F.col("object_key").alias("name"), arrival().alias("o_orderkey"))
 
@@ -250,7 +250,7 @@ def snapshot_union(spark, folder):
                         status=F.lit("active"), description=text("n_regionkey", "region "))
     rows = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     seen = entity(site={"name": F.col("n_name"), "description": F.when(F.col("s_suppkey") % 3 == 0, text("s_suppkey", "d"))})
-    nodes = nodes_of(as_requests(rows, F.col("s_suppkey"), F.array(seen)))
+    nodes = staged_nodes(as_requests(rows, F.col("s_suppkey"), F.array(seen)))
     return fold_observations(nodes, state).select(arrival().alias("s_suppkey"), "object_id",
                                                   F.col("record.description").alias("description"))
 
@@ -270,5 +270,5 @@ def wrap_state_query(spark, folder):
                                 F.struct(F.lit("staged").alias("value")).alias("status"), site.alias("site")))
     raw = s.select(F.lit("virtualization.cluster").alias("object_type"), (F.col("s_suppkey") + 1).alias("object_id"),
                    F.when(F.col("s_suppkey") % 2 == 0, choice).otherwise(plain).alias("object"))
-    return wrap_state(raw).select("object_type", shown().alias("object_key"), "object_id", "status",
+    return wrap_state(raw, ("virtualization.cluster",)).select("object_type", shown().alias("object_key"), "object_id", "status",
                                   F.col("ref_site").alias("site"))

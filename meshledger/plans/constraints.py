@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.operators.flatten import explode_entities
+from meshledger.registry import BY_ENTITY
 from meshledger.operators.validate import entity_violations, request_violations
 
 
-def check_constraints(requests: DataFrame) -> DataFrame:
+def check_constraints(requests: DataFrame, kinds: tuple[str, ...] = tuple(BY_ENTITY)) -> DataFrame:
     """(id, position, violation) with position null for the request itself."""
     own = requests.select("id", F.lit(None).cast("int").alias("position"),
                           F.explode(request_violations()).alias("violation"))
     entities = explode_entities(requests).where(F.col("entity").isNotNull())
-    inner = entities.select("id", "position", F.explode(entity_violations(F.col("entity"))).alias("violation"))
+    inner = entities.select("id", "position", F.explode(entity_violations(kinds)).alias("violation"))
     return own.unionByName(inner)

@@ -43,9 +43,17 @@ def find_changes(roots: DataFrame, state: DataFrame, hot_rows: int | None = HOT_
     counts per key all read them, and a lost executor then costs one stage, not the whole lineage.
     """
     keyed = stage(keyed_roots(roots))
-    resolved = resolve_parents(keyed, state, hot_rows)
+    resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows))
     nodes = stage(flatten(apply_resolution(keyed, resolved)))
-    return decide(fold_observations(nodes, state, hot_rows))
+    return decide(fold_observations(nodes, state, limit_for(nodes, hot_rows)))
+
+
+def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
+    """No key of a table can have more rows than the table: then nothing has to be counted by key.
+
+    The table is staged, so its number of rows comes from the file footers.
+    """
+    return hot_rows if hot_rows is not None and staged.count() > hot_rows else None
 
 
 def reconcile(requests: DataFrame, state: DataFrame, responses: DataFrame | None = None,

@@ -128,13 +128,15 @@ def _tree(type_name: str, value: Column, level: int, key: Column | None = None)
     return rows
 
 
-def wrap_state(raw: DataFrame) -> DataFrame:
+def wrap_state(raw: DataFrame, types: tuple[str, ...] = (TAG_TYPE, *TYPES)) -> DataFrame:
     """Typed state rows from raw rows (object_type, object_id, object JSON[, lookup_key]).
 
+    ``types`` names the object types the rows can have; fewer types make a smaller plan.
+
     Objects embedded in others become rows as well; a row of an object's own wins over them.
     """
     lookup = F.col("lookup_key") if "lookup_key" in raw.columns else None
-    names = (TAG_TYPE, *TYPES)
+    names = types
     text = snake_case_link(F.col("object"))
     parsed = raw.select("*", *[
         F.from_json(F.when(F.col("object_type") == n, text), raw_schema(n)).alias("o_" + n.replace(".", "_"))
