@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meshledger.plans.reconcile import reconcile
 from meshledger.registry import SEPARATOR
 from meshledger.schemas import REQUEST
+from meshledger.session import stage
 from meshledger.sources.state import empty_state, wrap_state
 
 UNDEFINED = {"name": "undefined", "slug": "undefined"}
@@ -34,14 +35,21 @@ def stored(spark, objects):
     if not objects:
         return empty_state(spark)
     rows = [(t, o.get("id"), json.dumps(o), k) for t, k, o in objects]
-    return wrap_state(spark.createDataFrame(
-        rows, "object_type string, object_id bigint, object string, lookup_key string"))
+    frame = spark.createDataFrame(rows, "object_type string, object_id bigint, object string, lookup_key string")
+    return stage(wrap_state(frame, tuple(sorted({t for t, _, _ in objects}))))
 
 
 def run(spark, entities, objects=(), **options):
     return reconcile(requests(spark, entities), stored(spark, list(objects)), **options)
 
 
+def changes_by_position(result):
+    """Changes of every entity of a single request, in order: position -> [(type, object type, data)]."""
+    found = {}
+    for r in result.changes.orderBy("seq", "ord").collect():
+        found.setdefault(int(r["seq"][-9:]), []).append((r["change_type"], r["object_type"], json.loads(r["data"])))
+    return found
+
+
 def changes_of(result):
-    rows = result.changes.orderBy("seq", "ord").collect()
-    return [(r["change_type"], r["object_type"], json.loads(r["data"])) for r in rows]
+    return [c for _, cs in sorted(changes_by_position(result).items()) for c in cs]
