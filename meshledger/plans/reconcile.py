@@ -16,6 +16,7 @@ from meshledger.operators.flatten import (
 from meshledger.operators.fold import fold_observations
 from meshledger.operators.logs import build_log, request_errors, split_rejects
 from meshledger.operators.resolve import apply_resolution, resolve_parents
+from meshledger.operators.steady import split_steady
 from meshledger.operators.validate import check_envelope
 from meshledger.session import stage
 
@@ -39,13 +40,16 @@ def keyed_roots(roots: DataFrame) -> DataFrame:
 def find_changes(roots: DataFrame, state: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The numbered changes of all valid roots.
 
-    Roots and nodes are written once each: parents' look-ups, the fold, the tag history and the
-    counts per key all read them, and a lost executor then costs one stage, not the whole lineage.
+    Roots and nodes are written once: parents' look-ups, the fold, the tag history and the counts
+    per key all read them, and a lost executor then costs one stage, not the whole lineage.
     """
     keyed = stage(keyed_roots(roots))
     resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows))
     nodes = stage(flatten(apply_resolution(keyed, resolved)))
-    return decide(fold_observations(nodes, state, limit_for(nodes, hot_rows)))
+    moving, quiet = split_steady(nodes, state)
+    moving = stage(moving)
+    folded = fold_observations(moving, state, limit_for(moving, hot_rows))
+    return decide(folded.unionByName(quiet, allowMissingColumns=True))
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
