@@ -5,9 +5,13 @@ from __future__ import annotations
 from meshledger.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from meshledger.llm.decontaminate import op8_decontaminate
 from meshledger.llm.langid import op9_language_id
+from meshledger.llm.quality import op1_quality
+from meshledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op8_decontaminate": DECONTAMINATE_SQL}

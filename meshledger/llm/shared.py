@@ -12,7 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["UPPER", "LOWER", "SPACE_CLASS", "SPACES", "table", "remainder", "held_out", "stage", "sample_rows"]
+__all__ = ["UPPER", "LOWER", "SPACE_CLASS", "SPACES", "table", "remainder", "held_out", "stage", "sample_rows",
+           "labelled_sample"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,14 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 def sample_rows(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of the smallest hash of the key: the same ones at any partitioning."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rest: Column, rows: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` labelled ids that are not held out. Unequal labels of one id
+    count as 1 if any is."""
+    known = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
+             .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~rest)
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = sample_rows(known, F.col("doc_id"), rows)
+    return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")

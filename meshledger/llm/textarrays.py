@@ -16,8 +16,12 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 BLOCK = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.ones(256, np.uint8)
+_WORD[[9, 10, 11, 12, 13, 32]] = 0
+#: Letters, digits and bytes of longer characters are one kind, other signs another.
+SIGNS = np.full(256, 2, np.uint8)
+SIGNS[[9, 10, 11, 12, 13, 32]] = 0
+SIGNS[np.r_[48:58, 65:91, 97:123, 128:256]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,20 +101,19 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """The words of every text of a string column; ``lower`` folds A-Z."""
+def words_of(column: pa.Array, lower: bool = False, kinds: np.ndarray = _WORD) -> Words:
+    """The words of every text of a string column; ``lower`` folds A-Z. ``kinds`` has a kind for every byte,
+    0 for white space: words are the longest runs of one kind."""
     data, offsets = string_buffer(column)
     if not len(data):
         return Words(data, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64))
-    ink = ~_SPACE[data]
-    begin = ink.copy()
-    begin[1:] &= ~ink[:-1]
-    stop = ink.copy()
-    stop[:-1] &= ~ink[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]
-    begin[edge] |= ink[edge]
-    stop[edge - 1] |= ink[edge - 1]
-    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    kind = kinds[data]
+    turn = np.empty(len(data) + 1, bool)
+    turn[0] = turn[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=turn[1:-1])
+    turn[offsets] = True
+    start = np.flatnonzero(turn[:-1] & (kind != 0))
+    end = np.flatnonzero(turn[1:] & (kind != 0)) + 1
     return Words(_LOWER[data] if lower else data, start, end, np.searchsorted(start, offsets))
 
 
