@@ -6,6 +6,7 @@ from meshledger.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from meshledger.llm.decontaminate import op8_decontaminate
 from meshledger.llm.encoding import op4_sentencepiece
 from meshledger.llm.extract import op7_extract
+from meshledger.llm.jaccard import op3_jaccard
 from meshledger.llm.langid import op9_language_id
 from meshledger.llm.neighbours import op6_nearest
 from meshledger.llm.quality import op1_quality
@@ -13,6 +14,7 @@ from meshledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_nearest": op6_nearest,
     "op7_extract": op7_extract,
