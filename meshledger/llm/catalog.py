@@ -10,16 +10,19 @@ from meshledger.llm.jaccard import op3_jaccard
 from meshledger.llm.langid import op9_language_id
 from meshledger.llm.neighbours import op6_nearest
 from meshledger.llm.quality import op1_quality
+from meshledger.llm.substrings import SQL as SUBSTRINGS_SQL
+from meshledger.llm.substrings import op5_substrings
 from meshledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_jaccard": op3_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substrings": op5_substrings,
     "op6_nearest": op6_nearest,
     "op7_extract": op7_extract,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op8_decontaminate": DECONTAMINATE_SQL}
+SQL = {"op5_substrings": SUBSTRINGS_SQL, "op8_decontaminate": DECONTAMINATE_SQL}

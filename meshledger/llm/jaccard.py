@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from meshledger.llm.components import components
 from meshledger.llm.shared import stage, table
+from meshledger.llm.sharing import sharing
 from meshledger.llm.textarrays import inside, mix, run_hashes, slices, words_of
 
 SHINGLE = 5
@@ -36,8 +37,6 @@ SHINGLE = 5
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
 #: Components in one signature group from which the next level takes over.
 CROWDED = 24
-#: Signature rows combined at once within a task.
-COMBINED = 1 << 21
 _U = np.uint64
 
 
@@ -123,71 +122,11 @@ def signatures(doc: np.ndarray, value: np.ndarray, texts: int, level: int) -> tu
 
 
 def signature_groups(docs: DataFrame, level: int) -> DataFrame:
-    """(signature, doc, leader): members of every signature that two documents or more have. The leader is the
-    smallest member a task has seen, or, for such leaders, the smallest of all."""
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, found, held = [], [], 0
+    """(signature, doc, leader) of every signature that two documents or more have."""
+    def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return signatures(*shingle_sets(text), len(text), level)
 
-        def combined() -> pa.RecordBatch:
-            doc, signature = np.concatenate(docs), np.concatenate(found)
-            order = np.lexsort((doc, signature))
-            doc, signature = doc[order], signature[order]
-            first = np.r_[True, signature[1:] != signature[:-1]]
-            start = np.flatnonzero(first)
-            count = np.diff(np.r_[start, len(doc)])
-            leader = np.repeat(doc[start], count)
-            local = np.repeat(count > 1, count)
-            rows = np.r_[start, np.flatnonzero(local)]
-            whole = np.arange(len(rows)) < len(start)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(signature[rows].view(np.int64)), pa.array(doc[rows]), pa.array(leader[rows], mask=whole)],
-                ["signature", "doc", "leader"])
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                doc, value = shingle_sets(part.column("text"))
-                home, signature = signatures(doc, value, part.num_rows, level)
-                docs.append(part.column("doc_id").to_numpy()[home])
-                found.append(signature)
-                held += len(signature)
-                if held >= COMBINED:
-                    yield combined()
-                    docs, found, held = [], [], 0
-        if held:
-            yield combined()
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by signature and document: a group's first row is its leader, which is known before the others.
-        before, leader, told = None, None, False
-        for batch in batches:
-            local = batch.column("leader")
-            done = local.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(done)) for i in range(3)],
-                                             ["signature", "doc", "leader"])
-            signature, doc = batch.column("signature").to_numpy()[~done], batch.column("doc").to_numpy()[~done]
-            if not len(doc):
-                continue
-            first = np.r_[signature[0] != before, signature[1:] != signature[:-1]]
-            group = np.cumsum(first)
-            heads = np.r_[-1 if leader is None else leader, doc[first]]
-            follows = ~first & (doc != heads[group])
-            wanted = follows.copy()
-            last_of = np.flatnonzero(first)
-            grown = np.bincount(group[follows], minlength=group[-1] + 1) > 0
-            wanted[last_of] = grown[group[last_of]]
-            sig, d, l = signature[wanted], doc[wanted], heads[group][wanted]
-            if grown[0] and not told:  # the group began in an earlier batch
-                sig, d, l = np.r_[before, sig], np.r_[leader, d], np.r_[leader, l]
-                told = True
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(d), pa.array(l)], ["signature", "doc", "leader"])
-            if first.any():
-                told = bool(grown[group[-1]])
-            before, leader = signature[-1], heads[group[-1]]
-
-    rows = docs.select("doc_id", "text").mapInArrow(sign, "signature long, doc long, leader long")
-    by = F.when(F.col("leader").isNull(), F.col("signature")).otherwise(F.xxhash64("doc"))
-    return (rows.repartition(by).sortWithinPartitions("signature", "doc")
-            .mapInArrow(lead, "signature long, doc long, leader long"))
+    return sharing(docs, keys)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
