@@ -7,6 +7,7 @@ from meshledger.llm.decontaminate import op8_decontaminate
 from meshledger.llm.encoding import op4_sentencepiece
 from meshledger.llm.extract import op7_extract
 from meshledger.llm.jaccard import op3_jaccard
+from meshledger.llm.kneser_ney import op2_kneser_ney
 from meshledger.llm.langid import op9_language_id
 from meshledger.llm.neighbours import op6_nearest
 from meshledger.llm.quality import op1_quality
@@ -16,6 +17,7 @@ from meshledger.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_jaccard": op3_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_substrings": op5_substrings,
@@ -25,4 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op5_substrings": SUBSTRINGS_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
+SQL = {
+    "op5_substrings": SUBSTRINGS_SQL,
+    "op8_decontaminate": DECONTAMINATE_SQL,
+}

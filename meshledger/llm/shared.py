@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 __all__ = ["UPPER", "LOWER", "SPACE_CLASS", "SPACES", "table", "remainder", "held_out", "stage", "sample_rows",
-           "labelled_sample"]
+           "labelled_sample", "settle"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +46,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rest: Column
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = sample_rows(known, F.col("doc_id"), rows)
     return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect what finished steps left; the shuffle files they own go with it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
