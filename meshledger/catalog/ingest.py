@@ -343,7 +343,7 @@ def state_numbers(spark, folder):
 
 @query("log_keys", """
 SELECT event_id, 'ingest-entity:dcim.site-' || epoch_us(ts) || '-' ||
-  lpad(upper(to_hex(epoch_us(ts))), 16, '0') || '-' || substring(md5('r' || user_id), 1, 12) || '-000003' AS log_key
+  lpad(upper(to_hex(epoch_us(ts))), 16, '0') || '-' || md5('r' || user_id) || '-0000000003' AS log_key
 FROM events""")
 def log_keys(spark, folder):
     at = micros("ts")

@@ -254,7 +254,7 @@ def content_dedup(spark, folder):
 
 
 @query("change_sets", f"""
-SELECT s_suppkey, md5(lpad(CAST(s_suppkey AS VARCHAR), 20, '0') || '!r' || s_suppkey || '!000000000') AS change_set_id,
+SELECT s_suppkey, md5(lpad(CAST(s_suppkey AS VARCHAR), 20, '0') || chr(1) || 'r' || s_suppkey || chr(1) || '0000000000') AS change_set_id,
   '{",".join(MACHINE_TYPES)}' AS types FROM supplier""")
 def change_sets(spark, folder):
     sets = assemble_change_sets(machine_changes(spark, folder))

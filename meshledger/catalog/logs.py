@@ -109,8 +109,8 @@ def log_latest(spark, folder):
 
 
 @query("log_records", """
-SELECT p_partkey, lpad(upper(to_hex(p_partkey)), 16, '0') || '-' || substring(md5('r' || p_partkey), 1, 12)
-  || '-000000' AS id, 'dcim.devicetype' AS data_type, 'QUEUED' AS state, 'r' || p_partkey AS request_id,
+SELECT p_partkey, lpad(upper(to_hex(p_partkey)), 16, '0') || '-' || md5('r' || p_partkey)
+  || '-0000000000' AS id, 'dcim.devicetype' AS data_type, 'QUEUED' AS state, 'r' || p_partkey AS request_id,
   '{"device_type":{"model":"' || p_name || '"}}' AS entity FROM part""")
 def log_records_query(spark, folder):
     from meshledger.catalog.observe import as_requests, entity

@@ -86,20 +86,25 @@ def assigned_id(object_type: Column, object_key: Column) -> Column:
     return F.conv(F.substring(content_key(object_type, object_key), 1, 15), 16, 10).cast("bigint")
 
 
-def arrival_order(ingestion_ts: Column, request_id: Column, position: Column) -> Column:
-    """Text that sorts like (arrival time, request, position); also the id of a root entity.
+#: Between the parts of an arrival order; it sorts before every printable character an id may hold.
+ORDER_MARK = "\x01"
 
-    The mark after the request id sorts before every character an id holds.
-    """
-    return F.concat(F.lpad(ingestion_ts.cast("string"), 20, "0"), F.lit("!"), request_id,
-                    F.lit("!"), F.lpad(position.cast("string"), 9, "0"))
 
+def _copy_mark(copy: Column, mark: str) -> Column:
+    """Nothing for the first delivery of a request; later ones sort after all its positions."""
+    return F.when(copy > 0, F.concat(F.lit("c"), F.lpad(copy.cast("string"), 10, "0"), F.lit(mark))).otherwise("")
 
-def log_id(ingestion_ts: Column, request_id: Column, position: Column) -> Column:
-    """Time-sortable id of a log record, unique per (time, request, position)."""
-    return F.concat(F.lpad(F.hex(ingestion_ts), 16, "0"), F.lit("-"),
-                    F.substring(F.md5(request_id), 1, 12), F.lit("-"),
-                    F.lpad(position.cast("string"), 6, "0"))
+
+def arrival_order(ingestion_ts: Column, request_id: Column, position: Column, copy: Column | None = None) -> Column:
+    """Text that sorts like (arrival time, request, delivery, position); also the id of a root entity."""
+    return F.concat(F.lpad(ingestion_ts.cast("string"), 20, "0"), F.lit(ORDER_MARK), request_id, F.lit(ORDER_MARK),
+                    _copy_mark(F.lit(0) if copy is None else copy, ORDER_MARK), F.lpad(position.cast("string"), 10, "0"))
+
+
+def log_id(ingestion_ts: Column, request_id: Column, position: Column, copy: Column | None = None) -> Column:
+    """Time-sortable id of a log record, unique per (time, request, delivery, position): no part is cut."""
+    return F.concat(F.lpad(F.hex(ingestion_ts), 16, "0"), F.lit("-"), F.md5(request_id), F.lit("-"),
+                    _copy_mark(F.lit(0) if copy is None else copy, "-"), F.lpad(position.cast("string"), 10, "0"))
 
 
 def log_key(object_type: Column, ingestion_ts: Column, record_id: Column) -> Column:

@@ -6,7 +6,7 @@ projection and one generate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshledger import registry as R
@@ -19,11 +19,20 @@ from meshledger.operators.validate import (
 from meshledger.registry import SLOTS, UNDEFINED
 
 
+def number_copies(requests: DataFrame) -> DataFrame:
+    """Add ``copy``: 0 for the first request of an id and arrival time, then 1, 2, ... Delivery is at least
+    once and arrival times are coarse, so both may come again; content decides the order of unlike ones."""
+    window = Window.partitionBy("ingestion_ts", "id").orderBy(F.to_json("entities"))
+    return requests.withColumn("copy", F.row_number().over(window) - 1)
+
+
 def explode_entities(requests: DataFrame) -> DataFrame:
     """One row per entity, with its position and its place in arrival order."""
+    if "copy" not in requests.columns:
+        requests = requests.withColumn("copy", F.lit(0))
     exploded = requests.select("*", F.posexplode_outer("entities").alias("position", "entity"))
-    return exploded.drop("entities").withColumn(
-        "seq", arrival_order(F.col("ingestion_ts"), F.col("id"), F.coalesce("position", F.lit(0))))
+    return exploded.drop("entities").withColumn("seq", arrival_order(
+        F.col("ingestion_ts"), F.col("id"), F.coalesce("position", F.lit(0)), F.col("copy")))
 
 
 def classify_roots(entities: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ PAGE_LIMIT = 1000
 def log_records(roots: DataFrame) -> DataFrame:
     """The record every typed entity starts with, before it is reconciled."""
     return roots.where(F.col("object_type").isNotNull()).select(
-        "seq", log_id(F.col("ingestion_ts"), F.col("id"), F.col("position")).alias("id"),
+        "seq", log_id(F.col("ingestion_ts"), F.col("id"), F.col("position"), F.col("copy")).alias("id"),
         F.col("object_type").alias("data_type"), F.lit("QUEUED").alias("state"),
         F.col("id").alias("request_id"), "ingestion_ts", "producer_app_name", "producer_app_version",
         "sdk_name", "sdk_version", F.to_json("entity").alias("entity"), "root_error")
@@ -38,7 +38,10 @@ def build_log(roots: DataFrame, change_sets: DataFrame, apply_errors: DataFrame
     rows = log_records(roots).drop("state").join(
         change_sets.select("seq", "change_set_id").distinct(), "seq", "left")
     if apply_errors is not None:
-        rows = rows.join(apply_errors, "change_set_id", "left")
+        # A refused change set is no longer among the changes; its id follows from the root.
+        refused = apply_errors.withColumnRenamed("change_set_id", "_refused")
+        rows = rows.join(refused, F.md5("seq") == F.col("_refused"), "left").withColumn(
+            "change_set_id", F.coalesce("change_set_id", "_refused")).drop("_refused")
     else:
         from meshledger.schemas import ERROR
 
@@ -66,14 +69,16 @@ def request_errors(roots: DataFrame, apply_errors: DataFrame | None = None) -> D
         rows = roots.withColumn("change_set_id", F.md5("seq")).join(apply_errors, "change_set_id", "left")
         message = F.coalesce(F.col("apply_error.message"), message)
     bad = rows.withColumn("_message", message).where(F.col("_message").isNotNull())
-    return bad.groupBy("id", "ingestion_ts").agg(
+    return bad.groupBy("id", "ingestion_ts", "copy").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "_message"))),
                     lambda e: e["_message"]).alias("errors"))
 
 
 def split_rejects(requests: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests without errors, requests with errors and the errors)."""
-    keys = ["id", "ingestion_ts"]
+    keys = ["id", "ingestion_ts", "copy"]
+    if "copy" not in requests.columns:
+        requests = requests.withColumn("copy", F.lit(0))
     return requests.join(errors, keys, "left_anti"), requests.join(errors, keys)
 
 

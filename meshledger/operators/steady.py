@@ -25,17 +25,17 @@ MAKER = "dcim.manufacturer"
 def steady_keys(nodes: DataFrame, state: DataFrame) -> DataFrame:
     """(type, key, first_seq, object_id) of the keys that are observed alike in several roots.
 
-    Two 64-bit hashes over all observed values tell whether observations are alike. Types whose
-    fields are all carried qualify if they have no parents, or a manufacturer that is steady too.
+    Observations are alike if the smallest and the largest struct of all observed values are equal, nulls
+    being values like any other. Types whose fields are all carried qualify if they have no parents, or a
+    manufacturer that is steady too.
     """
-    values = ["slug", "tags", *SCALARS, *REFS]
-    hashes = nodes.where(f"object_type IN ({quoted((*LEAVES, *MADE))})").select(
-        *KEYS, "seq", "ref_manufacturer",
-        *[F.xxhash64(F.lit(i), *values).alias(f"h{i}") for i in (1, 2)])
-    alike = hashes.groupBy(*KEYS).agg(
+    values = F.struct("slug", "tags", *SCALARS, *REFS)
+    seen = nodes.where(f"object_type IN ({quoted((*LEAVES, *MADE))})").select(
+        *KEYS, "seq", "ref_manufacturer", values.alias("values"))
+    alike = seen.groupBy(*KEYS).agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         F.min("ref_manufacturer").alias("maker"),
-        ((F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))).alias("alike"),
+        F.min("values").eqNullSafe(F.max("values")).alias("alike"),
     ).where("alike")
     makers = alike.where(F.col("object_type") == MAKER).select(F.col("object_key").alias("maker"))
     repeated = alike.where("last_seq > first_seq")

@@ -11,7 +11,7 @@ from meshledger.operators.apply import apply_changes
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.changes import assemble_change_sets, decide
 from meshledger.operators.flatten import (
-    add_keys, classify_roots, explode_entities, flatten, lay_out,
+    add_keys, classify_roots, explode_entities, flatten, lay_out, number_copies,
 )
 from meshledger.operators.fold import fold_observations
 from meshledger.operators.logs import build_log, request_errors, split_rejects
@@ -62,17 +62,21 @@ def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
 
 def reconcile(requests: DataFrame, state: DataFrame, responses: DataFrame | None = None,
               hot_rows: int | None = HOT_ROWS) -> Reconciled:
-    """``responses`` may hold what an inventory answered: (change_set_id, apply_error)."""
-    checked = check_envelope(requests)
+    """``responses`` may hold what an inventory answered: (change_set_id, apply_error). A refused root takes no
+    part in the fold: nothing later is compared with values that the inventory never took.
+
+    Roots are classified once and written; the changes, the log and the errors read them."""
+    checked = number_copies(check_envelope(requests))
     good = checked.where(F.col("request_error").isNull()).drop("request_error")
-    roots = classify_roots(explode_entities(good))
-    changes = stage(find_changes(roots, state, hot_rows))
-    applied = changes
+    roots = stage(classify_roots(explode_entities(good)))
+    taken = roots
     if responses is not None:
-        applied = changes.join(responses.select("change_set_id"), "change_set_id", "left_anti")
+        taken = roots.join(responses.select(F.col("change_set_id").alias("_refused")),
+                           F.md5("seq") == F.col("_refused"), "left_anti")
+    changes = stage(find_changes(taken, state, hot_rows))
     errors = request_errors(roots, responses)
     _, failed = split_rejects(good, errors)
     rejects = checked.where(F.col("request_error").isNotNull()).withColumn(
-        "errors", F.array("request_error")).drop("request_error").unionByName(failed)
-    return Reconciled(changes, assemble_change_sets(changes), apply_changes(state, applied),
-                      build_log(roots, changes, responses), errors, rejects)
+        "errors", F.array("request_error")).drop("request_error").unionByName(failed).drop("copy")
+    return Reconciled(changes, assemble_change_sets(changes), apply_changes(state, changes),
+                      build_log(roots, changes, responses), errors.drop("copy"), rejects)

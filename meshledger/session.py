@@ -25,10 +25,13 @@ def local_session(app: str = "meshledger", cpus: str = "*", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; make one only when unset."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``. Without one only a session whose
+    executors are this machine gets a folder of its own; on a cluster each machine would write to its own disk."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="meshledger-checkpoint-"))
 
 

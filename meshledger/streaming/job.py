@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.logs import COUNTED_STATES, log_records
-from meshledger.operators.flatten import classify_roots, explode_entities
+from meshledger.operators.flatten import classify_roots, explode_entities, number_copies
 from meshledger.operators.validate import check_envelope
 from meshledger.plans.reconcile import reconcile
 from meshledger.session import release, stage
@@ -37,23 +37,43 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_state(spark: SparkSession, paths: Paths, batch: int) -> DataFrame:
-    """State before a batch. Batches are numbered without gaps, so it is the previous one's."""
+def read_state(spark: SparkSession, paths: Paths, batch: int, initial: DataFrame | None = None) -> DataFrame:
+    """State before a batch: the previous one's, as batches are numbered without gaps, or ``initial`` before the
+    first. A version that is gone stops the job: going on empty would create every object again."""
+    if batch == 0:
+        return empty_state(spark) if initial is None else initial
     path = paths.of("state", batch - 1)
-    if batch > 0 and _exists(spark, path):
-        return spark.read.schema(state_schema()).parquet(path)
-    return empty_state(spark)
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no state to start batch {batch} from: {path}")
+    return spark.read.schema(state_schema()).parquet(path)
 
 
-def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | None = HOT_ROWS) -> None:
-    """One micro-batch: log it as queued, reconcile, write changes, final log, rejects and new state."""
+def drop_old_states(spark: SparkSession, paths: Paths, batch: int) -> None:
+    """Keep the version of this batch and the one before, which a repeated batch starts from."""
+    if batch >= 2:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.of("state", batch - 2))
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | None = HOT_ROWS,
+              initial: DataFrame | None = None, answers: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One micro-batch: log it as queued, reconcile, write changes, final log, rejects and new state.
+
+    ``answers`` stands for the inventory: given the batch's change sets it returns the refused ones as
+    (change_set_id, apply_error); the batch is then reconciled again without these."""
     spark = messages.sparkSession
     parsed = stage(parse_messages(messages))
     requests = usable_requests(parsed)
-    good = check_envelope(requests).where("request_error IS NULL").drop("request_error")
+    good = number_copies(check_envelope(requests)).where("request_error IS NULL").drop("request_error")
     queued = log_records(classify_roots(explode_entities(good))).drop("seq", "root_error")
     queued.write.mode("overwrite").parquet(paths.of("queued", batch))
-    result = reconcile(requests, read_state(spark, paths, batch), hot_rows=hot_rows)
+    state = read_state(spark, paths, batch, initial)
+    result = reconcile(requests, state, hot_rows=hot_rows)
+    if answers is not None:
+        refused = stage(answers(result.change_sets))
+        if not refused.isEmpty():
+            release(spark, result.changes)
+            result = reconcile(requests, state, refused, hot_rows=hot_rows)
     result.changes.drop("record").write.mode("overwrite").parquet(paths.of("changes", batch))
     result.log.write.mode("overwrite").parquet(paths.of("log", batch))
     result.rejects.write.mode("overwrite").parquet(paths.of("rejects", batch))
@@ -61,15 +81,19 @@ def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | Non
     # The state comes last: while it is missing the batch counts as not done and is run again.
     result.state.write.mode("overwrite").parquet(paths.of("state", batch))
     release(spark, parsed, result.changes)
+    drop_old_states(spark, paths, batch)
 
 
 def reconcile_stream(messages: DataFrame, root: str, checkpoint: str, hot_rows: int | None = HOT_ROWS,
-                     trigger: dict | None = None, on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Start the job. At-least-once delivery is made exact by the batch number in every path."""
+                     trigger: dict | None = None, on_batch: Callable[[int], None] | None = None,
+                     initial: DataFrame | None = None,
+                     answers: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Start the job, on a snapshot of the inventory if ``initial`` is given. At-least-once delivery is made exact
+    by the batch number in every path."""
     paths = Paths(root)
 
     def handle(frame: DataFrame, batch: int) -> None:
-        run_batch(frame, batch, paths, hot_rows)
+        run_batch(frame, batch, paths, hot_rows, initial, answers)
         if on_batch is not None:
             on_batch(batch)
 

@@ -47,7 +47,7 @@ def changes_by_position(result):
     """Changes of every entity of a single request, in order: position -> [(type, object type, data)]."""
     found = {}
     for r in result.changes.orderBy("seq", "ord").collect():
-        found.setdefault(int(r["seq"][-9:]), []).append((r["change_type"], r["object_type"], json.loads(r["data"])))
+        found.setdefault(int(r["seq"][-10:]), []).append((r["change_type"], r["object_type"], json.loads(r["data"])))
     return found
 
 
