@@ -15,6 +15,16 @@ SLUG_DROPPED = "\"'’"
 SLUG_DASHES = "‒–—―"
 # Letters with no one-letter base form.
 SLUG_LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+# Cyrillic and Greek letters in Latin ones; the soft and the hard sign are marks, so dashes.
+SLUG_LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k",
+    "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "-", "ы": "y", "ь": "-", "э": "e", "ю": "iu", "я": "ia", "ђ": "dj", "ѓ": "gj",
+    "є": "ie", "ѕ": "dz", "і": "i", "ї": "yi", "ј": "j", "љ": "lj", "њ": "nj", "ќ": "kj", "џ": "dz",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps",
+    "ω": "o", "ά": "a", "έ": "e", "ή": "e", "ί": "i", "ό": "o", "ύ": "u", "ώ": "o", "ϊ": "i", "ϋ": "u",
+}
 
 
 def _accent_table() -> tuple[str, str]:
@@ -38,6 +48,9 @@ def slugify(text: Column) -> Column:
         out = F.replace(out, F.lit(word), F.lit(spelled))
     for ligature, spelled in SLUG_LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(spelled))
+    letters = F.create_map(*[F.lit(x) for pair in SLUG_LETTERS.items() for x in pair])
+    latin = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(letters, c), c)), "")
+    out = F.when(out.rlike("[\u0370-\u03ff\u0400-\u045f]"), latin).otherwise(out)
     out = F.translate(out, _MARKED + SLUG_DASHES + SLUG_DROPPED, _PLAIN + "-" * len(SLUG_DASHES))
     out = F.regexp_replace(F.trim(out), "[^a-z0-9_-]", "-")
     out = F.regexp_replace(out, "-+", "-")

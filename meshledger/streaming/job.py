@@ -60,7 +60,8 @@ def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | Non
     """One micro-batch: log it as queued, reconcile, write changes, final log, rejects and new state.
 
     ``answers`` stands for the inventory: given the batch's change sets it returns the refused ones as
-    (change_set_id, apply_error); the batch is then reconciled again without these."""
+    (change_set_id, apply_error). The batch is then reconciled again without these, and asked about again, as
+    what came after a refused root may now ask for more; every round refuses a root at least."""
     spark = messages.sparkSession
     parsed = stage(parse_messages(messages))
     requests = usable_requests(parsed)
@@ -69,11 +70,14 @@ def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | Non
     queued.write.mode("overwrite").parquet(paths.of("queued", batch))
     state = read_state(spark, paths, batch, initial)
     result = reconcile(requests, state, hot_rows=hot_rows)
-    if answers is not None:
-        refused = stage(answers(result.change_sets))
-        if not refused.isEmpty():
-            release(spark, result.changes)
-            result = reconcile(requests, state, refused, hot_rows=hot_rows)
+    refused = None
+    while answers is not None:
+        more = stage(answers(result.change_sets))
+        if more.isEmpty():
+            break
+        refused = more if refused is None else refused.unionByName(more)
+        release(spark, result.changes)
+        result = reconcile(requests, state, refused, hot_rows=hot_rows)
     result.changes.drop("record").write.mode("overwrite").parquet(paths.of("changes", batch))
     result.log.write.mode("overwrite").parquet(paths.of("log", batch))
     result.rejects.write.mode("overwrite").parquet(paths.of("rejects", batch))
