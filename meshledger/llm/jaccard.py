@@ -9,7 +9,8 @@ Sets with an equal signature are compared with the smallest of them only (a star
 is shuffled), and what is linked needs no further comparison. Where a group still holds several components, their
 members are compared across components. A group with many of these, made by passages that unlike documents share,
 goes to the next level instead: parts cut into n2 parts again, signed by every subset of n2 - k of them, which holds
-many more shingles. Every candidate is verified on the shingles of the whole texts.
+many more shingles. Candidates whose sizes or parity sketches rule out the similarity go; every other is verified on the
+shingles of the whole texts.
 
 Defined results: a text without words is linked with nothing and has size 0; fewer words than a shingle make one
 shingle; equal texts are linked; rows of one doc_id are one node, linked as any of its texts is; a row without id has
@@ -129,8 +130,41 @@ def signature_groups(docs: DataFrame, level: int) -> DataFrame:
     return sharing(docs, keys)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def parity_sketch(value: np.ndarray) -> bytes:
+    """A bit for each of 2n or more places (a power of two): whether an odd number of the n shingles falls there.
+    Each element that only one of two sets has turns one bit, so bits that differ never outnumber those."""
+    places = max(64, 1 << int(2 * len(value) - 1).bit_length())
+    count = np.bincount((value % _U(places)).astype(np.int64), minlength=places)
+    return np.packbits(count & 1).tobytes()
+
+
+def fewest_apart(one: bytes, two: bytes) -> int:
+    """Elements that two sets differ in at least; the longer sketch is folded to the places of the shorter."""
+    small, large = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)
+    return int(np.bitwise_count(folded ^ small).sum())
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out. Only unlike sets are ruled out, never a similar pair."""
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([9 * fewest_apart(one, two) <= n + m for one, two, n, m in zip(
+                *(batch.column(c).to_pylist() for c in ("sketch_one", "sketch_two", "n_one", "n_two")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("one").filter(keep), batch.column("two").filter(keep)], ["one", "two"])
+
+    side = {name: sets.filter("n_shingles > 0").select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"),
+                                                       F.col("sketch").alias(f"sketch_{name}")) for name in ("one", "two")}
+    return (pairs.join(side["one"], "one").join(side["two"], "two")
+            .filter("10 * least(n_one, n_two) >= 8 * greatest(n_one, n_two)")
+            .select("one", "two", "sketch_one", "sketch_two", "n_one", "n_two")
+            .mapInArrow(rule, "one long, two long").distinct())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (one, two) whose sets are similar enough."""
+    pairs = plausible(pairs, sets)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_one", 1 << 20):
@@ -154,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit key (a, b), equal for equal sets."""
+    """doc_id, n_shingles, a 128-bit key (a, b), equal for equal sets, and the parity sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -164,10 +198,13 @@ def set_keys(docs: DataFrame) -> DataFrame:
                 for seed, key in enumerate(keys):
                     rows, total = _sums(doc, mix(value + _U(101 + seed)))
                     key[rows] = total
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(keys[0].view(np.int64)),
-                                                  pa.array(keys[1].view(np.int64))], ["doc_id", "n_shingles", "a", "b"])
+                first = np.r_[0, np.cumsum(size)]
+                sketch = [parity_sketch(value[i:j]) if i < j else None for i, j in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                     pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "a", "b", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +212,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(set_keys(docs))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    full = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    full = sets.drop("sketch").filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class; its smallest document stands for it.
     classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("two"), F.count("*").alias("n"))
     copies = stage(full.join(classes.filter("n > 1").drop("n"), ["n_shingles", "a", "b"])
@@ -190,7 +227,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for level in range(len(LEVELS)):
         groups = stage(signature_groups(scope, level))
         stars = stage(groups.select(F.col("doc").alias("one"), F.col("leader").alias("two")).filter("one <> two").distinct())
-        links = links.unionAll(stage(verified(stars, named)))
+        links = links.unionAll(stage(verified(stars, named, sets)))
         tried = stars if known is None else known.unionAll(stars)
         part = components(links)
         member = (groups.select("signature", "doc").join(part.withColumnRenamed("node", "doc"), "doc", "left")
@@ -207,7 +244,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                   .select(F.greatest("doc", "two").alias("one"), F.least("doc", "two").alias("two")).distinct()
                   .join(tried, ["one", "two"], "left_anti"))
         across = stage(across)
-        links = links.unionAll(stage(verified(across, named)))
+        links = links.unionAll(stage(verified(across, named, sets)))
         known = tried.unionAll(across)
         if last:
             break
