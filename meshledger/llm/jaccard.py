@@ -1,16 +1,16 @@
 """Similarity join of shingle sets by PartEnum signatures.
 
 Sets are grouped into bands of like size. Two sets of Jaccard similarity 4/5 or more differ in at most a ninth of
-their summed sizes, d elements. At the first level the shingle domain is cut into n parts by hash: d differences touch
-at most d parts, so a set needs to sign only its first d + 1 parts that hold something, and a similar set signs one
-of them alike. Sets with too few filled parts sign under further cuts until one fits, so nothing is lost.
+their summed sizes, d elements. At the first level the shingle domain is cut into n parts by hash, and a set signs each
+part that holds something. d differences touch at most d parts, so of any d + 1 filled parts of a set a similar set signs one alike.
 
 Sets with an equal signature are compared with the smallest of them only (a star, combined within a task before it
 is shuffled), and what is linked needs no further comparison. Where a group still holds several components, their
-members are compared across components. A group with many of these, made by passages that unlike documents share,
-goes to the next level instead: parts cut into n2 parts again, signed by every subset of n2 - k of them, which holds
-many more shingles. Candidates whose sizes or parity sketches rule out the similarity go; every other is verified on the
-shingles of the whole texts.
+members are compared across components. A group with many of these, made by passages that unlike documents share, is
+left out: n is large enough for a set to lose some parts and keep d + 1. Sets that do not (texts made of such passages, and
+sets with too few filled parts) go on to the next level with each other: parts cut into n2 parts again, signed by
+every subset of n2 - k of them, which holds many more shingles. Candidates whose sizes or parity sketches rule out the
+similarity go; every other is verified on the shingles of the whole texts.
 
 Defined results: a text without words is linked with nothing and has size 0; fewer words than a shingle make one
 shingle; equal texts are linked; rows of one doc_id are one node, linked as any of its texts is; a row without id has
@@ -36,6 +36,8 @@ from meshledger.llm.textarrays import inside, mix, run_hashes, slices, words_of
 SHINGLE = 5
 #: Ratio of a band's ends; differences taken up by a part's subsets and number of its parts, level by level.
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
+#: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
+SLICES = (4 << 20, 1 << 20, 128 << 10)
 #: Components in one signature group from which the next level takes over.
 CROWDED = 24
 _U = np.uint64
@@ -71,54 +73,75 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[start], np.add.reduceat(value, start)
 
 
+def bands(size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The band of each size, then the next one for sets that may have partners there: (sets that sign, band, its
+    upper end, most elements that such a set and a partner differ in)."""
+    own = np.floor(np.log(np.maximum(size, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
+    for band in (own, own + 1):
+        low, high = RATIO**band, RATIO ** (band + 1)
+        largest = np.minimum(size * 5 // 4, np.ceil(high).astype(np.int64))
+        yield (size > 0) & (largest >= low - 1e-6), band, high, (size + largest) // 9
+
+
+def _parts(doc: np.ndarray, value: np.ndarray, here: np.ndarray, band: np.ndarray, high: np.ndarray):
+    """First level: filled parts of each set in order, as (text, part, signature of what it holds)."""
+    pick = here[doc]
+    code = mix(value[pick] + _U(0x632BE59BD9B4E019))
+    doc = doc[pick]
+    part = (code % (np.ceil(0.33 * high).astype(np.int64) + 2)[doc].astype(_U)).astype(np.int64)
+    key, total = _sums(doc << 32 | part, mix(code ^ _U(0x5851F42D4C957F2D)))
+    home = key >> 32
+    sign = mix(total + mix((key & 0xFFFFFFFF).astype(_U) + mix(band.astype(_U))[home]))
+    # The last bit tells a set's two bands apart.
+    return home, sign >> _U(1) << _U(1) | (band[home] & 1).astype(_U)
+
+
+def spare_parts(doc: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
+    """For bands of even and odd number: filled parts of each set beyond those it needs (negative: too few)."""
+    size = np.bincount(doc, minlength=texts)
+    out = np.full((2, texts), 1 << 30)
+    for here, band, high, apart in bands(size):
+        home, _ = _parts(doc, value, here, band, high)
+        filled = np.bincount(home, minlength=texts)
+        rows = np.flatnonzero(here)
+        out[band[rows] & 1, rows] = filled[rows] - apart[rows] - 1
+    return out
+
+
 def signatures(doc: np.ndarray, value: np.ndarray, texts: int, level: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) rows of sets given as by ``shingle_sets``."""
     size = np.bincount(doc, minlength=texts)
-    band = np.floor(np.log(np.maximum(size, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
     out_doc, out = [np.empty(0, np.int64)], [np.empty(0, _U)]
-    for up in (0, 1):
-        low, high = RATIO ** (band + up), RATIO ** (band + up + 1)
-        largest = np.minimum(size * 5 // 4, np.ceil(high).astype(np.int64))
-        here = (size > 0) & (largest >= low - 1e-6)
-        apart = (size + largest) // 9
+    spare, pieces = LEVELS[level]
+    for here, band, high, _ in bands(size):
+        if not here.any():
+            continue
+        if not level:
+            home, sign = _parts(doc, value, here, band, high)
+            out_doc.append(home)
+            out.append(sign)
+            continue
+        pick = here[doc]
+        d = doc[pick]
+        code = mix(value[pick] + _U((level + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
         differ = np.ceil(2 * high).astype(np.int64) // 9  # one number for the band
-        todo, cut = here, 0
-        while todo.any():
-            pick = todo[doc]
-            d, v = doc[pick], value[pick]
-            code = mix(v + _U((level * 64 + cut + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-            salt = mix(((band + up) * 4096 + level * 64 + cut).astype(_U))
-            spare, pieces = LEVELS[level]
-            if not spare:
-                parts = np.ceil(0.3 * high).astype(np.int64) + 2
-                part = (code % parts[d].astype(_U)).astype(np.int64)
-                key, total = _sums(d << 32 | part, mix(code ^ _U(0x5851F42D4C957F2D)))
-                home = key >> 32
-                first = np.searchsorted(home, np.arange(texts + 1))
-                rank = np.arange(len(home)) - first[home]
-                sign = rank <= apart[home]
-                out_doc.append(home[sign])
-                out.append(mix(total + mix((key & 0xFFFFFFFF).astype(_U) + salt[home]))[sign])
-                todo = todo & (np.diff(first) <= apart)
-            else:
-                parts = (differ + spare + 1) // (spare + 1)
-                outer = (code % parts[d].astype(_U)).astype(np.int64)
-                inner = (code >> _U(40)) % _U(pieces)
-                rows = np.flatnonzero(todo)
-                start = np.zeros(texts, np.int64)
-                start[rows] = np.cumsum(parts[rows]) - parts[rows]
-                height = int(parts[rows].sum())
-                cells = np.zeros(height * pieces, _U)
-                key, total = _sums((start[d] + outer) * pieces + inner.astype(np.int64), mix(code ^ _U(0x5851F42D4C957F2D)))
-                cells[key] = total
-                cells = mix(cells.reshape(height, pieces) + mix(np.arange(pieces, dtype=_U) + _U(17)))
-                home = np.repeat(rows, parts[rows])
-                place = (np.arange(height) - start[home]).astype(_U)
-                for number, subset in enumerate(itertools.combinations(range(pieces), pieces - spare)):
-                    out_doc.append(home)
-                    out.append(mix(cells[:, subset].sum(axis=1) + mix(place * _U(1024) + _U(number) + salt[home])))
-                todo = np.zeros(texts, bool)
-            cut += 1
+        parts = (differ + spare + 1) // (spare + 1)
+        outer = (code % parts[d].astype(_U)).astype(np.int64)
+        inner = (code >> _U(40)) % _U(pieces)
+        rows = np.flatnonzero(here)
+        start = np.zeros(texts, np.int64)
+        start[rows] = np.cumsum(parts[rows]) - parts[rows]
+        height = int(parts[rows].sum())
+        cells = np.zeros(height * pieces, _U)
+        key, total = _sums((start[d] + outer) * pieces + inner.astype(np.int64), mix(code ^ _U(0x5851F42D4C957F2D)))
+        cells[key] = total
+        cells = mix(cells.reshape(height, pieces) + mix(np.arange(pieces, dtype=_U) + _U(17)))
+        home = np.repeat(rows, parts[rows])
+        place = (np.arange(height) - start[home]).astype(_U)
+        salt = mix((band * 64 + level).astype(_U))[home]
+        for number, subset in enumerate(itertools.combinations(range(pieces), pieces - spare)):
+            out_doc.append(home)
+            out.append(mix(cells[:, subset].sum(axis=1) + mix(place * _U(1024) + _U(number) + salt)))
     return np.concatenate(out_doc), np.concatenate(out)
 
 
@@ -127,7 +150,7 @@ def signature_groups(docs: DataFrame, level: int) -> DataFrame:
     def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return signatures(*shingle_sets(text), len(text), level)
 
-    return sharing(docs, keys)
+    return sharing(docs, keys, SLICES[level])
 
 
 def parity_sketch(value: np.ndarray) -> bytes:
@@ -188,7 +211,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key (a, b), equal for equal sets, and the parity sketch."""
+    """doc_id, n_shingles, a 128-bit key (a, b), equal for equal sets, the parity sketch and the spare parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -199,12 +222,15 @@ def set_keys(docs: DataFrame) -> DataFrame:
                     rows, total = _sums(doc, mix(value + _U(101 + seed)))
                     key[rows] = total
                 first = np.r_[0, np.cumsum(size)]
+                spare = spare_parts(doc, value, part.num_rows)
                 sketch = [parity_sketch(value[i:j]) if i < j else None for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                     pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "a", "b", "sketch"])
+                     pa.array(sketch, pa.binary()), *map(pa.array, spare)],
+                    ["doc_id", "n_shingles", "a", "b", "sketch", "spare_even", "spare_odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sketch binary, "
+                                               "spare_even long, spare_odd long")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +238,9 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(set_keys(docs))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    full = sets.drop("sketch").filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    full = sets.select("doc_id", "n_shingles", "a", "b").filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    full_spare = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
+                  .agg(F.min("spare_even").alias("spare_even"), F.min("spare_odd").alias("spare_odd")))
     # Equal sets are one class; its smallest document stands for it.
     classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("two"), F.count("*").alias("n"))
     copies = stage(full.join(classes.filter("n > 1").drop("n"), ["n_shingles", "a", "b"])
@@ -248,7 +276,16 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = tried.unionAll(across)
         if last:
             break
-        onward = stage(member.join(crowded, "signature").select(F.col("doc").alias("doc_id")).distinct())
+        onward = member.join(crowded, "signature")
+        if level == 0:
+            # A set stays if enough of its parts are filled and not crowded; the rest has each other to find.
+            odd = F.col("signature").bitwiseAND(1)
+            lost = onward.groupBy(F.col("doc").alias("doc_id")).agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"))
+            onward = (full_spare.join(lost, "doc_id", "left")
+                      .filter("coalesce(even, 0) > spare_even OR coalesce(odd, 0) > spare_odd").select("doc_id"))
+        else:
+            onward = onward.select(F.col("doc").alias("doc_id"))
+        onward = stage(onward.distinct())
         if onward.isEmpty():
             break
         scope = named.join(onward, "doc_id", "left_semi")

@@ -15,9 +15,10 @@ from meshledger.llm.textarrays import slices
 COMBINED = 1 << 21
 
 
-def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
+            size: int = 4 << 20) -> DataFrame:
     """(signature, doc, leader): the documents of every key that two documents or more have. ``keys_of`` gives
-    (text, key) rows of a column of texts.
+    (text, key) rows of a column of texts, about ``size`` bytes at a time.
 
     The leader is the smallest document a task has seen with the key, or, for such leaders, the smallest of all: a
     task keeps the others to itself, so a key has one row for each task in the shuffle, however hot it is."""
@@ -42,7 +43,7 @@ def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.
                 ["signature", "doc", "leader"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", size):
                 home, signature = keys_of(part.column("text"))
                 docs.append(part.column("doc_id").to_numpy()[home])
                 found.append(signature)
