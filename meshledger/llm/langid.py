@@ -39,7 +39,7 @@ _RESCALE = 8
 def forward(lookup: Lookup, matrix: np.ndarray, length: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Log probability of each word (row) under each column of ``chance`` (pieces x languages)."""
     rows, languages = len(matrix), chance.shape[1]
-    ring = lookup.longest + 1
+    ring = lookup.longest + 2  # ends reach that far, and the place before the last is cleared late
     sums = np.zeros((ring, rows, languages))
     sums[0] = 1
     scale = np.zeros((rows, languages))
@@ -162,7 +162,7 @@ class WordScores:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], Lookup, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with ``lang_pred`` and ``score``, the share of the best language."""
+    """Columns ``keep`` of every row with ``__lang`` and ``__score``, the share of the best language."""
     languages, lookup, chance = model
     current = docs.sparkSession.sparkContext.broadcast((languages, lookup, chance))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -189,18 +189,19 @@ def identify(docs: DataFrame, model: tuple[list[str], Lookup, np.ndarray], keep:
                     [part.column(i) for i in range(len(keep))]
                     + [pa.array([languages[i] if ok else UNKNOWN for i, ok in zip(best, plain)], pa.string()),
                        pa.array(np.where(plain, share[np.arange(len(best)), best], 0.0))],
-                    [*keep, "lang_pred", "score"])
+                    [*keep, "__lang", "__score"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(
-        predict, f"{fields}, lang_pred string, score double")
+        predict, f"{fields}, __lang string, __score double")
 
 
 def known_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents whose language is told, all their columns; ``und`` goes."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
-    return identify(docs, model, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identify(docs, model, docs.columns).filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
-    return identify(docs, fit(docs.filter("NOT held_out")), ["doc_id", "held_out"])
+    return identify(docs, fit(docs.filter("NOT held_out")), ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
