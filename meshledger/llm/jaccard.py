@@ -6,7 +6,7 @@ part that holds something. d differences touch at most d parts, so of any d + 1
 
 Sets with an equal signature are compared with the smallest of them only (a star, combined within a task before it
 is shuffled), and what is linked needs no further comparison. Where a group still holds several components, their
-members are compared across components. A group with many of these, made by passages that unlike documents share, is
+members are compared across components. A group with many such pairs, made by passages that unlike documents share, is
 left out: n is large enough for a set to lose some parts and keep d + 1. Sets that do not (texts made of such passages, and
 sets with too few filled parts) go on to the next level with each other: parts cut into n2 parts again, signed by
 every subset of n2 - k of them, which holds many more shingles. Candidates whose sizes or parity sketches rule out the
@@ -38,8 +38,10 @@ SHINGLE = 5
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
 #: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
 SLICES = (4 << 20, 1 << 20, 128 << 10)
-#: Components in one signature group from which the next level takes over.
-CROWDED = 24
+#: Pairs across components in one signature group beyond which it is left out.
+CROWDED = 300
+#: Ids of candidates up to this number (8 bytes each) are broadcast to find their texts; more are joined.
+BROADCAST_IDS = 200_000
 _U = np.uint64
 
 
@@ -186,7 +188,7 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (one, two) whose sets are similar enough."""
-    pairs = plausible(pairs, sets)
+    pairs = stage(plausible(pairs, sets))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +206,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("one").filter(kept), part.column("two").filter(kept)],
                                                  ["one", "two"])
 
-    text = docs.select("doc_id", "text")
+    # Only texts of some pair are shuffled.
+    ids = pairs.select(F.col("one").alias("doc_id")).unionAll(pairs.select("two")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     return (pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
             .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
             .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"))
@@ -263,9 +268,11 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         mixed = (member.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .filter("low < high").select("signature"))
         member = stage(member.join(mixed, "signature").distinct())
-        parts = member.groupBy("signature").agg(F.countDistinct("component").alias("parts"))
+        each = member.groupBy("signature", "component").count()
+        across = (F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2
         last = level + 1 == len(LEVELS)
-        crowded = parts.filter(F.lit(False) if last else F.col("parts") > CROWDED).select("signature")
+        crowded = (each.groupBy("signature").agg(across.alias("across"))
+                   .filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
         plain = member.join(crowded, "signature", "left_anti")
         other = plain.select("signature", F.col("doc").alias("two"), F.col("component").alias("beside"))
         across = (plain.join(other, "signature").filter("component > beside")
