@@ -1,10 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a small tree of block elements with text leaves; menus, forms, scripts and other parts that their
-element or their class names as furniture are left out. The trees of a host's pages are aligned with the tree of its
-first page (smallest page_id) by simple tree matching. A text leaf of that tree whose aligned text is the same on
-most pages of different content is template; leaves that vary, or align with nothing, are content. The counts behind
-that verdict are summed in Spark over all pages, so a host of any size costs one row for each leaf and text.
+element or their class names as furniture are left out. A leaf has places in the tree (see ``leaf_keys``). A text
+that stands at one place of most of a host's pages of different content is template; all else is content. No page
+is a reference for the others: the counts behind that verdict are summed in Spark over all pages, so a first page
+that is empty or laid out in another way changes nothing, and a host of any size costs a row for each place and text.
 
 Defined results: a null or empty page gives an empty text; a page without host is read without a wrapper; if every
 leaf of a page is template, nothing told it apart and its leaves are kept; repeated rows are extracted alike;
@@ -13,20 +13,24 @@ malformed, unclosed or cut markup is read as far as it goes; an empty table give
 
 from __future__ import annotations
 
+import math
 import re
-import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshledger.llm.shared import table
+from meshledger.llm.shared import stage, table
 
-#: A leaf is template if one text has this share of a host's different pages, of this many at least.
+#: A leaf is template if its text has this share of a host's different pages with its place, of this many at least.
 CONSTANT_SHARE, LEAST_PAGES = 0.6, 4
-#: First pages of all hosts up to this many bytes are broadcast; more are joined, each host cut into SALTS.
+#: Texts of so many words or characters count wherever they stand under one path of tags.
+LONG_WORDS, LONG_CHARS = 4, 24
+#: Wrappers of all hosts up to this many bytes are broadcast; more are joined, each host cut into SALTS.
 BROADCAST_BYTES, SALTS = 16 << 20, 16
 
 #: Elements without content of their own, furniture, elements inside a line, elements that end a sibling.
@@ -51,12 +55,12 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element with its child nodes; a leaf (tag None) has a text and the share of it inside links."""
 
-    __slots__ = ("tag", "children", "text", "linked", "shape", "main")
+    __slots__ = ("tag", "children", "text", "linked", "shape", "main", "name")
 
     def __init__(self, tag: str | None, text: str = "", linked: int = 0, main: bool = False):
         self.tag, self.text, self.linked, self.main = tag, text, linked, main
         self.children: list[Node] = []
-        self.shape = ""
+        self.shape = self.name = ""
 
     def leaves(self) -> Iterator[Node]:
         todo = [self]
@@ -208,7 +212,6 @@ def read_tree(html: str | None) -> Node:
             node.children = [child for child in node.children
                              if child.tag or child.linked <= 0.5 * len("".join(child.text.split()))]
             todo.extend(node.children)
-    best.seal()
     return best
 
 
@@ -219,6 +222,9 @@ def match(one: Node, other: Node) -> tuple[int, list[tuple[Node, Node]]]:
     blocks then need no table."""
     if one.tag != other.tag:
         return 0, []
+    for node in (one, other):
+        if not node.shape:
+            node.seal()
     left, right = one.children, other.children
     total, head, tail = 1, [], []
     if one.tag is None:
@@ -256,49 +262,86 @@ def match(one: Node, other: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return total + best[0][0], head + middle + tail
 
 
-def aligned(tree: Node, first: Node) -> dict[int, Node]:
-    """Leaves of a page by number of the leaf of the host's first page that they align with."""
-    number = {id(leaf): i for i, leaf in enumerate(first.leaves())}
-    return {number[id(theirs)]: ours for ours, theirs in match(tree, first)[1]}
+_MASK = (1 << 64) - 1
 
 
-class _First:
-    """The tree of the host's first page, read again only when it changes."""
+def _mix(place: int, *parts: int) -> int:
+    for part in parts:
+        place = ((place ^ part) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
+        place ^= place >> 29
+    return place
 
-    def __init__(self):
-        self.html, self.tree = None, None
 
-    def of(self, html: str | None) -> Node | None:
-        if html != self.html or self.tree is None:
-            self.html, self.tree = html, None if html is None else read_tree(html)
-        return self.tree
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _signed(place: int) -> int:
+    return place - (1 << 64) if place >> 63 else place
+
 
+def leaf_keys(tree: Node) -> tuple[int, list[tuple[Node, list[tuple[int, int]]]]]:
+    """The place of the root, and each leaf with the (place, text) pairs that may make it template.
 
-def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, leaf, text, content) for each aligned leaf of each page; content tells different pages apart."""
-    sys.setrecursionlimit(1_000_000)  # markup may be nested to any depth
-    first = _First()
+    The place of a long text is its path of tags; that of a short one, which may well be repeated by chance, is the
+    path with the number of each element among its like, from the front and from the back. An element that is named
+    as furniture is a pair of the root's place and its path and name."""
+    root = _mix(1, crc32((tree.tag or "").encode()))
+    found, todo = [], [(tree, root, root, root, 0)]
+    while todo:
+        node, path, front, back, name = todo.pop()
+        if node.tag is None:
+            text = _hash(node.text)
+            long = len(node.text) >= LONG_CHARS or node.text.count(" ") + 1 >= LONG_WORDS
+            keys = [(_signed(path), text)] if long else [(_signed(_mix(front, 2)), text), (_signed(_mix(back, 3)), text)]
+            if name:
+                keys.append((_signed(root), _signed(name)))
+            found.append((node, keys))
+            continue
+        like: dict[str | None, int] = {}
+        for child in node.children:
+            like[child.tag] = like.get(child.tag, 0) + 1
+        seen: dict[str | None, int] = {}
+        below = []
+        for child in node.children:
+            at = seen[child.tag] = seen.get(child.tag, 0) + 1
+            tag, left = crc32((child.tag or "").encode()), like[child.tag] - at
+            inner = _mix(path, tag) if child.tag else path
+            named = name or (child.name and _mix(inner, 4, crc32(child.name.encode())))
+            below.append((child, inner, _mix(front, tag, at), _mix(back, tag, left), named or 0))
+        todo.extend(reversed(below))
+    return _signed(root), found
+
+
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, place, text, content): each text at each place of a page, and each place without a text; content tells
+    different pages apart."""
     for frame in frames:
         rows = []
-        for host, html, start in zip(frame["host"], frame["html"], frame["first_html"]):
-            tree = read_tree(html)
-            content = "\n".join(leaf.text for leaf in tree.leaves())
-            rows += [(host, i, leaf.text, content) for i, leaf in aligned(tree, first.of(start)).items()]
-        yield pd.DataFrame(rows, columns=["host", "leaf", "text", "content"])
+        for host, html in zip(frame["host"], frame["html"]):
+            root, leaves = leaf_keys(read_tree(html))
+            if leaves:
+                content = _hash("\n".join(leaf.text for leaf, _ in leaves))
+                pairs = {pair for _, keys in leaves for pair in keys}
+                rows += [(host, place, text, content) for place, text in pairs]
+                rows += [(host, place, None, content) for place in {place for place, _ in pairs} | {root}]
+        yield pd.DataFrame({"host": [row[0] for row in rows], "place": [row[1] for row in rows],
+                            "text": pd.array([row[2] for row in rows], "Int64"), "content": [row[3] for row in rows]})
 
 
 def _main_text(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(1_000_000)
-    first = _First()
+    last, fixed = None, frozenset()
     for frame in frames:
         out = []
-        for html, start, template in zip(frame["html"], frame["first_html"], frame["template"]):
+        for host, html, template in zip(frame["host"], frame["html"], frame["template"]):
             tree = read_tree(html)
-            leaves = list(tree.leaves())
-            if template is not None and len(template) and start is not None:
-                fixed = set(template)
-                drop = {id(leaf) for i, leaf in aligned(tree, first.of(start)).items() if i in fixed}
-                leaves = [leaf for leaf in leaves if id(leaf) not in drop] or leaves
+            if template is None or not len(template):
+                leaves = list(tree.leaves())
+            else:
+                if host != last:
+                    last, fixed = host, frozenset((pair["place"], pair["text"]) for pair in template)
+                found = leaf_keys(tree)[1]
+                leaves = [leaf for leaf, keys in found if fixed.isdisjoint(keys)] or [leaf for leaf, _ in found]
             out.append("\n".join(leaf.text for leaf in leaves))
         yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": out,
                             "n_chars": [len(text) for text in out]})
@@ -308,26 +351,24 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    first = (pages.filter("host IS NOT NULL AND html IS NOT NULL").groupBy("host")
-             .agg(F.min_by("html", F.struct("page_id", "html")).alias("first_html")))
-    few = (first.agg(F.sum(F.octet_length("first_html"))).collect()[0][0] or 0) <= BROADCAST_BYTES
-
-    def with_host(side: DataFrame, how: str) -> DataFrame:
-        if few:
-            return pages.join(F.broadcast(side), "host", how)
+    counted = (pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html")
+               .mapInPandas(_counted, "host string, place long, text long, content long")
+               .distinct().groupBy("host", "place", "text").count())
+    # Both sides of the join read the counts; few rows are left of them.
+    counted = stage(counted.filter(F.col("count") >= math.ceil(CONSTANT_SHARE * LEAST_PAGES)))
+    of_place = (counted.filter(F.col("text").isNull() & (F.col("count") >= LEAST_PAGES))
+                .select("host", "place", F.col("count").alias("pages")))
+    template = (counted.filter("text IS NOT NULL").join(of_place, ["host", "place"])
+                .filter(F.col("count") >= CONSTANT_SHARE * F.col("pages")))
+    wrapper = stage(template.groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("template")))
+    entries = wrapper.agg(F.sum(16 * F.size("template") + F.octet_length("host"))).collect()[0][0] or 0
+    if entries <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(wrapper), "host", "left")
+    else:
         cut = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-        side = side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        return cut.join(side, ["host", "salt"], how)
-
-    texts = with_host(first, "inner").select("host", "html", "first_html").mapInPandas(
-        _texts, "host string, leaf int, text string, content string")
-    counted = (texts.select("host", "leaf", F.sha2("text", 256).alias("text"), F.xxhash64("content").alias("content"))
-               .distinct().groupBy("host", "leaf", "text").count()
-               .groupBy("host", "leaf").agg(F.max("count").alias("most"), F.sum("count").alias("pages")))
-    template = (counted.filter((F.col("pages") >= LEAST_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
-                .groupBy("host").agg(F.collect_list("leaf").alias("template")))
-    wrapper = first.join(template, "host")
-    return (with_host(wrapper, "left").select("page_id", "url", "html", "first_html", "template")
+        side = wrapper.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = cut.join(side, ["host", "salt"], "left")
+    return (joined.select("page_id", "url", "host", "html", "template")
             .mapInPandas(_main_text, "page_id long, url string, text string, n_chars long"))
 
 
