@@ -1,7 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a small tree of block elements with text leaves; menus, forms, scripts and other parts that their
-element or their class names as furniture are left out. A leaf has places in the tree (see ``leaf_keys``). A text
+element or their role names as furniture are left out, unless they alone hold the page's article or main element. A
+class name or id made of furniture words alone is a vote: it counts if most pages of the host have the element, and
+never against one that holds an article or main element. A leaf has places in the tree (see ``leaf_keys``). A text
 that stands at one place of most of a host's pages of different content is template; all else is content. No page
 is a reference for the others: the counts behind that verdict are summed in Spark over all pages, so a first page
 that is empty or laid out in another way changes nothing, and a host of any size costs a row for each place and text.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
 from zlib import crc32
@@ -37,12 +39,14 @@ BROADCAST_BYTES, SALTS = 16 << 20, 16
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = set("head script style noscript template iframe svg canvas object nav footer aside form button select "
                 "textarea dialog menu audio video map".split())
+#: Of these, no text or element inside is ever looked at.
+SILENT = set("head script style noscript template iframe svg canvas object select textarea button audio video map".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span "
              "strike strong sub sup time tt u var".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
 KEEPS_PARAGRAPH = INLINE | EMPTY
-#: Parts of class names and ids, and roles, that name furniture.
+#: Words of class names and ids, and roles, that name furniture.
 NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu "
             "nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices "
             "alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus respond "
@@ -55,12 +59,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element with its child nodes; a leaf (tag None) has a text and the share of it inside links."""
 
-    __slots__ = ("tag", "children", "text", "linked", "shape", "main", "name")
+    __slots__ = ("tag", "children", "text", "linked", "shape", "main", "name", "lost")
 
     def __init__(self, tag: str | None, text: str = "", linked: int = 0, main: bool = False):
         self.tag, self.text, self.linked, self.main = tag, text, linked, main
         self.children: list[Node] = []
         self.shape = self.name = ""
+        self.lost = False
 
     def leaves(self) -> Iterator[Node]:
         todo = [self]
@@ -115,6 +120,7 @@ class _Reader(HTMLParser):
                 self.lost += 1
                 self.open.append((tag, None))
             return
+        attributes = dict(attrs)
         if tag == "body" and not self.lost:
             return
         self.flush()
@@ -123,13 +129,20 @@ class _Reader(HTMLParser):
         if tag in ENDS:
             self._end(ENDS[tag], {"ul", "ol", "dl", "table"})
         inside = any(name in ("article", "main") for name, _ in self.open)
-        if self.lost or _furniture(tag, dict(attrs), inside):
+        if self.lost or tag in SILENT:
             self.lost += 1
             self.open.append((tag, None))
             return
         home = next(node for _, node in reversed(self.open) if node is not None)
-        attributes = dict(attrs)
         node = Node(tag, main=tag == "main" or attributes.get("role") == "main")
+        node.lost = _furniture(tag, attributes, inside)
+        if tag == "article" or node.main:
+            for _, around in self.open:
+                if around is not None:
+                    around.name = ""
+                    around.lost &= around.tag != "form"  # a form may wrap a whole page
+        else:
+            node.name = _name(tag, attributes)
         home.children.append(node)
         self.open.append((tag, node))
 
@@ -176,43 +189,75 @@ def _furniture(tag: str, attrs: dict, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attrs.get("style") or ""):
         return True
-    if tag in ("html", "body", "main") or tag in ("h1", "h2"):
-        return False
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return any(part.lower() in NAMES for part in _PARTS.findall(named))
+    return False
+
+
+def _name(tag: str, attrs: dict) -> str:
+    """The class name or id that is made of furniture words alone, if any."""
+    if tag in ("html", "body", "main", "article", "h1", "h2"):
+        return ""
+    for named in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = _PARTS.findall(named)
+        if parts and all(part.lower() in NAMES for part in parts):
+            return named
+    return ""
+
+
+def _tops(root: Node, wanted: Callable[[Node], bool], lost: bool) -> list[Node]:
+    """Outermost wanted elements with a text, those in furniture only if ``lost``."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.lost and not lost:
+            continue
+        if wanted(node) and _has_text(node):
+            found.append(node)
+        else:
+            todo.extend(reversed(node.children))
+    return found
+
+
+def _has_text(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag is None:
+            return True
+        todo.extend(child for child in node.children if not child.lost)
+    return False
+
+
+def _kept(root: Node) -> Node:
+    """The tree without the furniture in it; the root itself stays."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.children = [child for child in node.children if not child.lost]
+        todo.extend(node.children)
+    return root
 
 
 def read_tree(html: str | None) -> Node:
-    """The part of a page that may hold its main text: the largest article, else the main element, else all."""
+    """The part of a page that may hold its main text: all outermost articles, else all main elements, else all."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.flush()
-    root, best, size = reader.root, None, 0
-    todo = [root]
-    while todo:
+    root = reader.root
+    for lost in (False, True):
+        for wanted in (lambda node: node.tag == "article", lambda node: node.main):
+            tops = [_kept(node) for node in _tops(root, wanted, lost)]
+            if tops:
+                whole = Node(tops[0].tag)
+                whole.children = [child for top in tops for child in top.children]
+                return whole
+    todo = [_kept(root)]
+    while todo:  # without any marked area, blocks made of links are furniture
         node = todo.pop()
-        if node.tag == "article":
-            length = sum(len(leaf.text) for leaf in node.leaves())
-            if length > size or best is None:
-                best, size = node, length
-        else:
-            todo.extend(node.children)
-    if best is None:
-        todo = [root]
-        while todo and best is None:
-            node = todo.pop()
-            best = node if node.main else None
-            todo.extend(reversed(node.children))
-    if best is None:
-        best = root
-        todo = [root]
-        while todo:  # without any marked area, blocks made of links are furniture
-            node = todo.pop()
-            node.children = [child for child in node.children
-                             if child.tag or child.linked <= 0.5 * len("".join(child.text.split()))]
-            todo.extend(node.children)
-    return best
+        node.children = [child for child in node.children
+                         if child.tag or child.linked <= 0.5 * len("".join(child.text.split()))]
+        todo.extend(node.children)
+    return root
 
 
 def match(one: Node, other: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -287,16 +332,14 @@ def leaf_keys(tree: Node) -> tuple[int, list[tuple[Node, list[tuple[int, int]]]]
     path with the number of each element among its like, from the front and from the back. An element that is named
     as furniture is a pair of the root's place and its path and name."""
     root = _mix(1, crc32((tree.tag or "").encode()))
-    found, todo = [], [(tree, root, root, root, 0)]
+    found, todo = [], [(tree, root, root, root, ())]
     while todo:
-        node, path, front, back, name = todo.pop()
+        node, path, front, back, names = todo.pop()
         if node.tag is None:
             text = _hash(node.text)
             long = len(node.text) >= LONG_CHARS or node.text.count(" ") + 1 >= LONG_WORDS
             keys = [(_signed(path), text)] if long else [(_signed(_mix(front, 2)), text), (_signed(_mix(back, 3)), text)]
-            if name:
-                keys.append((_signed(root), _signed(name)))
-            found.append((node, keys))
+            found.append((node, keys + [(_signed(root), name) for name in names]))
             continue
         like: dict[str | None, int] = {}
         for child in node.children:
@@ -307,8 +350,8 @@ def leaf_keys(tree: Node) -> tuple[int, list[tuple[Node, list[tuple[int, int]]]]
             at = seen[child.tag] = seen.get(child.tag, 0) + 1
             tag, left = crc32((child.tag or "").encode()), like[child.tag] - at
             inner = _mix(path, tag) if child.tag else path
-            named = name or (child.name and _mix(inner, 4, crc32(child.name.encode())))
-            below.append((child, inner, _mix(front, tag, at), _mix(back, tag, left), named or 0))
+            named = (*names, _signed(_mix(inner, 4, crc32(child.name.encode())))) if child.name else names
+            below.append((child, inner, _mix(front, tag, at), _mix(back, tag, left), named))
         todo.extend(reversed(below))
     return _signed(root), found
 

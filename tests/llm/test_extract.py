@@ -37,3 +37,31 @@ def test_only_the_constant_text_goes(spark):
     for i in pages:
         own = [] if i % 4 else [f"own line of {i}"]
         assert got[i] == "\n".join([*own, *(f"part {k} of page {i}" for k in range(1 + i % 4)), *cells(i)])
+
+
+@pytest.mark.parametrize("wrapper", ["has-sidebar", "content-sidebar-wrap", "menu-open", "header-fixed", "sidebar", "menu"])
+def test_names_never_drop_an_article(spark, wrapper):
+    pages = {i: f"<nav><p>home {i}</p></nav><div class='{wrapper}'><form><article><h1>T{i}</h1>{body(i)}</article></form></div>"
+             for i in range(6)}
+    pages[6] = f"<aside><article>{body(6)}</article></aside>"
+    pages[7] = f"<main class='{wrapper}'>{body(7)}</main><aside><article>teaser</article></aside>"
+    got = texts(spark, pages)
+    for i in pages:
+        parts = [f"part {k} of page {i}" for k in range(1 + i % 4)]
+        assert got[i] == "\n".join(([f"T{i}"] if i < 6 else []) + parts)
+
+
+def test_names_inside_an_article_only_vote(spark):
+    """Names with other words in them are content; furniture words alone count if most pages have them."""
+    pages = {i: f"<article>{body(i)}<section id='social-history'><p>history {i}</p></section>"
+                f"<div class='search-results'>result {i}</div>{f'<p class=legal>law {i}</p>' if i < 2 else ''}"
+                f"<div class='share-widget'><p>share {i}</p></div></article>" for i in range(8)}
+    got = texts(spark, pages)
+    for i in pages:
+        assert got[i] == "\n".join([*(f"part {k} of page {i}" for k in range(1 + i % 4)), f"history {i}", f"result {i}",
+                                    *([f"law {i}"] if i < 2 else [])])
+
+
+def test_all_articles_are_kept(spark):
+    got = texts(spark, {1: "<article></article><article><h1>A</h1><p>one</p></article><p>between</p><div><article><p>two</p></article></div>"})
+    assert got == {1: "A\none\ntwo"}
