@@ -4,7 +4,7 @@ A language is a probability for every piece of a fixed public vocabulary (single
 has a segmentation). The probability of a word is the sum over all its segmentations into pieces, computed by
 the forward algorithm; a text is the product over its words, so each distinct word of a task is summed once.
 Piece probabilities are fitted by expectation maximisation on a bounded sample of training documents, with
-expected counts summed in Spark; the driver holds a number for each piece and language.
+expected counts, of words of any length, summed in Spark; the driver holds a number for each piece and language.
 
 Defined results: null texts and texts without any letter give ``und`` with score 0; without any training
 document every text is ``und``. Repeated rows are scored alike, one result a row; a row without id counts as held out. Texts of
@@ -27,13 +27,13 @@ from meshledger.llm.textarrays import slices, words_of
 
 #: Training documents at most; rounds of expectation maximisation; pseudo-count of every piece.
 SAMPLE_DOCS, ROUNDS, PSEUDO = 4000, 2, 0.05
-#: Longest word, in bytes, that expected counts are taken from (scoring has no such bound).
-TRAIN_BYTES = 40
 #: Distinct words a task remembers.
 REMEMBERED = 400_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _RESCALE = 8
+#: Places, and bytes of a block of words, whose pieces are held at once.
+_STRETCH, _CELLS = 4096, 1 << 18
 
 
 def forward(lookup: Lookup, matrix: np.ndarray, length: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -73,23 +73,74 @@ def forward(lookup: Lookup, matrix: np.ndarray, length: np.ndarray, chance: np.n
     return out
 
 
+def _steps(lookup: Lookup, matrix: np.ndarray, length: np.ndarray, chance: np.ndarray, language: np.ndarray,
+           low: int, high: int) -> list[tuple]:
+    """(start, end, rows, numbers, probabilities) of all pieces that start from ``low`` to before ``high``."""
+    rows = int(np.searchsorted(-length, -low, "left"))  # words longer than ``low``
+    width = min(matrix.shape[1], high + lookup.longest) - low
+    out = []
+    for start, end, at, number in lookup.matches(matrix[:rows, low : low + width], np.minimum(length[:rows] - low, width)):
+        if start >= high - low:
+            break
+        out.append((low + start, low + end, at, number, chance[number, language[at]]))
+    return out
+
+
 def expected_counts(lookup: Lookup, matrix: np.ndarray, length: np.ndarray, chance: np.ndarray,
                     language: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected piece counts (pieces x languages) of words of known language, by forward and backward sums."""
-    width = matrix.shape[1]
-    ahead, behind = np.zeros((width + 1, len(matrix))), np.zeros((width + 1, len(matrix)))
+    """Expected piece counts (pieces x languages) of words of known language, by forward and backward sums.
+
+    Words may have any length: sums of ``_RESCALE`` neighbouring places share a scale for each word, and pieces are
+    looked up for a stretch of places at a time."""
+    rows, width = len(matrix), matrix.shape[1]
+    span = min(_STRETCH, max(64, _CELLS // max(1, rows))) // _RESCALE * _RESCALE
+    stretches = [(low, min(low + span, width)) for low in range(0, width, span)]
+    reach = lookup.longest // _RESCALE + 2
+    groups = width // _RESCALE + 1
+    ahead, behind = np.zeros((width + 1, rows)), np.zeros((width + 1, rows))
+    ahead_scale, behind_scale = np.zeros((groups, rows)), np.zeros((groups, rows))
     ahead[0] = 1
-    behind[length, np.arange(len(matrix))] = 1
-    steps = [(start, end, at, number, chance[number, language[at]])
-             for start, end, at, number in lookup.matches(matrix, length)]
-    for start, end, at, _, p in steps:
-        ahead[end, at] += ahead[start, at] * p
-    for start, end, at, _, p in reversed(steps):
-        behind[start, at] += behind[end, at] * p
-    share = weight / ahead[length, np.arange(len(matrix))]
+    behind[length, np.arange(rows)] = 1
+    group = 0
+
+    def enter(to: int) -> None:
+        """Give the groups up to ``to`` their scale; nothing more is added to places before them."""
+        nonlocal group
+        while group < to:
+            group += 1
+            window = ahead[group * _RESCALE : group * _RESCALE + lookup.longest]
+            top = window.max(axis=0)
+            top[top == 0] = 1
+            window /= top
+            ahead_scale[group] = ahead_scale[group - 1] + np.log(top)
+
+    for low, high in stretches:
+        steps = _steps(lookup, matrix, length, chance, language, low, high)
+        for start, end, at, _, p in steps:
+            enter(start // _RESCALE)
+            ahead[end, at] += ahead[start, at] * p
+    enter(groups - 1)
+    each = np.arange(rows)
+    total = np.log(ahead[length, each]) + ahead_scale[length // _RESCALE, each]
     out = np.zeros(chance.shape)
-    for start, end, at, number, p in steps:
-        np.add.at(out, (number, language[at]), ahead[start, at] * p * behind[end, at] * share[at])
+    group = groups
+    for low, high in reversed(stretches):
+        if len(stretches) > 1:
+            steps = _steps(lookup, matrix, length, chance, language, low, high)
+        for start, end, at, number, p in reversed(steps):
+            while group > start // _RESCALE:
+                group -= 1
+                if group + 1 < groups:
+                    top = behind[(group + 1) * _RESCALE : (group + 2) * _RESCALE].max(axis=0)
+                    top[top == 0] = 1
+                    behind_scale[group] = behind_scale[group + 1] + np.log(top)
+                    behind_scale[group, length // _RESCALE <= group] = 0
+                nearby = behind_scale[group : group + reach]
+                change = np.exp(nearby - behind_scale[group])
+                share = np.exp(ahead_scale[group] + nearby - total) * weight
+            after, inside = end // _RESCALE - group, behind[end, at] * p
+            behind[start, at] += inside * change[after, at]
+            np.add.at(out, (number, language[at]), ahead[start, at] * inside * share[after, at])
     return out
 
 
@@ -104,7 +155,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[list[str], Looku
     words = (labelled.join(F.broadcast(chosen), "doc_id")
              .select("lang", F.explode(F.split(F.trim("text", F.lit(SPACES)), SPACE_CLASS)).alias("word"))
              .groupBy("lang", "word").count()
-             .filter(F.octet_length("word").between(1, TRAIN_BYTES)).persist())
+             .filter(F.octet_length("word") >= 1).persist())
     languages = sorted(row.lang for row in words.select("lang").distinct().collect())
     place = {language: i for i, language in enumerate(languages)}
     chance = np.full((len(usable), max(1, len(languages))), 1 / len(usable))
