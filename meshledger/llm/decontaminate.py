@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced seeds, DataFrame functions only.
 
 A seed is a fixed mask over neighbouring tokens: positions outside the mask are ignored, so a substituted token
-there does not hide a copied passage. Every mask at every place of a text gives one hash; hashes found in the
+there does not hide a copied passage. Every mask at every place of a text gives one hash, and the masks of an item's
+length are such that whatever substitutions the criterion allows leave one of them whole; hashes found in the
 benchmark are hits, a hit fixes an alignment of item and text, and the alignment is verified by comparing
 token after token: some window of ``WINDOW`` item tokens (the whole item, if shorter) must agree in all but
 ``window * TOLERANCE`` places.
 
-Defined results: null and empty texts, and texts or items shorter than a mask, give no row; a document without
+Defined results: null and empty texts give no row; an item of four tokens or fewer is found word for word, so one of
+a single word in every document with that word; a document without
 id cannot be named, so gives none; repeated rows give one row; an empty table gives an empty result. Other
 columns of the tables are not read.
 """
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 from meshledger.llm.shared import LOWER, SPACE_CLASS, SPACES, UPPER, table
 
 #: Token positions of each mask.
-MASKS = ((0, 1, 2, 5, 6), (0, 2, 3, 4, 7))
-SPAN = 1 + max(max(mask) for mask in MASKS)
+MASKS = ((0, 1, 2, 5, 6), (0, 2, 3, 4, 7), (0, 1, 2, 3, 4), (0, 1, 2, 4, 7), (0, 1, 3, 4, 5), (0, 1, 3, 4),
+         (0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 2), (0, 1), (0,))
+#: Numbers of the masks of items of so many tokens (longer ones: ``WINDOW``). Any substitutions that leave
+#: enough tokens leave the places of one mask unchanged; a test enumerates them.
+MASKS_OF = {1: (11,), 2: (10,), 3: (9,), 4: (6,), 5: (5, 6, 7, 8), 6: (5, 6), 7: (5,), 8: (2, 4), 9: (4,),
+            10: (0, 2, 3, 4), 11: (0, 2, 3), 12: (0, 1, 2)}
 WINDOW, TOLERANCE = 12, 0.2
 #: Fixed value: punctuation that is no part of a token.
 PUNCTUATION = ".,;:!?\"()[]"
@@ -34,13 +40,22 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda word: F.xxhash64(word))
 
 
-def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each mask at each place: keys, tokens, place (from 0), seed."""
-    places = F.when(F.size("tokens") >= SPAN, F.sequence(F.lit(0), F.size("tokens") - SPAN))
+def seeds(df: DataFrame, keys: list[str], masks: list[int], of_items: bool = False) -> DataFrame:
+    """A row for each mask at each place where it fits: keys, tokens, place (from 0), seed. Of items, only the masks
+    of their length."""
+    spans = {number: 1 + MASKS[number][-1] for number in masks}
+    shortest = min(spans.values())
+    places = F.when(F.size("tokens") >= shortest, F.sequence(F.lit(0), F.size("tokens") - shortest))
     placed = df.select(*keys, "tokens", F.explode(places).alias("place"))
-    each = [F.xxhash64(F.lit(number), *[F.get("tokens", F.col("place") + at) for at in mask])
-            for number, mask in enumerate(MASKS)]
-    return placed.select(*keys, "tokens", "place", F.explode(F.array(*each)).alias("seed"))
+    each = []
+    for number, span in spans.items():
+        fits = F.col("place") + span <= F.size("tokens")
+        if of_items:
+            lengths = [length for length, numbers in MASKS_OF.items() if number in numbers]
+            fits &= F.least(F.size("tokens"), F.lit(WINDOW)).isin(lengths)
+        seed = F.xxhash64(F.lit(number), *[F.get("tokens", F.col("place") + at) for at in MASKS[number]])
+        each.append(F.when(fits, seed))
+    return placed.select(*keys, "tokens", "place", F.explode(F.array(*each)).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _verdict(agree: Column) -> Column:
@@ -57,12 +72,14 @@ def _verdict(agree: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, matched (agreeing tokens of the best alignment), item_tokens."""
     items = (benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
-             .filter(F.col("item_id").isNotNull()).distinct())
-    wanted = (seeds(items, ["item_id"]).select("seed", F.struct("item_id", "tokens", "place").alias("item"))
+             .filter(F.col("item_id").isNotNull() & (F.col("tokens") != token_hashes(F.lit("")))).distinct())
+    lengths = [row[0] for row in items.select(F.least(F.size("tokens"), F.lit(WINDOW))).distinct().collect()]
+    masks = sorted({number for length in lengths or [WINDOW] for number in MASKS_OF[length]})
+    wanted = (seeds(items, ["item_id"], masks, of_items=True).select("seed", F.struct("item_id", "tokens", "place").alias("item"))
               .distinct())
     few = wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     found = (seeds(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-                   .select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"])
+                   .select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"], masks)
              .join(F.broadcast(wanted) if few else wanted, "seed"))
     shift = F.col("place") - F.col("item.place")
     agree = F.transform("item.tokens", lambda token, at: F.when(
@@ -84,14 +101,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The SQL states the first two masks; it lacks the leaks that only the others find.
+SQL_MASKS, SQL_SPAN = MASKS[:2], 8
+
+
 def _sql_tokens(name: str, key: str, source: str) -> str:
     return f"""
 {name}_words AS (SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}{PUNCTUATION}', '{LOWER}'),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM {source} WHERE {key} IS NOT NULL),
-{name} AS (SELECT DISTINCT {key}, words, unnest(range(0, len(words) - {SPAN - 1})) AS place FROM {name}_words),
+{name} AS (SELECT DISTINCT {key}, words, unnest(range(0, len(words) - {SQL_SPAN - 1})) AS place FROM {name}_words),
 {name}_seeds AS ({" UNION ALL ".join(
     f"SELECT {key}, words, place, [{', '.join(f'words[place + {1 + at}]' for at in mask)}] AS seed, {n} AS mask FROM {name}"
-    for n, mask in enumerate(MASKS))})"""
+    for n, mask in enumerate(SQL_MASKS))})"""
 
 
 SQL = f"""
