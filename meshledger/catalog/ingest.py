@@ -165,6 +165,40 @@ def constraint_violations(spark, folder):
         F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
 
 
+@query("constraint_violations_machines", """
+WITH v AS (
+  SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 2 = 0 THEN [
+    CASE WHEN s_suppkey % 3 = 0 THEN 'device.primary_ip4.address: ip' END,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'device.primary_ip6.address: ip' END]
+  ELSE list_transform([
+    CASE WHEN s_suppkey % 3 = 0 THEN 'virtual_machine.device.primary_ip4.address: ip' END,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'virtual_machine.device.status: in' END,
+    CASE WHEN s_suppkey % 7 = 0 THEN 'virtual_machine.primary_ip4.address: ip' END,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'virtual_machine.primary_ip6.address: ip' END],
+    lambda x: CASE WHEN s_suppkey % 4 = 3 THEN 'virtual_disk.' || x ELSE x END) END
+  || ['timestamp: required', 'id: uuid']) AS violation FROM supplier)
+SELECT s_suppkey, string_agg(violation, '; ' ORDER BY violation) AS violations
+FROM v WHERE violation IS NOT NULL GROUP BY 1""")
+def constraint_violations_machines(spark, folder):
+    k = F.col("s_suppkey")
+
+    def address(every, bad, good):
+        return {"address": F.when(k % every == 0, bad).otherwise(good)}
+
+    device = {"name": F.lit("d"), "status": F.lit("active"), "primary_ip4": address(3, "10.0.0.256", "10.0.0.1"),
+              "primary_ip6": address(5, "::x", "::1")}
+    machine = {"name": F.lit("m"), "status": F.lit("active"), "primary_ip4": address(7, "", "10.0.0.2"),
+               "primary_ip6": address(5, "nowhere", "fe80::1"),
+               "device": device | {"status": F.when(k % 5 == 0, "lost").otherwise("active"), "primary_ip6": {"address": F.lit("::1")}}}
+    seen = (F.when(k % 2 == 0, entity(device=device))
+            .when(k % 4 == 3, entity(virtual_disk={"name": F.lit("v"), "virtual_machine": machine}))
+            .otherwise(entity(virtual_machine=machine)))
+    found = check_constraints(as_requests(table(spark, folder, "supplier"), k, F.array(seen)),
+                              ("device", "virtual_machine", "virtual_disk"))
+    return found.groupBy(F.substring("id", 2, 20).cast("bigint").alias("s_suppkey")).agg(
+        F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
+
+
 @query("source_allow_list", """
 SELECT event_id, event_type AS producer_app_name FROM events
 WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING min(event_id) % 2 = 0)""")

@@ -139,6 +139,7 @@ def constraint_rules() -> list[tuple[str, str, str, object]]:
     text("interface", "mode", allowed=R.INTERFACE_MODES)
 
     rules.append(("ip_address", "address", "ip", None))
+    rules.append(("primary_ip", "address", "ip", None))
     text("ip_address", "status", allowed=R.IP_STATUSES)
     text("ip_address", "role", allowed=R.IP_ROLES)
     text("ip_address", "dns_name", high=255, pattern=r"^([0-9A-Za-z_-]+|\*)(\.[0-9A-Za-z_-]+)*\.?$")
@@ -213,12 +214,14 @@ def is_plain_text(entity: str, field_name: str) -> bool:
 _INSIDE: dict[str, dict[str, str]] = {
     "platform": {"manufacturer": "manufacturer"},
     "device_type": {"manufacturer": "manufacturer"},
-    "device": {"site": "site", "platform": "platform", "device_type": "device_type", "role": "device_role"},
+    "device": {"site": "site", "platform": "platform", "device_type": "device_type", "role": "device_role",
+               "primary_ip4": "primary_ip", "primary_ip6": "primary_ip"},
     "interface": {"device": "device"},
     "ip_address": {"interface": "interface"},
     "prefix": {"site": "site"},
     "cluster": {"site": "site", "type": "cluster_type", "group": "cluster_group"},
-    "virtual_machine": {"site": "site", "cluster": "cluster", "role": "device_role", "platform": "platform"},
+    "virtual_machine": {"site": "site", "cluster": "cluster", "role": "device_role", "platform": "platform",
+                        "device": "device", "primary_ip4": "primary_ip", "primary_ip6": "primary_ip"},
     "vminterface": {"virtual_machine": "virtual_machine"},
     "virtual_disk": {"virtual_machine": "virtual_machine"},
 }
@@ -247,7 +250,7 @@ def _checks_of(root: str, entity: str) -> str:
                     read = f"coalesce({read}, '')"
                 checks.append(f"CASE WHEN {value} IS NOT NULL AND {_violated(read, rule, argument)} "
                               f"THEN '{path}.{field_name}: {rule}' END")
-        for field_name, rule, argument in _TAG_RULES:
+        for field_name, rule, argument in _TAG_RULES if name != "primary_ip" else ():
             broken = _violated(f"coalesce(t.{field_name}, '')", rule, argument)
             checks.append(f"CASE WHEN exists({value}.tags, t -> {broken}) "
                           f"THEN '{path}.tags.{field_name}: {rule}' END")
