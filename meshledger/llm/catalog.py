@@ -11,6 +11,8 @@ from meshledger.llm.kneser_ney import op2_kneser_ney
 from meshledger.llm.langid import op9_language_id
 from meshledger.llm.neighbours import op6_nearest
 from meshledger.llm.quality import op1_quality
+from meshledger.llm.retrieval import SQL as SEARCH_SQL
+from meshledger.llm.retrieval import op11_search
 from meshledger.llm.substrings import SQL as SUBSTRINGS_SQL
 from meshledger.llm.substrings import op5_substrings
 from meshledger.llm.toxicity import op10_toxicity
@@ -26,8 +28,10 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_search": op11_search,
 }
 SQL = {
     "op5_substrings": SUBSTRINGS_SQL,
     "op8_decontaminate": DECONTAMINATE_SQL,
+    "op11_search": SEARCH_SQL,
 }
