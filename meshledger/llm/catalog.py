@@ -16,6 +16,8 @@ from meshledger.llm.retrieval import op11_search
 from meshledger.llm.substrings import SQL as SUBSTRINGS_SQL
 from meshledger.llm.substrings import op5_substrings
 from meshledger.llm.toxicity import op10_toxicity
+from meshledger.llm.variants import SQL as VARIANTS_SQL
+from meshledger.llm.variants import op13_variants
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -29,9 +31,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
     "op11_search": op11_search,
+    "op13_variants": op13_variants,
 }
 SQL = {
     "op5_substrings": SUBSTRINGS_SQL,
     "op8_decontaminate": DECONTAMINATE_SQL,
     "op11_search": SEARCH_SQL,
+    "op13_variants": VARIANTS_SQL,
 }
