@@ -10,6 +10,7 @@ from meshledger.llm.jaccard import op3_jaccard
 from meshledger.llm.kneser_ney import op2_kneser_ney
 from meshledger.llm.langid import op9_language_id
 from meshledger.llm.neighbours import op6_nearest
+from meshledger.llm.pii import op12_pii
 from meshledger.llm.quality import op1_quality
 from meshledger.llm.retrieval import SQL as SEARCH_SQL
 from meshledger.llm.retrieval import op11_search
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
     "op11_search": op11_search,
+    "op12_pii": op12_pii,
     "op13_variants": op13_variants,
 }
 SQL = {
