@@ -24,6 +24,8 @@ _OUTER_ORDER = {
     "prefix": (60, 61), "interface": (60, 61), "vm_interface": (60, 61), "virtual_disk": (60, 61),
     "ip_address": (70, 71),
 }
+# Notes stand behind all changes of a root, one place for each slot.
+_NOTES = 1000
 # A new interface or address emits its tags before everything below it.
 _EARLY_TAGS = {"ip_address": 1, "interface": 2}
 
@@ -113,7 +115,8 @@ def _places(slot: str) -> tuple[str, str]:
 
 
 def emit_changes(propagated: DataFrame) -> DataFrame:
-    """One row per change and root, in place order but not yet unique."""
+    """One row per change and root, in place order but not yet unique, and a note for every stored object that is seen with
+    a parent it does not have so far: which parents (``data``), and whether the object is changed (``object_id`` 1 or 0)."""
     record = propagated.schema["n_site"].dataType["record"].dataType.simpleString()
     in_tree = "(n_device IS NOT NULL OR n_vm IS NOT NULL OR n_cluster IS NOT NULL)"
     lists = []
@@ -129,6 +132,13 @@ def emit_changes(propagated: DataFrame) -> DataFrame:
             f"CASE WHEN changed_{name} THEN array(named_struct('place', {own_place}, 'pos', 0, "
             f"'unique', {unique}, 'object_type', n_{name}.object_type, 'object_key', n_{name}.object_key, "
             f"'object_id', n_{name}.object_id, 'data', data_{name}, 'record', n_{name}.record)) END")
+        if SLOTS[name].parents:
+            n = "n_" + name
+            lists.append(
+                f"CASE WHEN NOT {n}.created AND NOT {n}.kept AND size({n}.unset_parents) > 0 THEN array(named_struct("
+                f"'place', {_NOTES + len(lists)}, 'pos', 0, 'unique', false, 'object_type', {n}.object_type, "
+                f"'object_key', {n}.object_key, 'object_id', CAST(changed_{name} AS BIGINT), "
+                f"'data', concat_ws(',', {n}.unset_parents), 'record', CAST(NULL AS {record}))) END")
     return propagated.selectExpr("seq", f"inline(flatten(array_compact(array({', '.join(lists)}))))")
 
 
@@ -153,14 +163,22 @@ def order_changes(changes: DataFrame) -> DataFrame:
         content_key(F.col("seq"), F.col("ord").cast("string")).alias("change_id"),
         F.when(F.col("object_id").isNotNull(), "update").otherwise("create").alias("change_type"),
         "object_type", "object_key", "object_id", F.lit(None).cast("bigint").alias("object_version"),
-        "data", "record")
+        "data", "record", F.when(F.col("place") >= _NOTES, F.col("data")).alias("noted"))
 
 
-def decide(folded: DataFrame) -> DataFrame:
-    """All steps from folded nodes to numbered changes; one shuffle, by root."""
+def decide_noted(folded: DataFrame) -> DataFrame:
+    """All steps from folded nodes to numbered changes and notes; one shuffle, by root."""
     return order_changes(dedup_changes(emit_changes(propagate_changes(gather_roots(folded)))))
 
 
+def without_notes(noted: DataFrame) -> DataFrame:
+    return noted.where(F.col("noted").isNull()).drop("noted")
+
+
+def decide(folded: DataFrame) -> DataFrame:
+    return without_notes(decide_noted(folded))
+
+
 def assemble_change_sets(changes: DataFrame) -> DataFrame:
     """One row per root with its changes in order."""
     change = F.struct("ord", "change_id", "change_type", "object_type", "object_id", "object_version", "data")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import identity_of_key
+from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import CHUNK, add_chunks, carry_forward
 from meshledger.operators.tags import (
     first_attached, first_seen_tags, mark_known, merge_tags, tag_history, tag_links,
@@ -61,8 +62,10 @@ def attach_history(rows: DataFrame, history: DataFrame, chunked: bool) -> DataFr
     return rows.join(history, [*KEYS, CHUNK], "left")
 
 
-def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Nodes with ``before_x`` (held before this root), flags, and the asked-for values."""
+def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None,
+                      since: DataFrame | None = None) -> DataFrame:
+    """Nodes with ``before_x`` (held before this root), flags, and the asked-for values. Parents are held from
+    where ``since`` says that they are attached."""
     state = guard_identity(state)
     touched = state_of_batch(state, nodes)
     links = tag_links(nodes)
@@ -70,9 +73,10 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
     stored = touched.select(*KEYS, F.lit("").alias("seq"), F.lit(0).alias("ord"), "object_id", "slug",
                             *SCALARS, *REFS, F.lit(True).alias("_stored"))
     feed = nodes.unionByName(stored, allowMissingColumns=True).withColumn("_seen", F.lit(True))
+    feed, attached_as = add_attached(feed, since, {r: r[4:] for r in REFS})
     feed, chunked = add_chunks(feed, KEYS, "seq", hot_rows)
     feed = attach_history(feed, tag_history(attached), chunked)
-    last = ["object_id", *SCALARS, *REFS, "_seen", "_stored"]
+    last = ["object_id", *SCALARS, *attached_as.values(), "_seen", "_stored"]
     carried = carry_forward(feed, KEYS, ["seq", "ord"], last, ["slug"], chunked)
     carried = carried.where(F.col("seq") != "")
     # An object that was not in the inventory got its defaults when it was created.
@@ -82,13 +86,15 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
         filled = (f"coalesce(before_{c}, CASE WHEN before__seen AND before__stored IS NULL THEN {default} END)"
                   if default else f"before_{c}")
         held.append(f"'{c}', {filled}")
-    held += [f"'{c}', before_{c}" for c in ("object_id", "slug", "_seen", "_stored", *REFS)]
+    held += [f"'{c}', before_{c}" for c in ("object_id", "slug", "_seen", "_stored")]
+    held += [f"'{c}', before_{at}" for c, at in attached_as.items()]
     # Two nodes of one root may be the same object; both are compared with the state before the root.
     same_root = Window.partitionBy(*KEYS, CHUNK, "seq").orderBy("ord")
     carried = carried.withColumn(
         "_last", F.expr(f"named_struct({', '.join(held)})")).withColumn(
         "was", F.first("_last").over(same_root))
     drop = ["before_" + c for c in (*last, "slug")] + ["object_id", "_seen", "_stored", CHUNK]
+    drop += [at for c, at in attached_as.items() if at != c]
     return _compare(merge_tags(carried.drop(*drop)))
 
 

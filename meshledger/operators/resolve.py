@@ -3,7 +3,8 @@
 A placeholder parent never replaces a real one: if the object holding it already has such a
 parent, that one is meant. Objects are found by key, so this rewrites keys, from the holder down:
 device, machine or prefix first, then the cluster below a machine. An optional parent that is not
-observed is *kept*: it stays in the payload but is not touched itself.
+observed is *kept*: it stays in the payload but is not touched itself. What a holder has is what was last
+seen since it was attached (see ``attach``); a placeholder that was attached counts below any real parent.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import absent_if_empty, key_part
+from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import add_chunks, carry_forward
 from meshledger.operators.flatten import is_placeholder
 from meshledger.registry import SEPARATOR, SLOTS, UNDEFINED
@@ -19,6 +21,8 @@ from meshledger.registry import SEPARATOR, SLOTS, UNDEFINED
 HOLDERS = {"device": "dcim.device", "vm": "virtualization.virtualmachine", "prefix": "ipam.prefix"}
 HELD = ("role", "device_type", "platform", "cluster", "site")
 CLUSTER_HELD = ("cluster_group", "cluster_type")
+#: Optional parents: a holder may have been given a placeholder of these and later be seen without any.
+KEPT = ("platform", "cluster")
 CLUSTER = "virtualization.cluster"
 PLATFORM = "dcim.platform"
 
@@ -68,6 +72,7 @@ def _narrow(keyed: DataFrame) -> DataFrame:
         "cluster_group": _on("cluster") & is_placeholder("cluster_group"),
         "cluster_type": _on("cluster") & is_placeholder("cluster_type"),
     }
+    blank = {s: F.when((holder if s == "platform" else _on("vm")) & is_placeholder(s), F.col("key_" + s)) for s in KEPT}
     platform = F.col("key_platform")
     by_name = _observed_key("platform").isNotNull() & ~_on("platform_manufacturer")
     rows = keyed.where(holder | _on("prefix") | _on("cluster") | by_name).select(
@@ -80,6 +85,7 @@ def _narrow(keyed: DataFrame) -> DataFrame:
             F.concat(F.lit(SEPARATOR), "seq")).alias("platform_name"),
         *[c.alias("own_" + n) for n, c in own.items()],
         *[c.alias("want_" + n) for n, c in wanted.items()],
+        *[c.alias("blank_" + n) for n, c in blank.items()],
     )
     return rows
 
@@ -91,32 +97,36 @@ def _held_in_state(state: DataFrame, keys: DataFrame, references: dict[str, str]
 
 
 def _latest(rows: DataFrame, names: tuple[str, ...], type_column: Column, key_column: Column,
-            state: DataFrame, references: dict[str, str], hot_rows: int | None) -> DataFrame:
-    """Add ``real_x``: the latest observed or stored parent of the holder, this row included."""
-    owned = ["own_" + n for n in names]
+            state: DataFrame, references: dict[str, str], hot_rows: int | None, since: DataFrame | None) -> DataFrame:
+    """Add ``real_x``: the parent seen in this row, else the real one the holder has, else the placeholder it has."""
     # Rows without a holder get a key of their own, so that they do not gather anywhere.
     marked = rows.withColumn("object_type", F.coalesce(type_column, F.lit(""))).withColumn(
         "object_key", F.coalesce(key_column, F.concat(F.lit(SEPARATOR), "seq")))
     keys = marked.where(F.col("object_type") != "").select("object_type", "object_key").distinct()
     both = marked.unionByName(_held_in_state(state, keys, references), allowMissingColumns=True)
+    seen = {"own_" + n: references[n] for n in names} | {"blank_" + n: references[n] for n in names if n in KEPT}
+    both, attached = add_attached(both, since, seen)
     both, chunked = add_chunks(both, ["object_type", "object_key"], "seq", hot_rows)
-    carried = carry_forward(both, ["object_type", "object_key"], ["seq"], owned, chunked=chunked)
-    real = [F.coalesce(F.col("own_" + n), F.col("before_own_" + n)).alias("real_" + n) for n in names]
+    carried = carry_forward(both, ["object_type", "object_key"], ["seq"], list(attached.values()), chunked=chunked)
+    held = {c: F.col("before_" + at) for c, at in attached.items()}
+    real = [F.coalesce(F.col("own_" + n), held["own_" + n], *[held["blank_" + k] for k in KEPT if k == n]).alias("real_" + n)
+            for n in names]
     return carried.where(F.col("seq") != "").select(*rows.columns, *real)
 
 
-def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = None,
+                    since: DataFrame | None = None) -> DataFrame:
     """(seq, new_<slot> ...) for the roots in which a parent's key differs from the observed one."""
     rows = _narrow(keyed).join(named_platforms(keyed, state), "platform_name", "left")
     rows = rows.withColumn("own_platform", F.coalesce("named_platform", "own_platform"))
     rows = _latest(rows, HELD, F.col("holder_type"), F.col("holder_key"), state,
-                   {h: h for h in HELD}, hot_rows)
+                   {h: h for h in HELD}, hot_rows, since)
     cluster = F.coalesce(F.col("own_cluster"),
                          F.when(F.col("want_cluster"), F.col("real_cluster")), F.col("cluster_key"))
     rows = rows.withColumn("cluster_key", F.when(F.col("cluster_key").isNotNull(), cluster))
     rows = _latest(rows, CLUSTER_HELD, F.when(F.col("cluster_key").isNotNull(), F.lit(CLUSTER)),
                    F.col("cluster_key"), state,
-                   {"cluster_group": "group", "cluster_type": "type"}, hot_rows)
+                   {"cluster_group": "group", "cluster_type": "type"}, hot_rows, since)
     new = {n: F.when(F.col("want_" + n), F.col("real_" + n)) for n in (*HELD, *CLUSTER_HELD)}
     new["platform"] = F.coalesce(new["platform"], F.col("named_platform"))
     found = rows.select("seq", *[c.alias("new_" + n) for n, c in new.items()])

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.operators.apply import apply_changes
+from meshledger.operators.attach import attachments, by_object, digest
 from meshledger.operators.carry import HOT_ROWS
-from meshledger.operators.changes import assemble_change_sets, decide
+from meshledger.operators.changes import assemble_change_sets, decide_noted, without_notes
 from meshledger.operators.flatten import (
     add_keys, classify_roots, explode_entities, flatten, lay_out, number_copies,
 )
@@ -18,7 +19,7 @@ from meshledger.operators.logs import build_log, request_errors, split_rejects
 from meshledger.operators.resolve import apply_resolution, resolve_parents
 from meshledger.operators.steady import split_steady
 from meshledger.operators.validate import check_envelope
-from meshledger.session import stage
+from meshledger.session import release, stage
 
 
 @dataclass(frozen=True)
@@ -38,18 +39,35 @@ def keyed_roots(roots: DataFrame) -> DataFrame:
 
 
 def find_changes(roots: DataFrame, state: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """The numbered changes of all valid roots.
+    """The numbered changes of all valid roots, staged.
 
-    Roots and nodes are written once: parents' look-ups, the fold, the tag history and the counts
-    per key all read them, and a lost executor then costs one stage, not the whole lineage.
+    Roots, nodes and changes are written once: parents' look-ups, the fold, the tag history and the counts
+    per key all read them, and a lost executor then costs one stage, not the whole lineage. A second round is needed
+    only where a parent was seen without being attached (see ``attach``).
     """
+    spark = state.sparkSession
     keyed = stage(keyed_roots(roots))
-    resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows))
+    assumed, known = None, (0, None)
+    while True:
+        noted = stage(_changes_under(keyed, state, assumed, hot_rows))
+        notes = noted.where(F.col("noted").isNotNull())
+        found = None if notes.isEmpty() else stage(attachments(notes))
+        seen = (0, None) if found is None else digest(found)
+        if seen == known:
+            release(spark, keyed, *[x for x in (found, assumed) if x is not None])
+            return without_notes(noted)
+        release(spark, noted, *([] if assumed is None else [assumed]))
+        known, assumed = seen, by_object(found) if seen[0] else None
+
+
+def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None, hot_rows: int | None) -> DataFrame:
+    """Changes and notes if parents are attached as ``since`` says."""
+    resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows), since)
     nodes = stage(flatten(apply_resolution(keyed, resolved)))
     moving, quiet = split_steady(nodes, state)
     moving = stage(moving)
-    folded = fold_observations(moving, state, limit_for(moving, hot_rows))
-    return decide(folded.unionByName(quiet, allowMissingColumns=True))
+    folded = fold_observations(moving, state, limit_for(moving, hot_rows), since)
+    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True))
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
@@ -73,7 +91,7 @@ def reconcile(requests: DataFrame, state: DataFrame, responses: DataFrame | None
     if responses is not None:
         taken = roots.join(responses.select(F.col("change_set_id").alias("_refused")),
                            F.md5("seq") == F.col("_refused"), "left_anti")
-    changes = stage(find_changes(taken, state, hot_rows))
+    changes = find_changes(taken, state, hot_rows)
     errors = request_errors(roots, responses)
     _, failed = split_rejects(good, errors)
     rejects = checked.where(F.col("request_error").isNotNull()).withColumn(
