@@ -32,6 +32,8 @@ from meshledger.llm.textarrays import Words, slices, string_buffer
 
 #: Distinct stretches and their pieces a task remembers.
 REMEMBERED = 400_000
+#: Bytes of new stretches encoded at once.
+BLOCK = 128 << 10
 OTHER = -2  # an edge over a character without a piece
 
 
@@ -153,11 +155,12 @@ class Encoder:
         borders of the stretches in ``data``."""
         stretch = np.repeat(np.arange(len(first) - 1), np.diff(first))
         suffix = np.flatnonzero((data & 0xC0) != 0x80)
-        depth = np.arange(self.model.longest)
-        at = suffix[:, None] + depth
-        inside = at < first[stretch[suffix] + 1][:, None]
-        key = np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-        key = np.ascontiguousarray(key).view(f"S{self.model.longest}").ravel()
+        # A view over the padded bytes: only the keys themselves are copied, without an index for each byte.
+        longest = self.model.longest
+        key = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(longest, np.uint8)], longest)[suffix]
+        left = np.minimum(first[stretch[suffix] + 1] - suffix, longest).astype(np.uint8)
+        key *= np.arange(longest, dtype=np.uint8) < left[:, None]
+        key = key.view(f"S{longest}").ravel()
         order = np.argsort(key)
         key, suffix_array = key[order], suffix[order]
         low, high = np.searchsorted(key, self.low, "left"), np.searchsorted(key, self.high, "right")
@@ -207,6 +210,17 @@ class Encoder:
         total = np.bincount(rows, times, len(first) - 1).astype(np.int64)
         return ids.astype(np.int32), np.r_[0, np.cumsum(total)]
 
+    def in_blocks(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, about ``BLOCK`` bytes of stretches at a time: its arrays are many times the bytes."""
+        block = first[:-1] // BLOCK
+        edges = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else [0, 0]
+        ids, count = [], []
+        for i, j in zip(edges[:-1], edges[1:]):
+            part, border = self.encode(data[first[i] : first[j]], first[i : j + 1] - first[i])
+            ids.append(part)
+            count.append(np.diff(border))
+        return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(count))]
+
     def of(self, words: Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and borders of the stretches ``at``, distinct and in ascending order of hash."""
         where = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
@@ -217,7 +231,7 @@ class Encoder:
             first = np.r_[0, np.cumsum(size)]
             data = words.data[np.repeat(words.start[new] - first[:-1], size) + np.arange(first[-1])]
             many = np.flatnonzero((size > 1) & (data[first[:-1]] == 32) & (data[np.minimum(first[:-1] + 1, len(data) - 1)] == 32))
-            ids, border = self.encode(data, first)
+            ids, border = self.in_blocks(data, first)
             if len(many):
                 parts = [ids[i:j] for i, j in zip(border[:-1], border[1:])]
                 for i in many.tolist():

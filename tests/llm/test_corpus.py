@@ -206,3 +206,28 @@ def test_pipeline_against_brute_force(spark, odd):
     assert ordered([(r.doc_id, list(r.ids)) for r in last]) == ordered([(d, model.encode(t or "")) for d, t in kept])
     assert ordered([(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, folder).collect()]) == ordered(
         [(r.doc_id, r.n_tokens) for r in last])
+
+
+def test_encoding_takes_bounded_memory():
+    """2 MB of words that are all different, with one stretch longer than a block."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    import sentencepiece
+
+    from meshledger.llm import encoding
+
+    pick = random.Random(1)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyzéß", k=pick.randrange(3, 12))) for _ in range(220_000)]
+    text = " ".join([*words, "z" * (encoding.BLOCK + 5)])
+    model = encoding.Model.read()
+    encoder = encoding.Encoder(model)
+    tracemalloc.start()
+    ids, border = encoding.encode_texts(pa.array([text, " ".join(words[:50])]), encoder)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    plain = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    assert ids[border[1] : border[2]].tolist() == plain.encode(" ".join(words[:50]))
+    assert ids[:100_000].tolist() == plain.encode(" ".join(words[:60_000]))[:100_000]
