@@ -26,8 +26,11 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     """
     fields = [c for c in empty_state_columns() if c not in (*KEYS, "identity")]
     place = F.struct("seq", "ord")
+    # A record has the fields of the batch's types; all others are null in any object of these types.
+    have = set(changes.schema["record"].dataType.fieldNames())
     objects = changes.where(F.col("object_type") != TAG_TYPE).groupBy(*KEYS).agg(
-        F.max_by("record", place).alias("r")).select(*KEYS, *[F.col("r")[f].alias(f) for f in fields])
+        F.max_by("record", place).alias("r")).select(*KEYS, *[
+            F.col("r")[f].alias(f) if f in have else F.lit(None).cast(state.schema[f].dataType).alias(f) for f in fields])
     tags = _tag_record(changes).groupBy(*KEYS).agg(F.min_by("tag", place).alias("t")).select(
         *KEYS, "t.object_id", "t.slug", "t.color")
     new = objects.unionByName(tags, allowMissingColumns=True).withColumn("_new", F.lit(True))

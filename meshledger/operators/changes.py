@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshledger import registry as R
 from meshledger.functions.scalars import content_key
-from meshledger.registry import NOT_DEDUPED, SLOTS, TAG_TYPE
+from meshledger.registry import ALL, NOT_DEDUPED, SLOTS, TAG_TYPE, Shape
 
 # Place of each slot's changes inside a change set: (tags, object). Machines emit their platform
 # after the role, devices before the device type; see _places.
@@ -62,16 +62,16 @@ def _parent_member(slot_name: str, reference: str, parent: str) -> str:
     return _member(key, around[0] + value + around[1])
 
 
-def propagate_changes(roots: DataFrame) -> DataFrame:
+def propagate_changes(roots: DataFrame, shape: Shape = ALL) -> DataFrame:
     """Per slot: is the object changed once its parents' changes are known, and its payload.
 
     Slots come leaves first, so every parent's columns are there when its holder needs them. What
     a holder sees of a changed parent: tags are not embedded, but a changed parent with parents of
     its own embeds those in short form and so differs in any case.
     """
-    out = roots.selectExpr("seq", *[f"slots['{s}'] AS n_{s}" for s in SLOTS])
+    out = roots.selectExpr("seq", *[f"slots['{s}'] AS n_{s}" for s in shape.slots])
     levels: list[list[R.Slot]] = []
-    for slot in SLOTS.values():
+    for slot in (SLOTS[s] for s in shape.slots):
         depth = 1 + max([i for i, level in enumerate(levels) for s in level if s.name in slot.parents.values()],
                         default=-1)
         if depth == len(levels):
@@ -103,10 +103,10 @@ def propagate_changes(roots: DataFrame) -> DataFrame:
     return out
 
 
-def _places(slot: str) -> tuple[str, str]:
+def _places(slot: str, shape: Shape) -> tuple[str, str]:
     pairs = [o[slot] for o in (_DEVICE_ORDER, _MACHINE_ORDER, _OUTER_ORDER) if slot in o]
     tags, own = str(pairs[0][0]), str(pairs[0][1])
-    if len(pairs) > 1:
+    if len(pairs) > 1 and "vm" in shape.slots:
         tags = f"CASE WHEN n_vm IS NOT NULL THEN {pairs[1][0]} ELSE {tags} END"
         own = f"CASE WHEN n_vm IS NOT NULL THEN {pairs[1][1]} ELSE {own} END"
     if slot in _EARLY_TAGS:
@@ -114,14 +114,15 @@ def _places(slot: str) -> tuple[str, str]:
     return tags, own
 
 
-def emit_changes(propagated: DataFrame) -> DataFrame:
+def emit_changes(propagated: DataFrame, shape: Shape = ALL) -> DataFrame:
     """One row per change and root, in place order but not yet unique, and a note for every stored object that is seen with
     a parent it does not have so far: which parents (``data``), and whether the object is changed (``object_id`` 1 or 0)."""
-    record = propagated.schema["n_site"].dataType["record"].dataType.simpleString()
-    in_tree = "(n_device IS NOT NULL OR n_vm IS NOT NULL OR n_cluster IS NOT NULL)"
+    record = propagated.schema["n_" + shape.slots[0]].dataType["record"].dataType.simpleString()
+    trees = [f"n_{s} IS NOT NULL" for s in ("device", "vm", "cluster") if s in shape.slots]
+    in_tree = f"({' OR '.join(trees)})" if trees else "false"
     lists = []
-    for name in SLOTS:
-        tags_place, own_place = _places(name)
+    for name in shape.slots:
+        tags_place, own_place = _places(name, shape)
         unique = "false" if name in NOT_DEDUPED else in_tree
         lists.append(
             f"CASE WHEN size(n_{name}.tags_new) > 0 THEN transform(n_{name}.tags_new, (t, i) -> named_struct("
@@ -166,9 +167,9 @@ def order_changes(changes: DataFrame) -> DataFrame:
         "data", "record", F.when(F.col("place") >= _NOTES, F.col("data")).alias("noted"))
 
 
-def decide_noted(folded: DataFrame) -> DataFrame:
+def decide_noted(folded: DataFrame, shape: Shape = ALL) -> DataFrame:
     """All steps from folded nodes to numbered changes and notes; one shuffle, by root."""
-    return order_changes(dedup_changes(emit_changes(propagate_changes(gather_roots(folded)))))
+    return order_changes(dedup_changes(emit_changes(propagate_changes(gather_roots(folded), shape), shape)))
 
 
 def without_notes(noted: DataFrame) -> DataFrame:

@@ -13,17 +13,45 @@ from meshledger import registry as R
 from meshledger.functions.scalars import (
     absent_if_empty, arrival_order, fill_slug, key_part, natural_key,
 )
+from meshledger.operators.carry import BROADCAST_KEYS
 from meshledger.operators.validate import (
     INVALID_ROOT, object_type_of, root_error, variant_set,
 )
-from meshledger.registry import SLOTS, UNDEFINED
+from meshledger.registry import ALL, SLOTS, UNDEFINED, Shape
+from meshledger.session import stage
 
 
-def number_copies(requests: DataFrame) -> DataFrame:
+DELIVERY = ("ingestion_ts", "id")
+
+
+def number_copies(requests: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Add ``copy``: 0 for the first request of an id and arrival time, then 1, 2, ... Delivery is at least
-    once and arrival times are coarse, so both may come again; content decides the order of unlike ones."""
-    window = Window.partitionBy("ingestion_ts", "id").orderBy(F.to_json("entities"))
-    return requests.withColumn("copy", F.row_number().over(window) - 1)
+    once and arrival times are coarse, so both may come again; content decides the order of unlike ones.
+
+    ``earlier`` (id, arrival time, n) tells how many came in earlier batches. Only ids and times are grouped, which combines
+    before it shuffles; requests that came once move nowhere. Those that came again are put in ranges of (time, id,
+    content), counted by range, and start from what earlier ranges of their key hold: no key is one task's."""
+    count = requests.groupBy(*DELIVERY).agg(F.count("*").alias("_n"))
+    if earlier is not None:
+        count = count.join(earlier.withColumnRenamed("n", "_earlier"), list(DELIVERY), "left")
+    else:
+        count = count.withColumn("_earlier", F.lit(None).cast("bigint"))
+    again = stage(count.where("_n > 1 OR _earlier > 0").select(*DELIVERY, F.coalesce("_earlier", F.lit(0)).alias("_earlier")))
+    number = again.count()
+    if not number:
+        return requests.withColumn("copy", F.lit(0))
+    side = F.broadcast(again) if number <= BROADCAST_KEYS else again
+    once = requests.join(side, list(DELIVERY), "left_anti").withColumn("copy", F.lit(0))
+    repeated = stage(requests.join(side, list(DELIVERY)).withColumn("_content", F.xxhash64(F.to_json("entities")))
+                     .withColumn("_row", F.monotonically_increasing_id()))
+    placed = stage(repeated.repartitionByRange(*DELIVERY, "_content", "_row").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*DELIVERY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = placed.groupBy("_part", *DELIVERY).count().select(
+        "_part", *DELIVERY, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part", *DELIVERY).orderBy("_content", "_row"))
+    numbered = placed.withColumn("_place", inside).join(start, ["_part", *DELIVERY])
+    copy = (F.col("_earlier") + F.col("_start") + F.col("_place") - 1).cast("int").alias("copy")
+    return once.unionByName(numbered.select(*requests.columns, copy))
 
 
 def explode_entities(requests: DataFrame) -> DataFrame:
@@ -147,14 +175,15 @@ KEY_SCOPE: dict[str, tuple[str, ...]] = {
 }
 
 
-def add_keys(laid: DataFrame) -> DataFrame:
+def add_keys(laid: DataFrame, shape: Shape = ALL) -> DataFrame:
     """``key_<slot>``: natural key of every taken slot, from observed names only."""
-    named = _rows(laid, **{"name_" + s: observed_name(s) for s in SLOTS})
+    named = _rows(laid, **{"name_" + s: observed_name(s) for s in shape.slots})
     mark = "'\\u001f'"
     keys = {"key_" + s: f"CASE WHEN on_{s} THEN concat_ws({mark}, " + ", ".join(
-        [f"name_{s}"] + [f"coalesce(name_{p}, '')" for p in KEY_SCOPE.get(s, ())]) + ") END" for s in SLOTS}
-    own = [f"{_own_values(s)} AS given_{s}" for s in SLOTS]
-    keep = [c for c in laid.columns if not c.startswith("given_")]
+        [f"name_{s}"] + [f"coalesce(name_{p}, '')" for p in KEY_SCOPE.get(s, ())]) + ") END" for s in shape.slots}
+    own = [f"{_own_values(s)} AS given_{s}" for s in shape.slots]
+    free = {prefix + s for s in SLOTS for prefix in ("given_", "on_")} - {"on_" + s for s in shape.slots}
+    keep = [c for c in laid.columns if c not in free]
     return _rows(named, **keys).selectExpr(*keep, *keys, *own)
 
 
@@ -184,7 +213,7 @@ def tag_records(tags: Column) -> Column:
 NO_TAGS = "CAST(NULL AS ARRAY<STRUCT<name: STRING, slug: STRING, color: STRING>>)"
 
 
-def node_struct(slot_name: str) -> str:
+def node_struct(slot_name: str, shape: Shape = ALL) -> str:
     """The observed values of one slot; every slot gives the same struct type."""
     slot, given = SLOTS[slot_name], "given_" + slot_name
     members = {
@@ -193,38 +222,40 @@ def node_struct(slot_name: str) -> str:
         "slug": f"{given}.slug" if slot.type.slug else "CAST(NULL AS STRING)",
         "tags": f"{given}.tags",
     }
-    for column, (kind, _) in R.SCALARS.items():
+    for column in shape.scalars:
+        kind = R.SCALARS[column][0]
         source = f"{given}.{R.SOURCE_FIELD.get(column, column)}" if column in slot.type.scalars else "NULL"
         members[column] = f"CAST({source} AS {kind})"
-    for reference in R.REFERENCES:
+    for reference in shape.references:
         parent = slot.parents.get(reference)
         members["ref_" + reference] = f"key_{parent}" if parent else "CAST(NULL AS STRING)"
     inner = ", ".join(f"'{n}', {v}" for n, v in members.items())
     return f"CASE WHEN key_{slot_name} IS NOT NULL THEN named_struct({inner}) END"
 
 
-def complete(nodes: DataFrame) -> DataFrame:
+def complete(nodes: DataFrame, shape: Shape = ALL) -> DataFrame:
     """What is filled in or emptied, the same for every type: slugs, placeholder values, absent texts."""
     types = F.col("object_type")
     with_slug = [t.name for t in R.TYPES.values() if t.slug]
     slug = F.when(types.isin(*with_slug) & ~F.col("kept"),
                   fill_slug(F.col("slug"), key_part(F.col("object_key"), 1)))
-    values = {c: absent_if_empty(F.col(c)) for c in R.EMPTY_IS_ABSENT}
-    values["size"] = F.nullif(F.col("size"), F.lit(0))
-    for column in {c for t in R.TYPES.values() for c in t.placeholder}:
-        for t in R.TYPES.values():
+    values = {c: absent_if_empty(F.col(c)) for c in R.EMPTY_IS_ABSENT if c in shape.scalars}
+    if "size" in shape.scalars:
+        values["size"] = F.nullif(F.col("size"), F.lit(0))
+    for column in {c for t in shape.types.values() for c in t.placeholder}:
+        for t in shape.types.values():
             if column in t.placeholder:
                 filled = F.col("placeholder") & (types == t.name)
                 values[column] = F.when(filled, t.placeholder[column]).otherwise(values[column])
     return nodes.withColumns({"slug": slug, "tags": tag_records(F.col("tags")), **values})
 
 
-def flatten(keyed: DataFrame, *carried: str) -> DataFrame:
+def flatten(keyed: DataFrame, *carried: str, shape: Shape = ALL) -> DataFrame:
     """One row per object of every root, leaves first; ``carried`` columns are kept on each row."""
-    nodes = ", ".join(node_struct(s) for s in SLOTS)
+    nodes = ", ".join(node_struct(s, shape) for s in shape.slots)
     order = ", ".join(f"'{s}'" for s in SLOTS)
     rows = keyed.selectExpr("seq", *carried, f"inline(array_compact(array({nodes})))")
-    return complete(rows).withColumn("ord", F.expr(f"CAST(array_position(array({order}), slot) AS INT)"))
+    return complete(rows, shape).withColumn("ord", F.expr(f"CAST(array_position(array({order}), slot) AS INT)"))
 
 
 def without_kept(keyed: DataFrame) -> DataFrame:

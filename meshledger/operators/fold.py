@@ -16,7 +16,7 @@ from meshledger.operators.carry import CHUNK, add_chunks, carry_forward
 from meshledger.operators.tags import (
     first_attached, first_seen_tags, mark_known, merge_tags, tag_history, tag_links,
 )
-from meshledger.registry import REFERENCES, SCALARS, TYPES
+from meshledger.registry import ALL, REFERENCES, SCALARS, TYPES, Shape
 
 KEYS = ["object_type", "object_key"]
 REFS = ["ref_" + r for r in REFERENCES]
@@ -63,25 +63,26 @@ def attach_history(rows: DataFrame, history: DataFrame, chunked: bool) -> DataFr
 
 
 def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None,
-                      since: DataFrame | None = None) -> DataFrame:
+                      since: DataFrame | None = None, shape: Shape = ALL) -> DataFrame:
     """Nodes with ``before_x`` (held before this root), flags, and the asked-for values. Parents are held from
     where ``since`` says that they are attached."""
     state = guard_identity(state)
+    refs = ["ref_" + r for r in shape.references]
     touched = state_of_batch(state, nodes)
     links = tag_links(nodes)
     attached = mark_known(first_attached(links, touched), first_seen_tags(links, state))
     stored = touched.select(*KEYS, F.lit("").alias("seq"), F.lit(0).alias("ord"), "object_id", "slug",
-                            *SCALARS, *REFS, F.lit(True).alias("_stored"))
+                            *shape.scalars, *refs, F.lit(True).alias("_stored"))
     feed = nodes.unionByName(stored, allowMissingColumns=True).withColumn("_seen", F.lit(True))
-    feed, attached_as = add_attached(feed, since, {r: r[4:] for r in REFS})
+    feed, attached_as = add_attached(feed, since, {r: r[4:] for r in refs})
     feed, chunked = add_chunks(feed, KEYS, "seq", hot_rows)
     feed = attach_history(feed, tag_history(attached), chunked)
-    last = ["object_id", *SCALARS, *attached_as.values(), "_seen", "_stored"]
+    last = ["object_id", *shape.scalars, *attached_as.values(), "_seen", "_stored"]
     carried = carry_forward(feed, KEYS, ["seq", "ord"], last, ["slug"], chunked)
     carried = carried.where(F.col("seq") != "")
     # An object that was not in the inventory got its defaults when it was created.
     held = []
-    for c in SCALARS:
+    for c in shape.scalars:
         default = default_of(c)
         filled = (f"coalesce(before_{c}, CASE WHEN before__seen AND before__stored IS NULL THEN {default} END)"
                   if default else f"before_{c}")
@@ -95,34 +96,36 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
         "was", F.first("_last").over(same_root))
     drop = ["before_" + c for c in (*last, "slug")] + ["object_id", "_seen", "_stored", CHUNK]
     drop += [at for c, at in attached_as.items() if at != c]
-    return _compare(merge_tags(carried.drop(*drop)))
+    return _compare(merge_tags(carried.drop(*drop)), shape)
 
 
-def _compare(rows: DataFrame) -> DataFrame:
+def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
     asked, after = {}, {}
-    for c in SCALARS:
+    refs = ["ref_" + r for r in shape.references]
+    for c in shape.scalars:
         default, apart = default_of(c), not_carried(c)
         started = [f"CASE WHEN was._seen IS NULL THEN {default} END"] if default else []
         carried = f"CASE WHEN NOT {apart} THEN was.{c} END" if apart else f"was.{c}"
         asked[c] = f"coalesce({', '.join([c, carried, *started])})"
         after[c] = f"coalesce({', '.join([c, f'_last.{c}', *started])})"
-    differs = " OR ".join(f"NOT ({asked[c]} <=> was.{c})" for c in SCALARS)
+    differs = " OR ".join(f"NOT ({asked[c]} <=> was.{c})" for c in shape.scalars)
     # A parent of another identity; an object without the parent so far is not compared.
-    moved = " OR ".join(f"coalesce({r} != was.{r}, false)" for r in REFS)
-    unset = ", ".join(f"CASE WHEN {r} IS NOT NULL AND was.{r} IS NULL THEN '{r[4:]}' END" for r in REFS)
+    moved = " OR ".join(["false", *[f"coalesce({r} != was.{r}, false)" for r in refs]])
+    unset = ", ".join(["CAST(NULL AS STRING)", *[f"CASE WHEN {r} IS NOT NULL AND was.{r} IS NULL THEN '{r[4:]}' END" for r in refs]])
     keys = "object_type, object_key"
     new_id = f"CAST(conv(substring(md5(concat_ws('\\u001f', {keys})), 1, 15), 16, 10) AS BIGINT)"
     rows = rows.selectExpr(
         "*", "was._seen IS NULL AS created", "coalesce(was.slug, slug) AS _slug",
         f"CASE WHEN was._seen THEN coalesce(was.object_id, {new_id}) END AS object_id",
         "split_part(object_key, '\\u001f', 1) AS _name")
-    special = {t.name: t.name_field for t in TYPES.values() if t.name_field != "name"}
-    payload = ["'id', object_id", f"'name', CASE WHEN object_type NOT IN ({quoted(special)}) THEN _name END"]
+    special = {t.name: t.name_field for t in shape.types.values() if t.name_field != "name"}
+    plain = f"CASE WHEN object_type NOT IN ({quoted(special)}) THEN _name END" if special else "_name"
+    payload = ["'id', object_id", f"'name', {plain}"]
     payload += [f"'{f}', CASE WHEN object_type = '{t}' THEN _name END" for t, f in special.items()]
-    payload += ["'slug', _slug", *[f"'{SCALARS[c][1]}', {asked[c]}" for c in SCALARS]]
+    payload += ["'slug', _slug", *[f"'{SCALARS[c][1]}', {asked[c]}" for c in shape.scalars]]
     record = [f"'object_id', coalesce(object_id, {new_id})", "'slug', _slug", "'tags', tags_after"]
-    record += [f"'{c}', {after[c]}" for c in SCALARS]
-    record += [f"'{r}', coalesce({r}, _last.{r})" for r in REFS]
+    record += [f"'{c}', {after[c]}" for c in shape.scalars]
+    record += [f"'{r}', coalesce({r}, _last.{r})" for r in refs]
     return rows.selectExpr(
         "seq", "slot", "ord", *KEYS, "placeholder", "kept", "object_id", "created",
         f"NOT kept AND (created OR {differs}) AS fields_differ",

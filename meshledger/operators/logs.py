@@ -26,7 +26,7 @@ def log_records(roots: DataFrame) -> DataFrame:
         "seq", log_id(F.col("ingestion_ts"), F.col("id"), F.col("position"), F.col("copy")).alias("id"),
         F.col("object_type").alias("data_type"), F.lit("QUEUED").alias("state"),
         F.col("id").alias("request_id"), "ingestion_ts", "producer_app_name", "producer_app_version",
-        "sdk_name", "sdk_version", F.to_json("entity").alias("entity"), "root_error")
+        "sdk_name", "sdk_version", F.to_json("entity").alias("entity"), "copy", "root_error")
 
 
 def final_state(error: Column, change_set_id: Column) -> Column:
@@ -50,7 +50,17 @@ def build_log(roots: DataFrame, change_sets: DataFrame, apply_errors: DataFrame
     return rows.withColumn("error", error).select(
         "id", "data_type", final_state(F.col("error"), F.col("change_set_id")).alias("state"),
         "request_id", "ingestion_ts", "producer_app_name", "producer_app_version", "sdk_name",
-        "sdk_version", "entity", "error", "change_set_id")
+        "sdk_version", "entity", "error", "change_set_id", "copy")
+
+
+def with_change_sets(log: DataFrame, change_sets: DataFrame) -> DataFrame:
+    """Records with the changes of their change set."""
+    return log.join(change_sets.select("change_set_id", "change_set"), "change_set_id", "left")
+
+
+def day_of(ingestion_ts: Column) -> Column:
+    """Days since 1970 of an arrival time."""
+    return F.floor(ingestion_ts / F.lit(86_400_000_000_000)).cast("int")
 
 
 def with_log_key(log: DataFrame) -> DataFrame:
@@ -118,8 +128,17 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
 
+def day_filters(query: LogQuery) -> list[Column]:
+    """The time filter in days, which prunes the partitions of a log that has them."""
+    if query.ingestion_ts_start <= 0 and query.ingestion_ts_end <= 0:
+        return []
+    day = lambda ts: ts // 86_400_000_000_000
+    found = [F.col("day") >= day(query.ingestion_ts_start)]
+    return found + [F.col("day") <= day(query.ingestion_ts_end)] * (query.ingestion_ts_end > 0)
+
+
 def filter_log(log: DataFrame, query: LogQuery) -> DataFrame:
-    return log.where(all_of(log_filters(query)))
+    return log.where(all_of([*log_filters(query), *(day_filters(query) if "day" in log.columns else [])]))
 
 
 def page_size_of(query: LogQuery) -> int:

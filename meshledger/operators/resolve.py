@@ -9,6 +9,9 @@ seen since it was attached (see ``attach``); a placeholder that was attached cou
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from meshledger.functions.scalars import absent_if_empty, key_part
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import add_chunks, carry_forward
 from meshledger.operators.flatten import is_placeholder
-from meshledger.registry import SEPARATOR, SLOTS, UNDEFINED
+from meshledger.registry import ALL, SEPARATOR, UNDEFINED, Shape
 
 HOLDERS = {"device": "dcim.device", "vm": "virtualization.virtualmachine", "prefix": "ipam.prefix"}
 HELD = ("role", "device_type", "platform", "cluster", "site")
@@ -51,43 +54,55 @@ def named_platforms(keyed: DataFrame, state: DataFrame) -> DataFrame:
         F.min_by("platform_key", "place").alias("named_platform"))
 
 
-def _narrow(keyed: DataFrame) -> DataFrame:
+def _any(conditions: list[Column]) -> Column:
+    return reduce(or_, conditions, F.lit(False))
+
+
+def _first_of(values: list[Column]) -> Column:
+    return F.coalesce(*values, F.lit(None).cast("string"))
+
+
+def _narrow(keyed: DataFrame, shape: Shape) -> DataFrame:
     """The few columns the rules need, for the roots that have a holder, cluster or platform."""
-    holder = _on("device") | _on("vm")
-    own = {
-        "role": F.when(holder, _observed_key("role")),
-        "device_type": F.when(_on("device"), _observed_key("device_type")),
-        "platform": _observed_key("platform"),
-        "cluster": _observed_key("cluster"),
-        "site": F.when(_on("prefix"), _observed_key("site")),
-        "cluster_group": F.when(_on("cluster"), _observed_key("cluster_group")),
-        "cluster_type": F.when(_on("cluster"), _observed_key("cluster_type")),
+    has = lambda *slots: _any([_on(s) for s in slots if s in shape.slots])
+    holder = has("device", "vm")
+    own = lambda where, slot: lambda: F.when(where, _observed_key(slot))
+    owned = {
+        "role": own(holder, "role"), "device_type": own(has("device"), "device_type"),
+        "platform": lambda: _observed_key("platform"), "cluster": lambda: _observed_key("cluster"),
+        "site": own(has("prefix"), "site"),
+        "cluster_group": own(has("cluster"), "cluster_group"), "cluster_type": own(has("cluster"), "cluster_type"),
     }
     wanted = {
-        "role": holder & is_placeholder("role"),
-        "device_type": _on("device") & is_placeholder("device_type"),
-        "platform": holder & (is_placeholder("platform") | ~_on("platform")),
-        "cluster": _on("vm") & (is_placeholder("cluster") | ~_on("cluster")),
-        "site": _on("prefix") & is_placeholder("site"),
-        "cluster_group": _on("cluster") & is_placeholder("cluster_group"),
-        "cluster_type": _on("cluster") & is_placeholder("cluster_type"),
+        "role": lambda: holder & is_placeholder("role"),
+        "device_type": lambda: has("device") & is_placeholder("device_type"),
+        "platform": lambda: holder & (is_placeholder("platform") | ~_on("platform")),
+        "cluster": lambda: has("vm") & (is_placeholder("cluster") | ~_on("cluster")),
+        "site": lambda: has("prefix") & is_placeholder("site"),
+        "cluster_group": lambda: has("cluster") & is_placeholder("cluster_group"),
+        "cluster_type": lambda: has("cluster") & is_placeholder("cluster_type"),
+    }
+    blank = {
+        "platform": lambda: F.when(holder & is_placeholder("platform"), F.col("key_platform")),
+        "cluster": lambda: F.when(has("vm") & is_placeholder("cluster"), F.col("key_cluster")),
     }
-    blank = {s: F.when((holder if s == "platform" else _on("vm")) & is_placeholder(s), F.col("key_" + s)) for s in KEPT}
-    platform = F.col("key_platform")
-    by_name = _observed_key("platform").isNotNull() & ~_on("platform_manufacturer")
-    rows = keyed.where(holder | _on("prefix") | _on("cluster") | by_name).select(
-        "seq",
-        F.coalesce(*[F.when(_on(s), F.lit(t)) for s, t in HOLDERS.items()]).alias("holder_type"),
-        F.coalesce(*[F.when(_on(s), F.col("key_" + s)) for s in HOLDERS]).alias("holder_key"),
-        F.when(_on("cluster"), F.col("key_cluster")).alias("cluster_key"),
+    holders = {s: t for s, t in HOLDERS.items() if s in shape.slots}
+    columns = [
+        "seq", _first_of([F.when(_on(s), F.lit(t)) for s, t in holders.items()]).alias("holder_type"),
+        _first_of([F.when(_on(s), F.col("key_" + s)) for s in holders]).alias("holder_key"),
+    ]
+    where = has(*holders, "cluster")
+    if "cluster" in shape.slots:
+        columns.append(F.when(_on("cluster"), F.col("key_cluster")).alias("cluster_key"))
+    if "platform" in shape.slots:
+        by_name = _observed_key("platform").isNotNull() & ~_on("platform_manufacturer")
+        where = where | by_name
         # A key no platform has keeps the rows without a look-up by name apart and spread out.
-        F.when(by_name, key_part(platform, 1)).otherwise(
-            F.concat(F.lit(SEPARATOR), "seq")).alias("platform_name"),
-        *[c.alias("own_" + n) for n, c in own.items()],
-        *[c.alias("want_" + n) for n, c in wanted.items()],
-        *[c.alias("blank_" + n) for n, c in blank.items()],
-    )
-    return rows
+        columns.append(F.when(by_name, key_part(F.col("key_platform"), 1)).otherwise(
+            F.concat(F.lit(SEPARATOR), "seq")).alias("platform_name"))
+    for prefix, parts in (("own_", owned), ("want_", wanted), ("blank_", blank)):
+        columns += [c().alias(prefix + n) for n, c in parts.items() if n in shape.slots]
+    return keyed.where(where).select(*columns)
 
 
 def _held_in_state(state: DataFrame, keys: DataFrame, references: dict[str, str]) -> DataFrame:
@@ -115,42 +130,59 @@ def _latest(rows: DataFrame, names: tuple[str, ...], type_column: Column, key_co
 
 
 def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = None,
-                    since: DataFrame | None = None) -> DataFrame:
-    """(seq, new_<slot> ...) for the roots in which a parent's key differs from the observed one."""
-    rows = _narrow(keyed).join(named_platforms(keyed, state), "platform_name", "left")
-    rows = rows.withColumn("own_platform", F.coalesce("named_platform", "own_platform"))
-    rows = _latest(rows, HELD, F.col("holder_type"), F.col("holder_key"), state,
-                   {h: h for h in HELD}, hot_rows, since)
-    cluster = F.coalesce(F.col("own_cluster"),
-                         F.when(F.col("want_cluster"), F.col("real_cluster")), F.col("cluster_key"))
-    rows = rows.withColumn("cluster_key", F.when(F.col("cluster_key").isNotNull(), cluster))
-    rows = _latest(rows, CLUSTER_HELD, F.when(F.col("cluster_key").isNotNull(), F.lit(CLUSTER)),
-                   F.col("cluster_key"), state,
-                   {"cluster_group": "group", "cluster_type": "type"}, hot_rows, since)
-    new = {n: F.when(F.col("want_" + n), F.col("real_" + n)) for n in (*HELD, *CLUSTER_HELD)}
-    new["platform"] = F.coalesce(new["platform"], F.col("named_platform"))
-    found = rows.select("seq", *[c.alias("new_" + n) for n, c in new.items()])
-    return found.where(F.coalesce(*[F.col("new_" + n) for n in new]).isNotNull())
-
-
-def apply_resolution(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
+                    since: DataFrame | None = None, shape: Shape = ALL) -> DataFrame | None:
+    """(seq, new_<slot> ...) for the roots in which a parent's key differs from the observed one; None if no root of
+    the shape can have such a parent."""
+    held = tuple(n for n in HELD if n in shape.slots and (n != "site" or "prefix" in shape.slots))
+    if not any(s in shape.slots for s in (*HOLDERS, "cluster", "platform")):
+        return None
+    rows = _narrow(keyed, shape)
+    if "platform" in shape.slots:
+        rows = rows.join(named_platforms(keyed, state), "platform_name", "left")
+        rows = rows.withColumn("own_platform", F.coalesce("named_platform", "own_platform"))
+    if any(s in shape.slots for s in HOLDERS):
+        rows = _latest(rows, held, F.col("holder_type"), F.col("holder_key"), state, {h: h for h in held}, hot_rows, since)
+    else:
+        rows = rows.select("*", *[F.col("own_" + n).alias("real_" + n) for n in held])
+    found = held
+    if "cluster" in shape.slots:
+        cluster = F.coalesce(F.col("own_cluster"),
+                             F.when(F.col("want_cluster"), F.col("real_cluster")), F.col("cluster_key"))
+        rows = rows.withColumn("cluster_key", F.when(F.col("cluster_key").isNotNull(), cluster))
+        rows = _latest(rows, CLUSTER_HELD, F.when(F.col("cluster_key").isNotNull(), F.lit(CLUSTER)),
+                       F.col("cluster_key"), state, {"cluster_group": "group", "cluster_type": "type"}, hot_rows, since)
+        found = (*held, *CLUSTER_HELD)
+    new = {n: F.when(F.col("want_" + n), F.col("real_" + n)) for n in found}
+    if "platform" in new:
+        new["platform"] = F.coalesce(new["platform"], F.col("named_platform"))
+    changed = rows.select("seq", *[c.alias("new_" + n) for n, c in new.items()])
+    return changed.where(F.coalesce(*[F.col("new_" + n) for n in new], F.lit(None)).isNotNull())
+
+
+def apply_resolution(keyed: DataFrame, resolved: DataFrame | None, shape: Shape = ALL) -> DataFrame:
     """Put the found parents in place: new keys, and ``kept_<slot>`` for parents only kept."""
+    kept = {s: F.lit(False) for s in shape.slots}
+    if resolved is None:
+        return keyed.withColumns({"kept_" + s: c for s, c in kept.items()})
     rows = keyed.join(resolved, "seq", "left")
-    keys: dict[str, Column] = {s: F.col("key_" + s) for s in SLOTS}
+    keys: dict[str, Column] = {s: F.col("key_" + s) for s in shape.slots}
     for slot in (*HELD, *CLUSTER_HELD):
-        keys[slot] = F.coalesce(F.col("new_" + slot), F.col("key_" + slot))
+        if "new_" + slot in resolved.columns:
+            keys[slot] = F.coalesce(F.col("new_" + slot), F.col("key_" + slot))
     # What scopes a found object is the second part of its key.
     for slot, below in (("device_type", "manufacturer"), ("cluster", "cluster_site")):
-        keys[below] = F.when(_on(slot) & is_placeholder(slot),
-                             F.coalesce(key_part(keys[slot], 2), F.lit(UNDEFINED))).otherwise(keys[below])
-    maker = absent_if_empty(key_part(keys["platform"], 2))
-    keep_maker = _on("platform") & ~_on("platform_manufacturer")
-    keys["platform_manufacturer"] = F.when(keep_maker, maker).otherwise(keys["platform_manufacturer"])
-    kept = {s: F.lit(False) for s in SLOTS}
-    kept["platform"] = ~_on("platform") & keys["platform"].isNotNull()
-    kept["cluster"] = ~_on("cluster") & keys["cluster"].isNotNull()
-    kept["platform_manufacturer"] = keep_maker & maker.isNotNull()
-    changed = set(keyed.columns) - {"key_" + s for s in SLOTS}
+        if slot in keys:
+            keys[below] = F.when(_on(slot) & is_placeholder(slot),
+                                 F.coalesce(key_part(keys[slot], 2), F.lit(UNDEFINED))).otherwise(keys[below])
+    if "platform" in keys:
+        maker = absent_if_empty(key_part(keys["platform"], 2))
+        keep_maker = _on("platform") & ~_on("platform_manufacturer")
+        keys["platform_manufacturer"] = F.when(keep_maker, maker).otherwise(keys["platform_manufacturer"])
+        kept["platform"] = ~_on("platform") & keys["platform"].isNotNull()
+        kept["platform_manufacturer"] = keep_maker & maker.isNotNull()
+    if "cluster" in keys:
+        kept["cluster"] = ~_on("cluster") & keys["cluster"].isNotNull()
+    changed = set(keyed.columns) - {"key_" + s for s in shape.slots}
     return rows.select(*[c for c in keyed.columns if c in changed],
                        *[c.alias("key_" + s) for s, c in keys.items()],
                        *[c.alias("kept_" + s) for s, c in kept.items()])

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import assigned_id
-from meshledger.operators.fold import KEYS, REFS, guard_identity, quoted
-from meshledger.registry import SCALARS, TYPES
+from meshledger.operators.fold import KEYS, guard_identity, quoted
+from meshledger.registry import ALL, TYPES, Shape
 
 # A hot key's rows meet the one row of its key on this many tasks.
 SALTS = 16
@@ -22,16 +22,17 @@ MADE = tuple(t.name for t in TYPES.values() if t.references == ("manufacturer",)
 MAKER = "dcim.manufacturer"
 
 
-def steady_keys(nodes: DataFrame, state: DataFrame) -> DataFrame:
+def steady_keys(nodes: DataFrame, state: DataFrame, shape: Shape = ALL) -> DataFrame:
     """(type, key, first_seq, object_id) of the keys that are observed alike in several roots.
 
     Observations are alike if the smallest and the largest struct of all observed values are equal, nulls
     being values like any other. Types whose fields are all carried qualify if they have no parents, or a
     manufacturer that is steady too.
     """
-    values = F.struct("slug", "tags", *SCALARS, *REFS)
+    values = F.struct("slug", "tags", *shape.scalars, *["ref_" + r for r in shape.references])
+    maker = F.col("ref_manufacturer") if "manufacturer" in shape.references else F.lit(None).cast("string")
     seen = nodes.where(f"object_type IN ({quoted((*LEAVES, *MADE))})").select(
-        *KEYS, "seq", "ref_manufacturer", values.alias("values"))
+        *KEYS, "seq", maker.alias("ref_manufacturer"), values.alias("values"))
     alike = seen.groupBy(*KEYS).agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         F.min("ref_manufacturer").alias("maker"),
@@ -40,18 +41,20 @@ def steady_keys(nodes: DataFrame, state: DataFrame) -> DataFrame:
     makers = alike.where(F.col("object_type") == MAKER).select(F.col("object_key").alias("maker"))
     repeated = alike.where("last_seq > first_seq")
     leaves = repeated.where(f"object_type IN ({quoted(LEAVES)})")
-    made = repeated.where(f"object_type IN ({quoted(MADE)})")
-    made = made.join(makers, "maker", "left_semi").unionByName(made.where("maker IS NULL"))
-    found = leaves.unionByName(made).select(*KEYS, "first_seq")
+    found = leaves
+    if "manufacturer" in shape.references:
+        made = repeated.where(f"object_type IN ({quoted(MADE)})")
+        found = leaves.unionByName(made.join(makers, "maker", "left_semi")).unionByName(made.where("maker IS NULL"))
+    found = found.select(*KEYS, "first_seq")
     stored = guard_identity(state).select(*KEYS, "object_id")
     return found.join(stored, KEYS, "left").select(
         *KEYS, "first_seq", F.coalesce("object_id", assigned_id(*[F.col(k) for k in KEYS])).alias("steady_id"))
 
 
-def split_steady(nodes: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_steady(nodes: DataFrame, state: DataFrame, shape: Shape = ALL) -> tuple[DataFrame, DataFrame]:
     """(nodes to fold, nodes that cannot be changed, with their object's id)."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    keys = steady_keys(nodes, state).withColumn("salt", salts)
+    keys = steady_keys(nodes, state, shape).withColumn("salt", salts)
     marked = nodes.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")).join(
         keys, [*KEYS, "salt"], "left").drop("salt")
     later = F.coalesce(F.col("seq") > F.col("first_seq"), F.lit(False))

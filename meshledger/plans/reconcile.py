@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshledger.operators.apply import apply_changes
 from meshledger.operators.attach import attachments, by_object, digest
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.changes import assemble_change_sets, decide_noted, without_notes
@@ -18,38 +17,53 @@ from meshledger.operators.fold import fold_observations
 from meshledger.operators.logs import build_log, request_errors, split_rejects
 from meshledger.operators.resolve import apply_resolution, resolve_parents
 from meshledger.operators.steady import split_steady
+from meshledger.operators.touched import touched_state
 from meshledger.operators.validate import check_envelope
+from meshledger.registry import ALL, Shape, shape_of
 from meshledger.session import release, stage
+from meshledger.sources.store import FrameState, Snapshot
 
 
 @dataclass(frozen=True)
 class Reconciled:
     changes: DataFrame      # one row per change, numbered inside its change set
     change_sets: DataFrame  # one row per root with its ordered changes
-    state: DataFrame        # the state after the batch
+    state: DataFrame        # the state after the batch; from a snapshot, the buckets it touches
     log: DataFrame          # one record per entity
     errors: DataFrame       # errors per request
     rejects: DataFrame      # requests kept back: bad envelope, or an entity failed
 
 
-def keyed_roots(roots: DataFrame) -> DataFrame:
+def source_of(state: DataFrame | Snapshot) -> FrameState | Snapshot:
+    return FrameState(state) if isinstance(state, DataFrame) else state
+
+
+def keyed_roots(roots: DataFrame, shape: Shape = ALL) -> DataFrame:
     """Valid roots laid out over the slots, with every object's natural key."""
     valid = roots.where(F.col("root_error").isNull()).select("seq", "entity")
-    return add_keys(lay_out(valid))
+    return add_keys(lay_out(valid), shape)
+
 
+def present_shape(roots: DataFrame) -> Shape:
+    """The shape of the valid roots: at most one row per object type comes to the driver."""
+    present = roots.where(F.col("root_error").isNull()).select("object_type").distinct().collect()
+    return shape_of(sorted(row[0] for row in present if row[0])) if present else shape_of(["dcim.site"])
 
-def find_changes(roots: DataFrame, state: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+
+def find_changes(roots: DataFrame, state: DataFrame | Snapshot, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The numbered changes of all valid roots, staged.
 
-    Roots, nodes and changes are written once: parents' look-ups, the fold, the tag history and the counts
+    What the state holds of the batch's objects is looked up once. Roots, nodes and changes are written once: parents' look-ups, the fold, the tag history and the counts
     per key all read them, and a lost executor then costs one stage, not the whole lineage. A second round is needed
     only where a parent was seen without being attached (see ``attach``).
     """
-    spark = state.sparkSession
-    keyed = stage(keyed_roots(roots))
+    spark = roots.sparkSession
+    shape = present_shape(roots)
+    keyed = stage(keyed_roots(roots, shape))
+    state = touched_state(keyed, source_of(state).look_up, shape)
     assumed, known = None, (0, None)
     while True:
-        noted = stage(_changes_under(keyed, state, assumed, hot_rows))
+        noted = stage(_changes_under(keyed, state, assumed, hot_rows, shape))
         notes = noted.where(F.col("noted").isNotNull())
         found = None if notes.isEmpty() else stage(attachments(notes))
         seen = (0, None) if found is None else digest(found)
@@ -60,14 +74,15 @@ def find_changes(roots: DataFrame, state: DataFrame, hot_rows: int | None = HOT_
         known, assumed = seen, by_object(found) if seen[0] else None
 
 
-def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None, hot_rows: int | None) -> DataFrame:
+def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None, hot_rows: int | None,
+                   shape: Shape) -> DataFrame:
     """Changes and notes if parents are attached as ``since`` says."""
-    resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows), since)
-    nodes = stage(flatten(apply_resolution(keyed, resolved)))
-    moving, quiet = split_steady(nodes, state)
+    resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows), since, shape)
+    nodes = stage(flatten(apply_resolution(keyed, resolved, shape), shape=shape))
+    moving, quiet = split_steady(nodes, state, shape)
     moving = stage(moving)
-    folded = fold_observations(moving, state, limit_for(moving, hot_rows), since)
-    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True))
+    folded = fold_observations(moving, state, limit_for(moving, hot_rows), since, shape)
+    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape)
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
@@ -78,14 +93,17 @@ def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
     return hot_rows if hot_rows is not None and staged.count() > hot_rows else None
 
 
-def reconcile(requests: DataFrame, state: DataFrame, responses: DataFrame | None = None,
-              hot_rows: int | None = HOT_ROWS) -> Reconciled:
-    """``responses`` may hold what an inventory answered: (change_set_id, apply_error). A refused root takes no
-    part in the fold: nothing later is compared with values that the inventory never took.
+def reconcile(requests: DataFrame, state: DataFrame | Snapshot, responses: DataFrame | None = None,
+              hot_rows: int | None = HOT_ROWS, earlier: DataFrame | None = None) -> Reconciled:
+    """The state is a table, or a snapshot of a store: then ``Reconciled.state`` has the touched buckets alone.
+
+    ``responses`` may hold what an inventory answered: (change_set_id, apply_error). A refused root takes no
+    part in the fold: nothing later is compared with values that the inventory never took. ``earlier`` may tell which
+    requests came before (see ``number_copies``).
 
     Roots are classified once and written; the changes, the log and the errors read them."""
-    checked = number_copies(check_envelope(requests))
-    good = checked.where(F.col("request_error").isNull()).drop("request_error")
+    checked = check_envelope(requests)
+    good = number_copies(checked.where(F.col("request_error").isNull()).drop("request_error"), earlier)
     roots = stage(classify_roots(explode_entities(good)))
     taken = roots
     if responses is not None:
@@ -95,6 +113,6 @@ def reconcile(requests: DataFrame, state: DataFrame, responses: DataFrame | None
     errors = request_errors(roots, responses)
     _, failed = split_rejects(good, errors)
     rejects = checked.where(F.col("request_error").isNotNull()).withColumn(
-        "errors", F.array("request_error")).drop("request_error").unionByName(failed).drop("copy")
-    return Reconciled(changes, assemble_change_sets(changes), apply_changes(state, changes),
+        "errors", F.array("request_error")).drop("request_error").unionByName(failed.drop("copy"))
+    return Reconciled(changes, assemble_change_sets(changes), source_of(state).after(changes),
                       build_log(roots, changes, responses), errors.drop("copy"), rejects)

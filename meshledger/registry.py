@@ -145,6 +145,42 @@ _SLOTS = (
     _slot("ip_address", "ipam.ipaddress", interface="interface"),
 )
 SLOTS: dict[str, Slot] = {s.name: s for s in _SLOTS}
+#: Slot of the root itself, where it is not named like the entity.
+_ROOT_SLOT = {"device_role": "role", "virtual_machine": "vm", "vminterface": "vm_interface"}
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The slots the roots of a batch can fill, and the columns those need: a batch of sites is planned without
+    the columns, look-ups and steps of machines. The result is the same for any shape that covers the batch."""
+
+    slots: tuple[str, ...]
+
+    @property
+    def types(self) -> dict[str, ObjectType]:
+        return {name: t for name, t in TYPES.items() if any(SLOTS[s].type is t for s in self.slots)}
+
+    @property
+    def scalars(self) -> tuple[str, ...]:
+        return tuple(c for c in SCALARS if any(c in t.scalars for t in self.types.values()))
+
+    @property
+    def references(self) -> tuple[str, ...]:
+        return tuple(r for r in REFERENCES if any(r in SLOTS[s].parents for s in self.slots))
+
+
+def shape_of(type_names) -> Shape:
+    """The shape of roots of these types: their slots and all slots below."""
+    todo = [_ROOT_SLOT.get(TYPES[n].entity, TYPES[n].entity) for n in type_names if n in TYPES]
+    found = set()
+    while todo:
+        slot = todo.pop()
+        found.add(slot)
+        todo += [p for p in SLOTS[slot].parents.values() if p not in found]
+    return Shape(tuple(s for s in SLOTS if s in found))
+
+
+ALL = Shape(tuple(SLOTS))
 
 # Objects of these slots are outside the trees whose changes are made unique by content.
 NOT_DEDUPED = ("interface", "ip_address", "vm_interface", "virtual_disk")

@@ -91,8 +91,11 @@ ERROR = _struct(
         errors=T.ArrayType(_struct(error=STRING, change_id=STRING)),
     ),
 )
+CHANGE = _struct(
+    ord=INT, change_id=STRING, change_type=STRING, object_type=STRING, object_id=LONG, object_version=LONG, data=STRING,
+)
 LOG = _struct(
     id=STRING, data_type=STRING, state=STRING, request_id=STRING, ingestion_ts=LONG,
     producer_app_name=STRING, producer_app_version=STRING, sdk_name=STRING, sdk_version=STRING,
-    entity=STRING, error=ERROR, change_set_id=STRING,
+    entity=STRING, error=ERROR, change_set_id=STRING, change_set=T.ArrayType(CHANGE),
 )

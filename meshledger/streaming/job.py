@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meshledger.operators.carry import HOT_ROWS
-from meshledger.operators.logs import COUNTED_STATES, log_records
+from meshledger.operators.logs import COUNTED_STATES, log_records, with_change_sets
 from meshledger.operators.flatten import classify_roots, explode_entities, number_copies
-from meshledger.operators.validate import check_envelope
+from meshledger.operators.validate import allowed_requests, check_envelope
 from meshledger.plans.reconcile import reconcile
 from meshledger.session import release, stage
+from meshledger.sources.log_table import LogTable
 from meshledger.sources.requests import parse_messages, quarantined_messages, usable_requests
-from meshledger.sources.state import empty_state, state_schema
+from meshledger.sources.store import BUCKETS, StateStore
 
 
 @dataclass(frozen=True)
@@ -32,72 +34,61 @@ class Paths:
         return f"{self.root}/{table}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def read_state(spark: SparkSession, paths: Paths, batch: int, initial: DataFrame | None = None) -> DataFrame:
-    """State before a batch: the previous one's, as batches are numbered without gaps, or ``initial`` before the
-    first. A version that is gone stops the job: going on empty would create every object again."""
-    if batch == 0:
-        return empty_state(spark) if initial is None else initial
-    path = paths.of("state", batch - 1)
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"no state to start batch {batch} from: {path}")
-    return spark.read.schema(state_schema()).parquet(path)
-
-
-def drop_old_states(spark: SparkSession, paths: Paths, batch: int) -> None:
-    """Keep the version of this batch and the one before, which a repeated batch starts from."""
-    if batch >= 2:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.of("state", batch - 2))
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def run_batch(messages: DataFrame, batch: int, paths: Paths, hot_rows: int | None = HOT_ROWS,
-              initial: DataFrame | None = None, answers: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """One micro-batch: log it as queued, reconcile, write changes, final log, rejects and new state.
+              initial: DataFrame | None = None, answers: Callable[[DataFrame], DataFrame] | None = None,
+              buckets: int = BUCKETS, sources: DataFrame | None = None) -> None:
+    """One micro-batch: log it as queued, reconcile, write changes, final log, rejects and the touched part of the state.
 
     ``answers`` stands for the inventory: given the batch's change sets it returns the refused ones as
     (change_set_id, apply_error). The batch is then reconciled again without these, and asked about again, as
-    what came after a refused root may now ask for more; every round refuses a root at least."""
+    what came after a refused root may now ask for more; every round refuses a root at least. With ``sources`` (name) only
+    requests of these producers are taken."""
     spark = messages.sparkSession
     parsed = stage(parse_messages(messages))
     requests = usable_requests(parsed)
-    good = number_copies(check_envelope(requests)).where("request_error IS NULL").drop("request_error")
-    queued = log_records(classify_roots(explode_entities(good))).drop("seq", "root_error")
-    queued.write.mode("overwrite").parquet(paths.of("queued", batch))
-    state = read_state(spark, paths, batch, initial)
-    result = reconcile(requests, state, hot_rows=hot_rows)
-    refused = None
+    if sources is not None:
+        requests = allowed_requests(requests, sources)
+    log = LogTable(paths.all("log"))
+    checked = check_envelope(requests).where("request_error IS NULL").drop("request_error")
+    earlier = log.delivered(checked, batch)
+    earlier = None if earlier is None else stage(earlier)
+    log.write(log_records(classify_roots(explode_entities(number_copies(checked, earlier)))), batch)
+    store = StateStore(paths.root, buckets)
+    if batch == 0:
+        store.begin(spark, initial)
+    # Batches are numbered without gaps. A state that is gone stops the job: going on empty would create all objects again.
+    state = store.snapshot(spark, batch - 1)
+    result = reconcile(requests, state, hot_rows=hot_rows, earlier=earlier)
+    refused, refused_sets = None, []
     while answers is not None:
         more = stage(answers(result.change_sets))
         if more.isEmpty():
             break
         refused = more if refused is None else refused.unionByName(more)
+        refused_sets.append(stage(result.change_sets.join(more.select("change_set_id"), "change_set_id", "left_semi")))
         release(spark, result.changes)
-        result = reconcile(requests, state, refused, hot_rows=hot_rows)
+        result = reconcile(requests, state, refused, hot_rows=hot_rows, earlier=earlier)
     result.changes.drop("record").write.mode("overwrite").parquet(paths.of("changes", batch))
-    result.log.write.mode("overwrite").parquet(paths.of("log", batch))
+    sets = reduce(DataFrame.unionByName, refused_sets, result.change_sets)
+    log.write(with_change_sets(result.log, sets), batch)
     result.rejects.write.mode("overwrite").parquet(paths.of("rejects", batch))
     quarantined_messages(parsed).write.mode("overwrite").parquet(paths.of("quarantine", batch))
-    # The state comes last: while it is missing the batch counts as not done and is run again.
-    result.state.write.mode("overwrite").parquet(paths.of("state", batch))
+    # The state comes last: without its manifest the batch counts as not done and is run again.
+    store.commit(state, result.state, batch)
     release(spark, parsed, result.changes)
-    drop_old_states(spark, paths, batch)
 
 
 def reconcile_stream(messages: DataFrame, root: str, checkpoint: str, hot_rows: int | None = HOT_ROWS,
                      trigger: dict | None = None, on_batch: Callable[[int], None] | None = None,
                      initial: DataFrame | None = None,
-                     answers: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+                     answers: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS,
+                     sources: DataFrame | None = None) -> StreamingQuery:
     """Start the job, on a snapshot of the inventory if ``initial`` is given. At-least-once delivery is made exact
     by the batch number in every path."""
     paths = Paths(root)
 
     def handle(frame: DataFrame, batch: int) -> None:
-        run_batch(frame, batch, paths, hot_rows, initial, answers)
+        run_batch(frame, batch, paths, hot_rows, initial, answers, buckets, sources)
         if on_batch is not None:
             on_batch(batch)
 
