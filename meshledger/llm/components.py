@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.llm.shared import stage
+from meshledger.session import release
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -32,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "one").select(F.col("one"), F.col("two"), F.col("least"))
         small = (small.select(F.col("two").alias("one"), F.col("least").alias("two"))
                  .unionAll(small.select("one", F.col("least").alias("two"))).filter("one <> two").distinct())
-        edges = stage(small)
+        edges, before = stage(small), edges
+        release(links.sparkSession, before)
         after = _digest(edges)
         if after == state:
             break

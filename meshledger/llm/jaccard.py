@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshledger.llm.components import components
-from meshledger.llm.shared import stage, table
+from meshledger.llm.shared import settle, stage, table
+from meshledger.session import release
 from meshledger.llm.sharing import sharing
 from meshledger.llm.textarrays import inside, mix, run_hashes, slices, words_of
 
@@ -187,7 +188,7 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (one, two) whose sets are similar enough."""
+    """The pairs (one, two) whose sets are similar enough, staged."""
     pairs = stage(plausible(pairs, sets))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +211,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("one").alias("doc_id")).unionAll(pairs.select("two")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return (pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
-            .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
-            .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"))
+    found = stage(pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
+                  .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
+                  .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"))
+    release(docs.sparkSession, pairs)
+    return found
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
@@ -238,8 +241,27 @@ def set_keys(docs: DataFrame) -> DataFrame:
                                                "spare_even long, spare_odd long")
 
 
+def pairs_across(member: DataFrame) -> DataFrame:
+    """(signature, across): pairs of members of different components."""
+    each = member.groupBy("signature", "component").count()
+    return each.groupBy("signature").agg(((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2).alias("across"))
+
+
+def needed(member: DataFrame, spare: DataFrame) -> DataFrame:
+    """The members that have to be compared across components. Put a set's filled parts in the order of such pairs, those
+    of signatures without any first: two similar sets meet in one of the first d + 1 of each, as of the parts before their
+    first common one all differ. So a set can do without as many of its largest groups as it has parts to spare."""
+    odd = F.col("signature").bitwiseAND(1)
+    ranked = member.join(pairs_across(member), "signature").join(spare.withColumnRenamed("doc_id", "doc"), "doc")
+    order = Window.partitionBy("doc", odd).orderBy(F.desc("across"), "signature")
+    return (ranked.withColumn("nth", F.row_number().over(order))
+            .filter(F.col("nth") > F.when(odd == 1, F.col("spare_odd")).otherwise(F.col("spare_even")))
+            .select("signature", "doc", "component"))
+
+
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes (doc_id, n_shingles), a row for each row of ``docs``, and (node, component) of linked documents."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(set_keys(docs))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -260,7 +282,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for level in range(len(LEVELS)):
         groups = stage(signature_groups(scope, level))
         stars = stage(groups.select(F.col("doc").alias("one"), F.col("leader").alias("two")).filter("one <> two").distinct())
-        links = links.unionAll(stage(verified(stars, named, sets)))
+        links = links.unionAll(verified(stars, named, sets))
         tried = stars if known is None else known.unionAll(stars)
         part = components(links)
         member = (groups.select("signature", "doc").join(part.withColumnRenamed("node", "doc"), "doc", "left")
@@ -268,31 +290,27 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         mixed = (member.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .filter("low < high").select("signature"))
         member = stage(member.join(mixed, "signature").distinct())
-        each = member.groupBy("signature", "component").count()
-        across = (F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2
+        release(spark, groups, part)
         last = level + 1 == len(LEVELS)
-        crowded = (each.groupBy("signature").agg(across.alias("across"))
-                   .filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
-        plain = member.join(crowded, "signature", "left_anti")
+        chosen = member if level else stage(needed(member, full_spare))
+        crowded = (pairs_across(chosen).filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
+        plain = chosen.join(crowded, "signature", "left_anti").select("signature", "doc", "component")
         other = plain.select("signature", F.col("doc").alias("two"), F.col("component").alias("beside"))
         across = (plain.join(other, "signature").filter("component > beside")
                   .select(F.greatest("doc", "two").alias("one"), F.least("doc", "two").alias("two")).distinct()
                   .join(tried, ["one", "two"], "left_anti"))
         across = stage(across)
-        links = links.unionAll(stage(verified(across, named, sets)))
+        links = links.unionAll(verified(across, named, sets))
         known = tried.unionAll(across)
         if last:
             break
-        onward = member.join(crowded, "signature")
+        # A set that needs a crowded signature has others like it to find; so does one with too few filled parts.
+        onward = chosen.join(crowded, "signature").select(F.col("doc").alias("doc_id"))
         if level == 0:
-            # A set stays if enough of its parts are filled and not crowded; the rest has each other to find.
-            odd = F.col("signature").bitwiseAND(1)
-            lost = onward.groupBy(F.col("doc").alias("doc_id")).agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"))
-            onward = (full_spare.join(lost, "doc_id", "left")
-                      .filter("coalesce(even, 0) > spare_even OR coalesce(odd, 0) > spare_odd").select("doc_id"))
-        else:
-            onward = onward.select(F.col("doc").alias("doc_id"))
+            onward = onward.unionAll(full_spare.filter("spare_even < 0 OR spare_odd < 0").select("doc_id"))
         onward = stage(onward.distinct())
+        release(spark, member, chosen)
+        settle(spark)
         if onward.isEmpty():
             break
         scope = named.join(onward, "doc_id", "left_semi")
