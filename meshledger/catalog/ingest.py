@@ -160,7 +160,7 @@ def constraint_violations(spark, folder):
         "model": F.when(k % 5 == 0, F.repeat(F.lit("m"), 101)).otherwise("m"), "slug": F.col("p_name"),
         "part_number": F.when(k % 4 == 0, F.repeat(F.lit("n"), 51)).otherwise("n"),
         "manufacturer": {"name": F.col("p_brand")}})
-    found = check_constraints(as_requests(table(spark, folder, "part"), k, F.array(seen)), ("device_type",))
+    found = check_constraints(as_requests(table(spark, folder, "part"), k, F.array(seen)))
     return found.groupBy(F.substring("id", 2, 20).cast("bigint").alias("p_partkey")).agg(
         F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
 
@@ -183,22 +183,92 @@ def constraint_violations_machines(spark, folder):
     k = F.col("s_suppkey")
 
     def address(every, bad, good):
-        return {"address": F.when(k % every == 0, bad).otherwise(good)}
+        return {"address": F.when(k % every == 0, bad).otherwise(good), "status": F.lit("active"), "role": F.lit("vip")}
 
     device = {"name": F.lit("d"), "status": F.lit("active"), "primary_ip4": address(3, "10.0.0.256", "10.0.0.1"),
               "primary_ip6": address(5, "::x", "::1")}
     machine = {"name": F.lit("m"), "status": F.lit("active"), "primary_ip4": address(7, "", "10.0.0.2"),
                "primary_ip6": address(5, "nowhere", "fe80::1"),
-               "device": device | {"status": F.when(k % 5 == 0, "lost").otherwise("active"), "primary_ip6": {"address": F.lit("::1")}}}
+               "device": device | {"status": F.when(k % 5 == 0, "lost").otherwise("active"), "primary_ip6": address(1, "::1", "")}}
     seen = (F.when(k % 2 == 0, entity(device=device))
             .when(k % 4 == 3, entity(virtual_disk={"name": F.lit("v"), "virtual_machine": machine}))
             .otherwise(entity(virtual_machine=machine)))
-    found = check_constraints(as_requests(table(spark, folder, "supplier"), k, F.array(seen)),
-                              ("device", "virtual_machine", "virtual_disk"))
+    found = check_constraints(as_requests(table(spark, folder, "supplier"), k, F.array(seen)))
     return found.groupBy(F.substring("id", 2, 20).cast("bigint").alias("s_suppkey")).agg(
         F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
 
 
+def _repeated(letter, n):
+    return F.repeat(F.lit(letter), n)
+
+
+#: kind -> (an entity that breaks rules, what it breaks, what makes it whole).
+BROKEN = {
+    "site": ({"name": "", "slug": "a b", "status": "lost", "facility": _repeated("f", 51), "tags": True},
+             ("name: min_len", "slug: pattern", "status: in", "facility: max_len", "tags.slug: min_len", "tags.slug: pattern", "tags.color: pattern"),
+             {"name": "s", "slug": "s", "status": "active"}),
+    "platform": ({"name": _repeated("n", 101), "slug": "ok", "manufacturer": {"name": "", "slug": "ok"}},
+                 ("name: max_len", "manufacturer.name: min_len"), {"name": "p", "slug": "p"}),
+    "manufacturer": ({"name": "m", "slug": "ok", "description": _repeated("d", 201)}, ("description: max_len",), {"name": "m", "slug": "m"}),
+    "device": ({"name": _repeated("n", 65), "serial": _repeated("s", 51), "status": "lost", "device_fqdn": "",
+                "primary_ip4": {"address": "10.0.0.1", "status": "odd", "role": "x", "dns_name": "bad name"}},
+               ("name: max_len", "serial: max_len", "status: in", "device_fqdn: min_len", "primary_ip4.status: in", "primary_ip4.role: in",
+                "primary_ip4.dns_name: pattern"), {"name": "d", "status": "active"}),
+    "device_role": ({"name": "r", "slug": "ok", "color": "XYZ"}, ("color: min_len", "color: pattern"),
+                    {"name": "r", "slug": "r", "color": "00ff00"}),
+    "device_type": ({"model": "", "slug": "ok", "part_number": _repeated("p", 51)}, ("model: min_len", "part_number: max_len"),
+                    {"model": "t", "slug": "t"}),
+    "interface": ({"name": "", "mtu": 0, "speed": -1, "type": "tin-can", "mode": "access"},
+                  ("device: required", "name: min_len", "mtu: gte", "speed: gte", "type: in"),
+                  {"name": "e", "type": "virtual", "mode": "access", "mtu": 1500, "device": {"name": "d", "status": "active"}}),
+    "ip_address": ({"address": "300.1.1.1", "status": "active", "role": "odd", "dns_name": "a b"},
+                   ("address: ip", "role: in", "dns_name: pattern"), {"address": "::1", "status": "active", "role": "vip"}),
+    "prefix": ({"prefix": "x", "status": "odd"}, ("prefix: ip", "status: in"), {"prefix": "10.0.0.0", "status": "active"}),
+    "cluster_group": ({"name": "g", "slug": ""}, ("slug: min_len", "slug: pattern"), {"name": "g", "slug": "g"}),
+    "cluster_type": ({"name": "", "slug": "ok"}, ("name: min_len",), {"name": "t", "slug": "t"}),
+    "cluster": ({"name": "c", "status": "odd", "type": {"name": "t", "slug": "&"}}, ("status: in", "type.slug: pattern"),
+                {"name": "c", "status": "active"}),
+    "virtual_machine": ({"name": "v", "status": "active", "vcpus": -1, "memory": -5, "primary_ip6": {"address": "x", "status": "active", "role": "vip"}},
+                        ("vcpus: gte", "memory: gte", "primary_ip6.address: ip"), {"name": "v", "status": "active", "memory": 0}),
+    "vminterface": ({"name": _repeated("n", 65), "mtu": 70000}, ("virtual_machine: required", "name: max_len", "mtu: lte"),
+                    {"name": "e", "virtual_machine": {"name": "v", "status": "active"}}),
+    "virtual_disk": ({"name": "", "size": -1, "virtual_machine": {"name": "v", "status": "odd"}},
+                     ("name: min_len", "size: gte", "virtual_machine.status: in"),
+                     {"name": "d", "size": 1, "virtual_machine": {"name": "v", "status": "active"}}),
+}
+
+
+def _columns(value):
+    if isinstance(value, dict):
+        return {k: F.array(tag(F.lit("t"))) if v is True else _columns(v) for k, v in value.items()}
+    return value if not isinstance(value, (str, int)) else F.lit(value)
+
+
+def constraints_of(name: str, kinds: tuple[str, ...]) -> None:
+    """A query over all customers: every kind of the group in turn, whole and broken by turns."""
+    listed = ", ".join(f"({i}, '{k}.{v}')" for i, k in enumerate(kinds) for v in BROKEN[k][1])
+
+    def run(spark, folder):
+        k, seen = F.col("c_custkey"), F.lit(None)
+        for i, kind in enumerate(kinds):
+            broken, whole = (entity(**{kind: _columns(BROKEN[kind][at])}) for at in (0, 2))
+            seen = F.when(k % len(kinds) == i, F.when(F.floor(k / len(kinds)) % 2 == 1, broken).otherwise(whole)).otherwise(seen)
+        found = check_constraints(as_requests(table(spark, folder, "customer"), k, F.array(seen)))
+        return found.groupBy(F.substring("id", 2, 20).cast("bigint").alias("c_custkey")).agg(
+            F.array_join(F.array_sort(F.collect_list("violation")), "; ").alias("violations"))
+
+    query(name, f"""
+WITH rules(i, violation) AS (VALUES {listed}),
+v AS (SELECT c_custkey, violation FROM customer JOIN rules ON i = c_custkey % {len(kinds)} WHERE c_custkey // {len(kinds)} % 2 = 1
+  UNION ALL SELECT c_custkey, unnest(['timestamp: required', 'id: uuid']) FROM customer)
+SELECT c_custkey, string_agg(violation, '; ' ORDER BY violation) AS violations FROM v GROUP BY 1""")(run)
+
+
+constraints_of("constraints_places", ("site", "platform", "manufacturer", "device_role", "device_type"))
+constraints_of("constraints_network", ("device", "interface", "ip_address", "prefix"))
+constraints_of("constraints_clusters", ("cluster_group", "cluster_type", "cluster", "virtual_machine", "vminterface", "virtual_disk"))
+
+
 @query("source_allow_list", """
 SELECT event_id, event_type AS producer_app_name FROM events
 WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING min(event_id) % 2 = 0)""")

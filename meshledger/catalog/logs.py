@@ -9,7 +9,7 @@ from meshledger.operators.logs import (
     LogQuery, count_states, filter_log, latest_log, listing_metrics, log_page, log_records, split_rejects,
 )
 from meshledger.operators.apply import apply_error, explode_apply_errors
-from meshledger.functions.scalars import apply_error_text, normalized_error
+from meshledger.functions.scalars import apply_error_text, normalized_error, page_token
 from meshledger.plans.query_logs import log_metrics
 from meshledger.schemas import APPLY_RESPONSE
 
@@ -70,6 +70,16 @@ def log_page_query(spark, folder):
         page_size=25, state="RECONCILED", page_token="AAAAMg==")).select(*SHOWN)
 
 
+@query("log_deep_page", f"""{LOG_SQL} SELECT {SHOWN_SQL} FROM log WHERE state = 'RECONCILED'
+ORDER BY id DESC LIMIT 40 OFFSET (SELECT (count(*) * 3) // 4 FROM log WHERE state = 'RECONCILED')""")
+def log_deep_page_query(spark, folder):
+    """A page three quarters down the list: ranges of ids are counted, and only those the page lies in are sorted."""
+    log = event_log(spark, folder)
+    hits = log.where("state = 'RECONCILED'").count() * 3 // 4
+    token = spark.range(1).select(page_token(F.lit(hits).cast("bigint"))).first()[0]
+    return log_page(log, LogQuery(page_size=40, state="RECONCILED", page_token=token), direct=100, ranges=64).select(*SHOWN)
+
+
 @query("log_default_page", f"{LOG_SQL} SELECT {SHOWN_SQL} FROM log ORDER BY id DESC LIMIT 100")
 def log_default_page(spark, folder):
     """A page size of 1000 and more, and a token that cannot be read, fall back to the defaults."""

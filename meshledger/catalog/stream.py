@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshledger.catalog.jobs import SITES_SQL, observed_sites, stored_sites
-from meshledger.catalog.logs import END, START
+from meshledger.catalog.logs import END, LOG_SQL, METRICS_SQL, START, event_log
 from meshledger.catalog.observe import arrival, as_requests, entity, micros, query, table
 from meshledger.functions.scalars import assigned_id
 from meshledger.operators.logs import LogQuery, filter_log
@@ -22,7 +22,7 @@ from meshledger.sources.log_table import LogTable, from_documents, to_documents
 from meshledger.sources.requests import stream_messages
 from meshledger.sources.state import empty_state
 from meshledger.sources.store import BEFORE, StateStore
-from meshledger.streaming.job import Paths, reconcile_stream
+from meshledger.streaming.job import Paths, count_states_of_stream, reconcile_stream, state_totals
 
 #: Files of a part that one batch takes; a part is never more.
 FILES = 100_000
@@ -155,3 +155,18 @@ def log_pruned(spark, folder):
         log.write(part, number)
     wanted = LogQuery(ingestion_ts_start=START, ingestion_ts_end=END, producer_app_name="click", state="RECONCILED")
     return filter_log(log.read(spark), wanted).select(F.col("id").cast("bigint").alias("event_id"), "ingestion_ts")
+
+
+@query("stream_state_counts", f"{LOG_SQL} SELECT {METRICS_SQL} FROM log")
+def stream_state_counts(spark, folder):
+    """Counts that run along with the log: every event is queued first; its own record, in the next batch, corrects them."""
+    log = event_log(spark, folder).select("id", "state")
+    root = shared_folder(spark, "counts")
+    for part in (log.withColumn("state", F.lit("QUEUED")), log):
+        part.write.mode("append").parquet(f"{root}/log")
+        source = spark.readStream.schema("id string, state string").option("maxFilesPerTrigger", FILES).parquet(f"{root}/log")
+        running = count_states_of_stream(source, f"{root}/counts", f"{root}/checkpoint")
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    return state_totals(spark.read.parquet(f"{root}/counts"))

@@ -155,10 +155,46 @@ def read_token(log: DataFrame, token: str) -> int:
     return one.first()["offset"]
 
 
-def log_page(log: DataFrame, query: LogQuery) -> DataFrame:
-    """The page: newest id first. Planned as a top-k, so no task sorts the whole log."""
-    offset = read_token(log, query.page_token)
-    return filter_log(log, query).orderBy(F.desc("id")).offset(offset).limit(page_size_of(query))
+#: Offsets up to this are answered by a top-k; deeper pages by counting ranges of ids first.
+DIRECT = 10_000
+#: Ids that the ranges are cut on.
+RANGES = 2_048
+
+
+def log_page(log: DataFrame, query: LogQuery, direct: int = DIRECT, ranges: int = RANGES) -> DataFrame:
+    """The page: newest id first. A shallow one is a top-k; of a deep one only the ranges of ids it lies in are sorted."""
+    offset, size = read_token(log, query.page_token), page_size_of(query)
+    found = filter_log(log, query)
+    if offset > direct:
+        found, offset = ranges_of_page(found, offset, size, ranges)
+    return found.orderBy(F.desc("id")).offset(offset).limit(size)
+
+
+def ranges_of_page(found: DataFrame, offset: int, size: int, ranges: int) -> tuple[DataFrame, int]:
+    """The rows of the ranges of ids that hold places ``offset`` to ``offset + size``, and the offset among them.
+
+    The cuts come from a bounded sample by hash, so they only balance the work; counts per range, which combine within a task,
+    say where the page lies. The driver sees cuts and counts, and no task more than a few ranges."""
+    sample = found.select("id").orderBy(F.xxhash64("id"), "id").limit(ranges).collect()
+    cuts = sorted({row[0] for row in sample}, reverse=True)
+    if not cuts:
+        return found, offset
+    # Range i holds the ids from cut i on, up to the cut before it; the last one all below the smallest cut.
+    array = F.array(*[F.lit(c) for c in cuts])
+    place = F.size(F.filter(array, lambda cut: cut > F.col("id")))
+    counts = dict(found.groupBy(place.alias("range")).count().collect())
+    above, first, last = 0, None, len(cuts)
+    for i in range(len(cuts) + 1):
+        if first is None and above + counts.get(i, 0) > offset:
+            first, skipped = i, above
+        above += counts.get(i, 0)
+        if above >= offset + size:
+            last = i
+            break
+    if first is None:
+        return found.where(F.lit(False)), 0
+    inside = [F.col("id") < cuts[first - 1]] * (first > 0) + [F.col("id") >= cuts[last]] * (last < len(cuts))
+    return found.where(all_of(inside)), offset - skipped
 
 
 def next_token(log: DataFrame, query: LogQuery, returned: int) -> str:

@@ -138,12 +138,12 @@ def constraint_rules() -> list[tuple[str, str, str, object]]:
     text("interface", "description", high=200)
     text("interface", "mode", allowed=R.INTERFACE_MODES)
 
-    rules.append(("ip_address", "address", "ip", None))
-    rules.append(("primary_ip", "address", "ip", None))
-    text("ip_address", "status", allowed=R.IP_STATUSES)
-    text("ip_address", "role", allowed=R.IP_ROLES)
-    text("ip_address", "dns_name", high=255, pattern=r"^([0-9A-Za-z_-]+|\*)(\.[0-9A-Za-z_-]+)*\.?$")
-    text("ip_address", "description", high=200)
+    for address in ("ip_address", "primary_ip"):
+        rules.append((address, "address", "ip", None))
+        text(address, "status", allowed=R.IP_STATUSES)
+        text(address, "role", allowed=R.IP_ROLES)
+        text(address, "dns_name", high=255, pattern=r"^([0-9A-Za-z_-]+|\*)(\.[0-9A-Za-z_-]+)*\.?$")
+        text(address, "description", high=200)
     rules.append(("prefix", "prefix", "ip", None))
     text("prefix", "status", allowed=R.PREFIX_STATUSES)
     text("prefix", "description", high=200)
@@ -181,33 +181,12 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 VERSION_PATTERN = r"^(\d)+\.(\d)+\.(\d)+$"
 
 
-def _violated(value: str, rule: str, argument: object) -> str:
-    """SQL of a broken rule."""
-    if rule == "required":
-        return f"{value} IS NULL"
-    if rule == "gte":
-        return f"{value} < {argument}"
-    if rule == "lte":
-        return f"{value} > {argument}"
-    if rule == "min_len":
-        return f"length({value}) < {argument}"
-    if rule == "max_len":
-        return f"length({value}) > {argument}"
-    if rule == "pattern":
-        return f"NOT rlike({value}, r'{argument}')"
-    if rule == "in":
-        return f"{value} NOT IN ({', '.join(repr(a) for a in argument)})"
-    if rule == "ip":
-        return f"NOT (rlike({value}, r'{IPV4_PATTERN}') OR rlike({value}, r'{IPV6_PATTERN}'))"
-    raise ValueError(rule)
-
-
 # Texts that are not optional in the request: absent and empty are the same value there.
 PLAIN_TEXT = {"name", "model", "slug", "status", "color", "type", "mode", "address", "prefix"}
 
 
 def is_plain_text(entity: str, field_name: str) -> bool:
-    return field_name in PLAIN_TEXT or (entity, field_name) == ("ip_address", "role")
+    return field_name in PLAIN_TEXT or (entity in ("ip_address", "primary_ip") and field_name == "role")
 
 
 # Objects inside objects: field -> kind.
@@ -238,33 +217,78 @@ def nested_objects(kind: str) -> list[tuple[str, str]]:
     return found
 
 
-def _checks_of(root: str, entity: str) -> str:
-    """SQL array of the violations of entities of one kind."""
-    checks = []
+#: What a field's rules can ask for, as columns of the rule table.
+RULE_COLUMNS = {"required": "boolean", "min_len": "int", "max_len": "int", "pattern": "string", "in": "array<string>",
+                "gte": "bigint", "lte": "bigint", "ip": "boolean"}
+
+
+def rule_table() -> dict[tuple[str, str], dict[str, object]]:
+    """(kind, field) -> what is asked of it. A few dozen rows; the fields of a tag are those of the kind ``tag``."""
+    found: dict[tuple[str, str], dict[str, object]] = {}
+    for kind, field_name, rule, argument in [*constraint_rules(), *(("tag", *r) for r in _TAG_RULES)]:
+        found.setdefault((kind, field_name), {})[rule] = True if argument is None else argument
+    return found
+
+
+def _rule_rows(table: dict[tuple[str, str], dict[str, object]]) -> Column:
+    """The rule table as an array of structs: a constant of the plan."""
+    def cell(rules: dict[str, object], name: str) -> Column:
+        value = rules.get(name)
+        column = F.array(*[F.lit(v) for v in value]) if isinstance(value, tuple) else F.lit(value)
+        return column.cast(RULE_COLUMNS[name]).alias(name)
+
+    return F.array(*[F.struct(*[cell(rules, n) for n in RULE_COLUMNS]) for rules in table.values()])
+
+
+def _entries(root: str, entity: str, number: dict[tuple[str, str], int]) -> str:
+    """SQL array of (path, rule, value) of all fields with rules of an entity and of what is nested in it."""
+    parts = []
     for path, name in nested_objects(root):
-        value = f"{entity}.{path}"
-        for kind, field_name, rule, argument in constraint_rules():
+        value, fields = f"{entity}.{path}", []
+        for (kind, field_name), at in number.items():
             if kind == name:
                 read = f"{value}.{field_name}"
-                if rule != "required" and is_plain_text(name, field_name):
+                if (name, field_name) in REQUIRED:
+                    read = f"CASE WHEN {read} IS NOT NULL THEN '' END"
+                elif is_plain_text(name, field_name):
                     read = f"coalesce({read}, '')"
-                checks.append(f"CASE WHEN {value} IS NOT NULL AND {_violated(read, rule, argument)} "
-                              f"THEN '{path}.{field_name}: {rule}' END")
-        for field_name, rule, argument in _TAG_RULES if name != "primary_ip" else ():
-            broken = _violated(f"coalesce(t.{field_name}, '')", rule, argument)
-            checks.append(f"CASE WHEN exists({value}.tags, t -> {broken}) "
-                          f"THEN '{path}.tags.{field_name}: {rule}' END")
-    checks.append(f"CASE WHEN {entity}.timestamp IS NULL THEN 'timestamp: required' END")
-    return f"array_compact(array({', '.join(checks)}))"
+                fields.append(f"named_struct('path', '{path}.{field_name}', 'rule', {at}, 'value', CAST({read} AS STRING))")
+        if fields:
+            parts.append(f"CASE WHEN {value} IS NOT NULL THEN array({', '.join(fields)}) END")
+        tags = ", ".join(f"named_struct('path', '{path}.tags.{f}', 'rule', {at}, 'value', coalesce(t.{f}, ''))"
+                         for (kind, f), at in number.items() if kind == "tag")
+        parts.append(f"flatten(transform({value}.tags, t -> array({tags})))")
+    return f"flatten(array_compact(array({', '.join(parts)})))"
+
+
+REQUIRED = {(kind, field_name) for kind, field_name, rule, _ in constraint_rules() if rule == "required"}
+
+
+def _broken(entry: Column, rule: Column) -> Column:
+    """``path: rule`` texts of the rules an entry breaks. A value that is absent breaks nothing but ``required``."""
+    value, size = entry["value"], F.length(entry["value"])
+    checks = {
+        "required": rule["required"] & value.isNull(), "min_len": size < rule["min_len"], "max_len": size > rule["max_len"],
+        "pattern": ~F.rlike(value, rule["pattern"]), "in": ~F.array_contains(rule["in"], value),
+        "gte": value.try_cast("bigint") < rule["gte"], "lte": value.try_cast("bigint") > rule["lte"],
+        "ip": rule["ip"] & ~(value.rlike(IPV4_PATTERN) | value.rlike(IPV6_PATTERN)),
+    }
+    return F.array_compact(F.array(*[F.when(c, F.concat(entry["path"], F.lit(f": {name}"))) for name, c in checks.items()]))
 
 
 def entity_violations(kinds: tuple[str, ...] = tuple(R.BY_ENTITY), entity: str = "entity") -> Column:
     """Every violated constraint of an entity as ``path.field: rule`` texts.
 
-    ``kinds`` limits the check to some kinds of root entity, which makes a smaller plan.
-    """
-    cases = " ".join(f"WHEN {entity}.{k} IS NOT NULL THEN {_checks_of(k, entity)}" for k in kinds)
-    return F.expr(f"CASE {cases} END")
+    The entity is laid out once as (path, rule, value) and every entry is matched with its row of the rule table, so the plan
+    grows with the fields and not with the rules. ``kinds`` limits it to some kinds of root entity."""
+    table = rule_table()
+    number = {key: at for at, key in enumerate(table)}
+    cases = " ".join(f"WHEN {entity}.{k} IS NOT NULL THEN {_entries(k, entity, number)}" for k in kinds)
+    entries = F.expr(f"CASE {cases} END")
+    found = F.transform(F.array(_rule_rows(table)), lambda rules: F.flatten(F.transform(
+        entries, lambda e: _broken(e, F.get(rules, e["rule"])))))[0]
+    missing = F.when(F.expr(f"{entity}.timestamp IS NULL"), F.array(F.lit("timestamp: required")))
+    return F.array_distinct(F.concat(F.coalesce(found, F.array().cast("array<string>")), F.coalesce(missing, F.array().cast("array<string>"))))
 
 
 def request_violations() -> Column:

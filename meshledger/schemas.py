@@ -26,7 +26,8 @@ DEVICE_TYPE = _struct(
     model=STRING, slug=STRING, manufacturer=MANUFACTURER, description=STRING,
     comments=STRING, part_number=STRING, tags=TAGS,
 )
-PRIMARY_IP = _struct(address=STRING)
+# A primary address is a whole address, but for the interface, which leads back to its holder.
+PRIMARY_IP = _struct(address=STRING, status=STRING, role=STRING, dns_name=STRING, description=STRING, comments=STRING, tags=TAGS)
 DEVICE = _struct(
     name=STRING, device_fqdn=STRING, device_type=DEVICE_TYPE, role=ROLE, platform=PLATFORM,
     serial=STRING, site=SITE, asset_tag=STRING, status=STRING, description=STRING,

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.logs import COUNTED_STATES, log_records, with_change_sets
@@ -96,6 +98,40 @@ def reconcile_stream(messages: DataFrame, root: str, checkpoint: str, hot_rows:
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_state_counts(log: DataFrame) -> DataFrame:
-    """Running count per state over a stream of final log records; for update or complete mode."""
-    return log.where(F.col("state").isin(*COUNTED_STATES.values())).groupBy("state").agg(F.count("*").alias("n"))
+def stream_state_changes(log: DataFrame) -> DataFrame:
+    """(state, n) corrections over a stream of log records: a later record of an id takes it out of its old state.
+
+    Only ids that are not final are remembered, so the memory holds what is in flight; an id's records may come in one
+    batch or in several, queued ones late or not at all. The sum of n by state is the count of the latest records."""
+    final = [s for s in COUNTED_STATES.values() if s != "QUEUED"]
+
+    def correct(key, parts, memory):
+        rank = {"QUEUED": 0} | {s: 1 for s in final}
+        now = memory.get[0] if memory.exists else None
+        states = [now] if now else []
+        for part in parts:
+            states += part["state"].tolist()
+        new = max((s for s in states if s in rank), key=lambda s: rank[s], default=None)
+        if new is None or new == now or now in final:
+            return
+        memory.update((new,))
+        yield pd.DataFrame({"state": [new] + [now] * (now is not None), "n": [1] + [-1] * (now is not None)})
+
+    return log.select("id", "state").groupBy("id").applyInPandasWithState(
+        correct, "state string, n long", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def count_states_of_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write the corrections of a log stream to a table by batch, exactly once; :func:`state_totals` sums them."""
+    def keep(corrections: DataFrame, batch: int) -> None:
+        corrections.groupBy("state").agg(F.sum("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/batch={batch:012d}")
+
+    return (stream_state_changes(log).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def state_totals(corrections: DataFrame) -> DataFrame:
+    """One row in the form of the log's metrics: the total and the number in every state."""
+    in_state = [F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(name) for name, s in COUNTED_STATES.items()]
+    return corrections.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *in_state)

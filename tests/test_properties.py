@@ -6,14 +6,15 @@ import tempfile
 from pyspark.sql import functions as F
 
 from meshledger.operators.carry import add_chunks, carry_forward
-from meshledger.operators.logs import LogQuery
-from meshledger.plans.query_logs import query_logs
+from meshledger.functions.scalars import page_token
+from meshledger.operators.logs import LogQuery, log_page
+from meshledger.plans.query_logs import log_metrics, query_logs
 from meshledger.plans.reconcile import reconcile
 from meshledger.session import stage
 from meshledger.sources.log_table import LogTable
 from meshledger.sources.state import empty_state
 from meshledger.sources.store import StateStore
-from meshledger.streaming.job import Paths, reconcile_stream, stream_state_counts
+from meshledger.streaming.job import Paths, count_states_of_stream, reconcile_stream, state_totals
 from tests.helpers import many_requests
 
 
@@ -119,12 +120,31 @@ def test_stream_ends_where_the_batch_does(spark):
     rest = query_logs(log, LogQuery(page_size=20, page_token=page.next_page_token))
     assert rest.logs.count() == 10 and rest.next_page_token == ""
 
-    counts = stream_state_counts(spark.readStream.schema(log.schema).parquet(paths.all("log")))
-    running = counts.writeStream.outputMode("complete").format("memory").queryName("state_counts").start()
-    running.processAllAvailable()
-    running.stop()
-    seen = {r["state"]: r["n"] for r in spark.table("state_counts").collect()}
-    assert seen == {r["state"]: r["count"] for r in log.groupBy("state").count().collect()}
+    source = spark.readStream.schema(log.schema).parquet(paths.all("log"))
+    count_states_of_stream(source, f"{root}/counts", f"{root}/counting").awaitTermination()
+    assert state_totals(spark.read.parquet(f"{root}/counts")).collect() == log_metrics(log).collect()
+
+
+def test_running_counts_are_corrected(spark):
+    """Queued before, with, after and without the final record; a final record that comes twice."""
+    landing, root = (tempfile.mkdtemp(prefix=f"meshledger-{n}-") for n in ("in", "out"))
+    parts = [[("a", "QUEUED"), ("b", "QUEUED"), ("c", "FAILED")], [("a", "RECONCILED"), ("d", "QUEUED"), ("d", "NO_CHANGES")],
+             [("c", "QUEUED"), ("a", "RECONCILED"), ("e", "RECONCILED"), ("f", "QUEUED")]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "id string, state string").coalesce(1).write.mode("append").parquet(landing)
+        source = spark.readStream.schema("id string, state string").parquet(landing)
+        count_states_of_stream(source, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    got = state_totals(spark.read.parquet(f"{root}/counts")).first().asDict()
+    assert got == {"total": 6, "queued": 2, "reconciled": 2, "failed": 1, "no_changes": 1}
+
+
+def test_deep_pages_equal_shallow_ones(spark):
+    log = spark.range(500).select(F.lpad((F.col("id") * 7919 % 1000).cast("string"), 5, "0").alias("id"), F.lit("FAILED").alias("state"))
+    for offset in (0, 1, 99, 250, 490, 499, 500, 9999):
+        query = LogQuery(page_size=20, page_token=spark.range(1).select(page_token(F.lit(offset).cast("bigint"))).first()[0])
+        plain = [r.id for r in log_page(log, query).collect()]
+        assert [r.id for r in log_page(log, query, direct=-1, ranges=16).collect()] == plain
+        assert len(plain) == max(0, min(20, 500 - offset))
 
 
 def test_steady_keys_change_nothing(spark):
