@@ -15,6 +15,9 @@ columns of the tables are not read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ MASKS_OF = {1: (11,), 2: (10,), 3: (9,), 4: (6,), 5: (5, 6, 7, 8), 6: (5, 6), 7:
 WINDOW, TOLERANCE = 12, 0.2
 #: Fixed value: punctuation that is no part of a token.
 PUNCTUATION = ".,;:!?\"()[]"
-#: Benchmark seeds up to this number are broadcast (about 100 bytes each); more are joined by a shuffle.
+#: Seeds of one part of the benchmark (about 30 bytes each); a part's seeds and its items' tokens, of which there are no
+#: more than seeds, are broadcast. A larger benchmark has more parts, each of which the documents pass in turn.
 BROADCAST_SEEDS = 200_000
 
 
@@ -41,8 +45,8 @@ def token_hashes(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, keys: list[str], masks: list[int], of_items: bool = False) -> DataFrame:
-    """A row for each mask at each place where it fits: keys, tokens, place (from 0), seed. Of items, only the masks
-    of their length."""
+    """A row for each mask at each place where it fits: keys, place (from 0), seed, and the tokens of a document. Of
+    items, only the masks of their length, and no tokens: those are found by the item once a seed has hit."""
     spans = {number: 1 + MASKS[number][-1] for number in masks}
     shortest = min(spans.values())
     places = F.when(F.size("tokens") >= shortest, F.sequence(F.lit(0), F.size("tokens") - shortest))
@@ -55,7 +59,8 @@ def seeds(df: DataFrame, keys: list[str], masks: list[int], of_items: bool = Fal
             fits &= F.least(F.size("tokens"), F.lit(WINDOW)).isin(lengths)
         seed = F.xxhash64(F.lit(number), *[F.get("tokens", F.col("place") + at) for at in MASKS[number]])
         each.append(F.when(fits, seed))
-    return placed.select(*keys, "tokens", "place", F.explode(F.array(*each)).alias("seed")).filter("seed IS NOT NULL")
+    kept = [*keys, "place"] if of_items else [*keys, "tokens", "place"]
+    return placed.select(*kept, F.explode(F.array(*each)).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _verdict(agree: Column) -> Column:
@@ -72,21 +77,29 @@ def _verdict(agree: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: doc_id, item_id, matched (agreeing tokens of the best alignment), item_tokens."""
     items = (benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
-             .filter(F.col("item_id").isNotNull() & (F.col("tokens") != token_hashes(F.lit("")))).distinct())
+             .filter(F.col("item_id").isNotNull() & (F.col("tokens") != token_hashes(F.lit("")))).distinct()
+             .withColumn("version", F.xxhash64("tokens")))
     lengths = [row[0] for row in items.select(F.least(F.size("tokens"), F.lit(WINDOW))).distinct().collect()]
     masks = sorted({number for length in lengths or [WINDOW] for number in MASKS_OF[length]})
-    wanted = (seeds(items, ["item_id"], masks, of_items=True).select("seed", F.struct("item_id", "tokens", "place").alias("item"))
-              .distinct())
-    few = wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    found = (seeds(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-                   .select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"], masks)
-             .join(F.broadcast(wanted) if few else wanted, "seed"))
-    shift = F.col("place") - F.col("item.place")
-    agree = F.transform("item.tokens", lambda token, at: F.when(
+    wanted = seeds(items, ["item_id", "version"], masks, of_items=True).distinct()
+    parts = max(1, math.ceil(wanted.count() / BROADCAST_SEEDS))
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    of_docs = seeds(rows, ["doc_id"], masks)
+    mine = lambda df, part: df.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+    return reduce(DataFrame.unionAll, [verified(of_docs, mine(wanted, part), mine(items, part)) for part in range(parts)])
+
+
+def verified(of_docs: DataFrame, wanted: DataFrame, items: DataFrame) -> DataFrame:
+    """Overlaps with the items of one part of the benchmark; a hit's alignment is judged where it is found."""
+    item = wanted.select("seed", "item_id", "version", F.col("place").alias("item_place"))
+    text = items.select("item_id", "version", F.col("tokens").alias("item"))
+    found = of_docs.join(F.broadcast(item), "seed").join(F.broadcast(text), ["item_id", "version"])
+    shift = F.col("place") - F.col("item_place")
+    agree = F.transform("item", lambda token, at: F.when(
         (shift + at >= 0) & (F.get("tokens", shift + at) == token), 1).otherwise(0))
     # A lambda binds the agreements once, however often the verdict uses them.
     verdict = F.transform(F.array(agree), _verdict)[0]
-    return (found.groupBy("doc_id", "item.item_id").agg(F.max(verdict).alias("best"))
+    return (found.groupBy("doc_id", "item_id").agg(F.max(verdict).alias("best"))
             .filter("best.matched IS NOT NULL")
             .select("doc_id", "item_id", "best.matched", "best.item_tokens"))
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 
 from meshledger.llm.decontaminate import MASKS, MASKS_OF, TOLERANCE, WINDOW, overlaps
+from tests.llm import tables
 
 
 def allowed(size: int) -> int:
@@ -54,3 +55,19 @@ def test_overlaps_equal_sql_without_seeds(spark):
                    spark.createDataFrame([*items, (99, " . "), (98, None)], "item_id long, text string")).collect()
     expected = db.execute(NO_SEEDS).fetchall()
     assert sorted(tuple(r) for r in got) == sorted(expected) and len(expected) > 400
+
+
+def test_a_large_benchmark_goes_in_parts(spark, tmp_path, monkeypatch):
+    """Parts of a handful of seeds, and an item far longer than a part, give what one part gives."""
+    from meshledger.llm import decontaminate
+
+    folder, _ = tables.odd_folder(spark, tmp_path, 60)
+    long = [(800, " ".join(f"w{i}" for i in range(400)))]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionAll(
+        spark.createDataFrame([(7000, "x " + long[0][1] + " y")], "doc_id long, text string"))
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").unionAll(
+        spark.createDataFrame(long, "item_id long, text string"))
+    whole = sorted(tuple(r) for r in decontaminate.overlaps(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 1500)
+    assert sorted(tuple(r) for r in decontaminate.overlaps(docs, items).collect()) == whole
+    assert (7000, 800, 400, 400) in whole
