@@ -70,7 +70,7 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
     refs = ["ref_" + r for r in shape.references]
     touched = state_of_batch(state, nodes)
     links = tag_links(nodes)
-    attached = mark_known(first_attached(links, touched), first_seen_tags(links, state))
+    attached = mark_known(first_attached(links, touched), first_seen_tags(links, state), hot_rows)
     stored = touched.select(*KEYS, F.lit("").alias("seq"), F.lit(0).alias("ord"), "object_id", "slug",
                             *shape.scalars, *refs, F.lit(True).alias("_stored"))
     feed = nodes.unionByName(stored, allowMissingColumns=True).withColumn("_seen", F.lit(True))

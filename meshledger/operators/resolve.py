@@ -19,7 +19,9 @@ from meshledger.functions.scalars import absent_if_empty, key_part
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import add_chunks, carry_forward
 from meshledger.operators.flatten import is_placeholder
+from meshledger.operators.salts import heavy_keys, join_salted
 from meshledger.registry import ALL, SEPARATOR, UNDEFINED, Shape
+from meshledger.session import stage
 
 HOLDERS = {"device": "dcim.device", "vm": "virtualization.virtualmachine", "prefix": "ipam.prefix"}
 HELD = ("role", "device_type", "platform", "cluster", "site")
@@ -138,7 +140,10 @@ def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = N
         return None
     rows = _narrow(keyed, shape)
     if "platform" in shape.slots:
-        rows = rows.join(named_platforms(keyed, state), "platform_name", "left")
+        # One name may be on most devices.
+        rows = stage(rows) if hot_rows is not None else rows
+        heavy = None if hot_rows is None else heavy_keys(rows, ["platform_name"], hot_rows)
+        rows = join_salted(rows, named_platforms(keyed, state), ["platform_name"], heavy, "seq")
         rows = rows.withColumn("own_platform", F.coalesce("named_platform", "own_platform"))
     if any(s in shape.slots for s in HOLDERS):
         rows = _latest(rows, held, F.col("holder_type"), F.col("holder_key"), state, {h: h for h in held}, hot_rows, since)

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import assigned_id
+from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.fold import KEYS, guard_identity, quoted
+from meshledger.operators.salts import heavy_keys, join_salted
 from meshledger.registry import ALL, TYPES, Shape
 
-# A hot key's rows meet the one row of its key on this many tasks.
-SALTS = 16
 LEAVES = tuple(t.name for t in TYPES.values() if not t.references)
 MADE = tuple(t.name for t in TYPES.values() if t.references == ("manufacturer",))
 MAKER = "dcim.manufacturer"
@@ -51,12 +51,10 @@ def steady_keys(nodes: DataFrame, state: DataFrame, shape: Shape = ALL) -> DataF
         *KEYS, "first_seq", F.coalesce("object_id", assigned_id(*[F.col(k) for k in KEYS])).alias("steady_id"))
 
 
-def split_steady(nodes: DataFrame, state: DataFrame, shape: Shape = ALL) -> tuple[DataFrame, DataFrame]:
-    """(nodes to fold, nodes that cannot be changed, with their object's id)."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    keys = steady_keys(nodes, state, shape).withColumn("salt", salts)
-    marked = nodes.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")).join(
-        keys, [*KEYS, "salt"], "left").drop("salt")
+def split_steady(nodes: DataFrame, state: DataFrame, shape: Shape = ALL,
+                 hot_rows: int | None = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(nodes to fold, nodes that cannot be changed, with their object's id). ``nodes`` is staged."""
+    marked = join_salted(nodes, steady_keys(nodes, state, shape), KEYS, heavy_keys(nodes, KEYS, hot_rows), "seq")
     later = F.coalesce(F.col("seq") > F.col("first_seq"), F.lit(False))
     folded = marked.where(~later).drop("first_seq", "steady_id")
     quiet = marked.where(later).select("seq", "slot", "ord", *KEYS, "placeholder", "kept",

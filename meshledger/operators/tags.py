@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import assigned_id
+from meshledger.operators.carry import HOT_ROWS
+from meshledger.operators.salts import heavy_keys, join_salted
 from meshledger.registry import TAG_TYPE
-
-# One tag may sit on a large share of all objects: its side of the join is spread over this many.
-SALTS = 16
+from meshledger.session import stage
 
 
 def tag_links(nodes: DataFrame) -> DataFrame:
@@ -49,13 +49,15 @@ def first_attached(links: DataFrame, state: DataFrame) -> DataFrame:
     ).select("object_type", "object_key", "name", "own.*")
 
 
-def mark_known(attached: DataFrame, known: DataFrame) -> DataFrame:
-    """Add the inventory's record of each tag and whether the tag is new in the attaching root."""
-    right = known.select(
-        "name", F.struct("id", "slug", "color").alias("known"), "first_seq",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    left = attached.withColumn("salt", F.pmod(F.xxhash64("object_type", "object_key"), F.lit(SALTS)).cast("int"))
-    joined = left.join(right, ["name", "salt"], "left")
+def mark_known(attached: DataFrame, known: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add the inventory's record of each tag and whether the tag is new in the attaching root. One tag may sit on a
+    large share of all objects; only a batch that can have such a tag (``hot_rows``) counts its tags."""
+    heavy = None
+    if hot_rows is not None:
+        attached = stage(attached)
+        heavy = heavy_keys(attached, ["name"], hot_rows)
+    right = known.select("name", F.struct("id", "slug", "color").alias("known"), "first_seq")
+    joined = join_salted(attached, right, ["name"], heavy, "object_type", "object_key")
     return joined.withColumn("is_new", F.coalesce(F.col("first_seq") == F.col("seq"), F.lit(False))
                              & (F.col("seq") != ""))
 

@@ -79,7 +79,7 @@ def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None,
     """Changes and notes if parents are attached as ``since`` says."""
     resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows), since, shape)
     nodes = stage(flatten(apply_resolution(keyed, resolved, shape), shape=shape))
-    moving, quiet = split_steady(nodes, state, shape)
+    moving, quiet = split_steady(nodes, state, shape, hot_rows)
     moving = stage(moving)
     folded = fold_observations(moving, state, limit_for(moving, hot_rows), since, shape)
     return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape)

@@ -124,3 +124,16 @@ def test_a_time_filter_reads_its_days(spark):
     found = filter_log(everything, LogQuery(ingestion_ts_start=3 * day, ingestion_ts_end=4 * day + 9))
     assert found.count() == 40
     assert "PartitionFilters: [isnotnull(day" in found._jdf.queryExecution().toString()
+
+
+def test_heavy_keys_get_salts_by_their_rows(spark):
+    from meshledger.operators.salts import heavy_keys, join_salted
+
+    rows = stage(spark.range(1000).select(F.col("id").alias("seq"), F.when(F.col("id") < 900, "hot").when(
+        F.col("id") < 990, F.concat(F.lit("k"), (F.col("id") % 9).cast("string"))).alias("name")))
+    side = spark.createDataFrame([("hot", 1), ("k3", 2), ("else", 3)], "name string, v int")
+    assert heavy_keys(rows, ["name"], 1000) is None and heavy_keys(rows, ["name"], None) is None
+    heavy = heavy_keys(rows, ["name"], 100)
+    assert [tuple(r) for r in heavy.collect()] == [("hot", 9)]
+    salted, plain = join_salted(rows, side, ["name"], heavy, "seq"), rows.join(side, ["name"], "left")
+    assert sorted(salted.select("seq", "v").collect(), key=str) == sorted(plain.select("seq", "v").collect(), key=str)
