@@ -13,7 +13,8 @@ from meshledger.catalog import REGISTRY  # noqa: E402
 from meshledger.session import local_session  # noqa: E402
 
 HEADLINE = ("reconcile_interfaces", "reconcile_devices", "reconcile_sites", "change_detect", "carry_forward_fold",
-            "ingest_explode", "placeholder_override", "slug_text", "log_page", "log_combined", "log_metrics")
+            "ingest_explode", "placeholder_override", "slug_text", "log_page", "log_combined", "log_metrics",
+            "stream_sites", "constraints_network")
 
 
 def main() -> None:
