@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a small tree of block elements with text leaves; menus, forms, scripts and other parts that their
-element or their role names as furniture are left out, unless they alone hold the page's article or main element. A
-class name or id made of furniture words alone is a vote: it counts if most pages of the host have the element, and
-never against one that holds an article or main element. A leaf has places in the tree (see ``leaf_keys``). A text
+element, their role or their name (adverts, notices, comments, related boxes) tells as furniture are left out, unless they
+alone hold the page's article or main element. Any other class name or id made of furniture words alone is a vote: it counts
+if most pages of the host have the element, and never against one that holds an article or main element. A leaf has places in the tree (see ``leaf_keys``). A text
 that stands at one place of most of a host's pages of different content is template; all else is content. No page
 is a reference for the others: the counts behind that verdict are summed in Spark over all pages, so a first page
 that is empty or laid out in another way changes nothing, and a host of any size costs a row for each place and text.
@@ -52,6 +52,10 @@ NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
             "alert popup modal overlay newsletter subscribe signup login comment comments reply replies disqus respond "
             "share sharing social related recommended recommendations widget toolbar pagination pager search copyright "
             "disclaimer legal hidden".split())
+#: Of these, names that tell what is no part of the article on whichever page they stand.
+SURE = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent "
+           "notice notices popup overlay newsletter subscribe sidebar comment comments reply replies disqus respond related "
+           "recommended recommendations".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -59,13 +63,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element with its child nodes; a leaf (tag None) has a text and the share of it inside links."""
 
-    __slots__ = ("tag", "children", "text", "linked", "shape", "main", "name", "lost")
+    __slots__ = ("tag", "children", "text", "linked", "shape", "main", "name", "lost", "sure")
 
     def __init__(self, tag: str | None, text: str = "", linked: int = 0, main: bool = False):
         self.tag, self.text, self.linked, self.main = tag, text, linked, main
         self.children: list[Node] = []
         self.shape = self.name = ""
-        self.lost = False
+        self.lost = self.sure = False
 
     def leaves(self) -> Iterator[Node]:
         todo = [self]
@@ -135,7 +139,8 @@ class _Reader(HTMLParser):
             return
         home = next(node for _, node in reversed(self.open) if node is not None)
         node = Node(tag, main=tag == "main" or attributes.get("role") == "main")
-        node.lost = _furniture(tag, attributes, inside)
+        node.sure = _named_furniture(tag, attributes)
+        node.lost = node.sure or _furniture(tag, attributes, inside)
         if tag == "article" or node.main:
             for _, around in self.open:
                 if around is not None:
@@ -192,15 +197,24 @@ def _furniture(tag: str, attrs: dict, inside: bool) -> bool:
     return False
 
 
+def _names(attrs: dict) -> Iterator[tuple[str, set[str]]]:
+    """The class names and the id that are made of furniture words alone, and their words."""
+    for named in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = {part.lower() for part in _PARTS.findall(named)}
+        if parts and parts <= NAMES:
+            yield named, parts
+
+
 def _name(tag: str, attrs: dict) -> str:
-    """The class name or id that is made of furniture words alone, if any."""
+    """A name that votes for furniture, if any."""
     if tag in ("html", "body", "main", "article", "h1", "h2"):
         return ""
-    for named in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
-        parts = _PARTS.findall(named)
-        if parts and all(part.lower() in NAMES for part in parts):
-            return named
-    return ""
+    return next((named for named, _ in _names(attrs)), "")
+
+
+def _named_furniture(tag: str, attrs: dict) -> bool:
+    """An advert, notice, comment or related box by its name, an article too: comments often are articles."""
+    return tag not in ("html", "body", "main", "h1", "h2") and any(words & SURE for _, words in _names(attrs))
 
 
 def _tops(root: Node, wanted: Callable[[Node], bool], lost: bool) -> list[Node]:
@@ -245,7 +259,7 @@ def read_tree(html: str | None) -> Node:
     reader.flush()
     root = reader.root
     for lost in (False, True):
-        for wanted in (lambda node: node.tag == "article", lambda node: node.main):
+        for wanted in (lambda node: node.tag == "article" and not node.sure, lambda node: node.main):
             tops = [_kept(node) for node in _tops(root, wanted, lost)]
             if tops:
                 whole = Node(tops[0].tag)

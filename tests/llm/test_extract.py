@@ -65,3 +65,16 @@ def test_names_inside_an_article_only_vote(spark):
 def test_all_articles_are_kept(spark):
     got = texts(spark, {1: "<article></article><article><h1>A</h1><p>one</p></article><p>between</p><div><article><p>two</p></article></div>"})
     assert got == {1: "A\none\ntwo"}
+
+
+def test_named_boxes_go_on_every_page(spark):
+    """Adverts, cookie notices, comments and related boxes stand on some pages by nature, and on hosts of one page."""
+    boxes = ["<div class='ad'>Buy now</div>", "<div class='cookie-notice'><p>We use cookies</p></div>",
+             "<section id='comments'><h3>Comments</h3><p>reader says</p></section>", "<div class='related'><a href='x'>More</a></div>",
+             "<article class='comment'><p>first</p></article>", "<div class='advertBox sponsored'><p>also content</p></div>"]
+    alone = extract(spark.createDataFrame([(i, f"https://h{i}.example/", f"<body>{box}<div><p>Main text here</p></div></body>")
+                                           for i, box in enumerate(boxes)], "page_id long, url string, html string"))
+    assert {r.text for r in alone.collect()} == {"Main text here"}
+    pages = {i: f"<article><h1>T{i}</h1>{body(i)}{boxes[i % 6] if i % 5 < 2 else ''}</article>{boxes[(i + 1) % 6]}" for i in range(20)}
+    got = texts(spark, pages)
+    assert got == {i: "\n".join([f"T{i}", *(f"part {k} of page {i}" for k in range(1 + i % 4))]) for i in pages}
