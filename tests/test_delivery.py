@@ -57,12 +57,12 @@ def test_stream_repeats_snapshot_and_refusals(spark):
     refused = log.where("state = 'FAILED'").first()
     assert refused.change_set_id and [c.object_type for c in refused.change_set] == ["dcim.site"]
     assert states == [("a", "NO_CHANGES")] * 2 + [("a", "RECONCILED")] * 2 + [("b", "FAILED")] * 2
-    final = {r.object_key: (r.facility, r.comments) for r in StateStore(root).snapshot(spark, 3).rows().where("object_type = 'dcim.site'").collect()}
+    final = {r.object_key: (r.facility, r.comments) for r in StateStore(root).snapshot(spark, 2).rows().where("object_type = 'dcim.site'").collect()}
     assert final == {"Old": ("f", "c"), "New": (None, None)}
     plain = reconcile(many_requests(spark, rows + rows), stored)
-    assert state_rows(plain.state) == state_rows(StateStore(root).snapshot(spark, 3).rows())
+    assert state_rows(plain.state) == state_rows(StateStore(root).snapshot(spark, 2).rows())
     with pytest.raises(FileNotFoundError):
-        StateStore(root).snapshot(spark, 1)  # versions before the last two are gone
+        StateStore(root).snapshot(spark, 0)  # versions before the last two are gone
 
 
 def test_shared_folder_is_demanded_on_a_cluster():
