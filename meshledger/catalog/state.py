@@ -15,7 +15,7 @@ from meshledger.operators.flatten import (
 from meshledger.operators.fold import fold_observations, guard_identity
 from meshledger.operators.lookup import known_tags, lookup_state, new_tags
 from meshledger.operators.resolve import apply_resolution, resolve_parents
-from meshledger.operators.tags import tag_links
+from meshledger.operators.tags import attached_tags, tag_links, with_tags
 from meshledger.session import stage
 from meshledger.sources.state import conform_state, empty_state, wrap_state
 
@@ -117,21 +117,26 @@ att AS (SELECT site, tag, min(doc_id) AS doc, arg_min(pos, doc_id) AS pos FROM l
 a AS (SELECT site, att.tag, doc, pos, doc = first AS is_new FROM att JOIN seen USING (tag))"""
 
 
+def folded_tags(spark, folder):
+    nodes, state = staged_nodes(tagged_documents(spark, folder)), empty_state(spark)
+    attached = attached_tags(nodes, state, state, None)
+    return fold_observations(nodes, state, attached=attached), attached
+
+
 @query("running_tags", RUNNING_SQL + """
 SELECT doc_id, string_agg(tag, ',' ORDER BY doc, is_new, pos) AS tags
 FROM d JOIN a ON a.site = d.site AND a.doc <= d.doc_id GROUP BY 1""")
 def running_tags(spark, folder):
     """Tags of a site after each observation: earlier ones, then the known, then the new."""
-    folded = fold_observations(staged_nodes(tagged_documents(spark, folder)), empty_state(spark))
-    return folded.select(arrival().alias("doc_id"),
-                         F.array_join(F.transform("record.tags", lambda t: t["name"]), ",").alias("tags"))
+    folded, attached = folded_tags(spark, folder)
+    return with_tags(folded, attached).select(
+        arrival().alias("doc_id"), F.array_join(F.transform("tags_after", lambda t: t["name"]), ",").alias("tags"))
 
 
 @query("new_tags", RUNNING_SQL + """
 SELECT doc AS doc_id, tag FROM a WHERE is_new""")
 def new_tags_query(spark, folder):
-    folded = fold_observations(staged_nodes(tagged_documents(spark, folder)), empty_state(spark))
-    return folded.select(arrival().alias("doc_id"), F.explode("tags_new.name").alias("tag"))
+    return folded_tags(spark, folder)[0].select(arrival().alias("doc_id"), F.explode("tags_new.name").alias("tag"))
 
 
 def partial_devices(spark, folder):

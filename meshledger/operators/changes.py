@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshledger import registry as R
 from meshledger.functions.scalars import content_key
+from meshledger.operators.tags import with_tags
 from meshledger.registry import ALL, NOT_DEDUPED, SLOTS, TAG_TYPE, Shape
 
 # Place of each slot's changes inside a change set: (tags, object). Machines emit their platform
@@ -95,9 +96,6 @@ def propagate_changes(roots: DataFrame, shape: Shape = ALL) -> DataFrame:
             if members:
                 inside = f"CASE WHEN {present} THEN {inside} ELSE {n}.fields_differ END"
             data["inside_" + slot.name] = f"coalesce({inside}, false)"
-            tags = _merged("embedded_" + slot.name, [_member("tags", n + ".tags_json")])
-            data["data_" + slot.name] = (f"CASE WHEN {n}.tags_json IS NOT NULL THEN {tags} "
-                                         f"ELSE embedded_{slot.name} END")
         for step in (flags | embedded, data):
             out = out.selectExpr("*", *[f"{text} AS {name}" for name, text in step.items()])
     return out
@@ -118,6 +116,7 @@ def emit_changes(propagated: DataFrame, shape: Shape = ALL) -> DataFrame:
     """One row per change and root, in place order but not yet unique, and a note for every stored object that is seen with
     a parent it does not have so far: which parents (``data``), and whether the object is changed (``object_id`` 1 or 0)."""
     record = propagated.schema["n_" + shape.slots[0]].dataType["record"].dataType.simpleString()
+    tags = propagated.schema["n_" + shape.slots[0]].dataType["tags_new"].dataType.simpleString()
     trees = [f"n_{s} IS NOT NULL" for s in ("device", "vm", "cluster") if s in shape.slots]
     in_tree = f"({' OR '.join(trees)})" if trees else "false"
     lists = []
@@ -128,21 +127,31 @@ def emit_changes(propagated: DataFrame, shape: Shape = ALL) -> DataFrame:
             f"CASE WHEN size(n_{name}.tags_new) > 0 THEN transform(n_{name}.tags_new, (t, i) -> named_struct("
             f"'place', {tags_place}, 'pos', i, 'unique', {unique}, 'object_type', '{TAG_TYPE}', "
             f"'object_key', t.name, 'object_id', CAST(NULL AS BIGINT), 'data', to_json(t), "
-            f"'record', CAST(NULL AS {record}))) END")
+            f"'tags_known', CAST(NULL AS {tags}), 'tags_new', CAST(NULL AS {tags}), 'record', CAST(NULL AS {record}))) END")
         lists.append(
             f"CASE WHEN changed_{name} THEN array(named_struct('place', {own_place}, 'pos', 0, "
             f"'unique', {unique}, 'object_type', n_{name}.object_type, 'object_key', n_{name}.object_key, "
-            f"'object_id', n_{name}.object_id, 'data', data_{name}, 'record', n_{name}.record)) END")
+            f"'object_id', n_{name}.object_id, 'data', embedded_{name}, 'tags_known', n_{name}.tags_known, "
+            f"'tags_new', n_{name}.tags_new, 'record', n_{name}.record)) END")
         if SLOTS[name].parents:
             n = "n_" + name
             lists.append(
                 f"CASE WHEN NOT {n}.created AND NOT {n}.kept AND size({n}.unset_parents) > 0 THEN array(named_struct("
                 f"'place', {_NOTES + len(lists)}, 'pos', 0, 'unique', false, 'object_type', {n}.object_type, "
                 f"'object_key', {n}.object_key, 'object_id', CAST(changed_{name} AS BIGINT), "
-                f"'data', concat_ws(',', {n}.unset_parents), 'record', CAST(NULL AS {record}))) END")
+                f"'data', concat_ws(',', {n}.unset_parents), 'tags_known', CAST(NULL AS {tags}), 'tags_new', CAST(NULL AS {tags}), 'record', CAST(NULL AS {record}))) END")
     return propagated.selectExpr("seq", f"inline(flatten(array_compact(array({', '.join(lists)}))))")
 
 
+def add_tags(emitted: DataFrame, attached: DataFrame | None) -> DataFrame:
+    """Put the object's tags into the payload and the record of a change; only changed objects meet their list."""
+    rows = with_tags(emitted, attached)
+    full = F.col("record").isNotNull() & (F.size("tags_after") > 0)
+    data = F.when(full, F.expr(_merged("data", [_member("tags", "to_json(tags_after)")]))).otherwise(F.col("data"))
+    record = F.col("record").withField("tags", F.col("tags_after"))
+    return rows.withColumns({"data": data, "record": record}).drop("tags_known", "tags_new", "tags_after")
+
+
 def dedup_changes(changes: DataFrame) -> DataFrame:
     """Within a root, of changes with the same content the first is kept.
 
@@ -167,17 +176,18 @@ def order_changes(changes: DataFrame) -> DataFrame:
         "data", "record", F.when(F.col("place") >= _NOTES, F.col("data")).alias("noted"))
 
 
-def decide_noted(folded: DataFrame, shape: Shape = ALL) -> DataFrame:
-    """All steps from folded nodes to numbered changes and notes; one shuffle, by root."""
-    return order_changes(dedup_changes(emit_changes(propagate_changes(gather_roots(folded), shape), shape)))
+def decide_noted(folded: DataFrame, shape: Shape = ALL, attached: DataFrame | None = None) -> DataFrame:
+    """All steps from folded nodes to numbered changes and notes; a shuffle by root, and by object where there are tags."""
+    emitted = emit_changes(propagate_changes(gather_roots(folded), shape), shape)
+    return order_changes(dedup_changes(add_tags(emitted, attached)))
 
 
 def without_notes(noted: DataFrame) -> DataFrame:
     return noted.where(F.col("noted").isNull()).drop("noted")
 
 
-def decide(folded: DataFrame) -> DataFrame:
-    return without_notes(decide_noted(folded))
+def decide(folded: DataFrame, attached: DataFrame | None = None) -> DataFrame:
+    return without_notes(decide_noted(folded, attached=attached))
 
 
 def assemble_change_sets(changes: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from meshledger.functions.scalars import identity_of_key
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import CHUNK, add_chunks, carry_forward
-from meshledger.operators.tags import (
-    first_attached, first_seen_tags, mark_known, merge_tags, tag_history, tag_links,
-)
+from meshledger.operators.tags import split_added, tag_events
 from meshledger.registry import ALL, REFERENCES, SCALARS, TYPES, Shape
 
 KEYS = ["object_type", "object_key"]
 REFS = ["ref_" + r for r in REFERENCES]
 GUARDED = ("dcim.interface", "ipam.ipaddress")
+_TAG = "id: BIGINT, name: STRING, slug: STRING, color: STRING"
+NO_EVENT = ("STRUCT<seq: STRING, entries: ARRAY<STRUCT<seq: STRING, is_new: BOOLEAN, ord: INT, pos: INT, name: STRING, id: BIGINT, "
+            f"slug: STRING, color: STRING, observed: STRUCT<{_TAG}>>>>")
 
 
 def quoted(names) -> str:
@@ -53,33 +54,26 @@ def state_of_batch(state: DataFrame, nodes: DataFrame) -> DataFrame:
     return state.join(nodes.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
-def attach_history(rows: DataFrame, history: DataFrame, chunked: bool) -> DataFrame:
-    """Join the tag history on the keys the fold is partitioned by, so that rows move once."""
-    if chunked:
-        history = history.join(rows.select(*KEYS, CHUNK).distinct(), KEYS)
-    else:
-        history = history.withColumn(CHUNK, F.lit(0))
-    return rows.join(history, [*KEYS, CHUNK], "left")
-
-
 def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None,
-                      since: DataFrame | None = None, shape: Shape = ALL) -> DataFrame:
+                      since: DataFrame | None = None, shape: Shape = ALL, attached: DataFrame | None = None) -> DataFrame:
     """Nodes with ``before_x`` (held before this root), flags, and the asked-for values. Parents are held from
-    where ``since`` says that they are attached."""
+    where ``since`` says that they are attached. ``attached`` are the batch's tags (see ``attached_tags``)."""
     state = guard_identity(state)
     refs = ["ref_" + r for r in shape.references]
     touched = state_of_batch(state, nodes)
-    links = tag_links(nodes)
-    attached = mark_known(first_attached(links, touched), first_seen_tags(links, state), hot_rows)
     stored = touched.select(*KEYS, F.lit("").alias("seq"), F.lit(0).alias("ord"), "object_id", "slug",
                             *shape.scalars, *refs, F.lit(True).alias("_stored"))
     feed = nodes.unionByName(stored, allowMissingColumns=True).withColumn("_seen", F.lit(True))
+    # What a root attaches stands in front of its nodes; no row carries more than that.
+    if attached is not None:
+        feed = feed.unionByName(tag_events(attached), allowMissingColumns=True)
+    else:
+        feed = feed.withColumn("_event", F.lit(None).cast(NO_EVENT))
     feed, attached_as = add_attached(feed, since, {r: r[4:] for r in refs})
     feed, chunked = add_chunks(feed, KEYS, "seq", hot_rows)
-    feed = attach_history(feed, tag_history(attached), chunked)
-    last = ["object_id", *shape.scalars, *attached_as.values(), "_seen", "_stored"]
+    last = ["object_id", *shape.scalars, *attached_as.values(), "_seen", "_stored", "_event"]
     carried = carry_forward(feed, KEYS, ["seq", "ord"], last, ["slug"], chunked)
-    carried = carried.where(F.col("seq") != "")
+    carried = split_added(carried.where("seq != '' AND ord >= 0"), "before__event")
     # An object that was not in the inventory got its defaults when it was created.
     held = []
     for c in shape.scalars:
@@ -94,9 +88,9 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
     carried = carried.withColumn(
         "_last", F.expr(f"named_struct({', '.join(held)})")).withColumn(
         "was", F.first("_last").over(same_root))
-    drop = ["before_" + c for c in (*last, "slug")] + ["object_id", "_seen", "_stored", CHUNK]
+    drop = ["before_" + c for c in (*last, "slug")] + ["object_id", "_seen", "_stored", "_event", CHUNK]
     drop += [at for c, at in attached_as.items() if at != c]
-    return _compare(merge_tags(carried.drop(*drop)), shape)
+    return _compare(carried.drop(*drop), shape)
 
 
 def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
@@ -123,7 +117,7 @@ def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
     payload = ["'id', object_id", f"'name', {plain}"]
     payload += [f"'{f}', CASE WHEN object_type = '{t}' THEN _name END" for t, f in special.items()]
     payload += ["'slug', _slug", *[f"'{SCALARS[c][1]}', {asked[c]}" for c in shape.scalars]]
-    record = [f"'object_id', coalesce(object_id, {new_id})", "'slug', _slug", "'tags', tags_after"]
+    record = [f"'object_id', coalesce(object_id, {new_id})", "'slug', _slug", "'tags', CAST(NULL AS ARRAY<STRUCT<" + _TAG + ">>)"]
     record += [f"'{c}', {after[c]}" for c in shape.scalars]
     record += [f"'{r}', coalesce({r}, _last.{r})" for r in refs]
     return rows.selectExpr(
@@ -133,8 +127,7 @@ def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
         f"NOT kept AND NOT created AND ({moved}) AS parent_moved",
         f"array_compact(array({unset})) AS unset_parents",
         f"to_json(named_struct({', '.join(payload)})) AS payload",
-        "CASE WHEN size(tags_after) > 0 THEN to_json(tags_after) END AS tags_json",
-        "tags_new", f"named_struct({', '.join(record)}) AS record")
+        "tags_known", "tags_new", f"named_struct({', '.join(record)}) AS record")
 
 
 def empty_state_columns() -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import assigned_id
@@ -62,31 +62,52 @@ def mark_known(attached: DataFrame, known: DataFrame, hot_rows: int | None = HOT
                              & (F.col("seq") != ""))
 
 
-def tag_history(attached: DataFrame) -> DataFrame:
-    """Per object its distinct tags in order: current ones, then per root the known before the new."""
-    entry = F.struct(
+def attached_tags(nodes: DataFrame, state: DataFrame, touched: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
+    """Every (object, tag) with the place it was attached first, staged; None if the batch and its objects have no tags.
+    ``touched`` is the state of the batch's objects."""
+    if nodes.where("tags IS NOT NULL").isEmpty() and touched.where("tags IS NOT NULL").isEmpty():
+        return None
+    links = tag_links(nodes)
+    return stage(mark_known(first_attached(links, touched), first_seen_tags(links, state), hot_rows))
+
+
+def _entry() -> Column:
+    return F.struct(
         "seq", "is_new", "ord", "pos", "name",
         F.coalesce("id", "known.id").alias("id"),
         F.when(F.col("seq") == "", F.col("slug")).otherwise(F.coalesce("known.slug", "slug")).alias("slug"),
         F.when(F.col("seq") == "", F.col("color")).otherwise(F.coalesce("known.color", "color")).alias("color"),
         F.struct(F.lit(None).cast("bigint").alias("id"), "name", "slug", "color").alias("observed"))
-    return attached.groupBy("object_type", "object_key").agg(
-        F.array_sort(F.collect_list(entry)).alias("history"))
 
 
-def merge_tags(nodes: DataFrame) -> DataFrame:
-    """From the history, per node: tags before this root, tags added by it, and the whole list."""
+def tag_events(attached: DataFrame) -> DataFrame:
+    """A row for each root that attaches tags to an object, in front of the root's own nodes: what it attaches."""
+    entries = F.array_sort(F.collect_list(_entry()))
+    return attached.where("seq != ''").groupBy("object_type", "object_key", "seq").agg(entries.alias("entries")).select(
+        "object_type", "object_key", "seq", F.lit(-1).alias("ord"), F.struct("seq", "entries").alias("_event"))
+
+
+def split_added(rows: DataFrame, event: str) -> DataFrame:
+    """Per node the tags its root adds to it: ``tags_known`` as the inventory has them, ``tags_new`` as observed."""
     stored = lambda t: F.struct(t["id"], t["name"], t["slug"], t["color"])
     names = F.transform("tags", lambda t: t["name"])
-    before = F.transform(F.filter("history", lambda t: t["seq"] < F.col("seq")), stored)
-    added = F.filter("history", lambda t: (t["seq"] == F.col("seq")) & F.array_contains(names, t["name"]))
-    rows = nodes.select("*", before.alias("tags_before"), added.alias("_added")).drop("history")
-    known = F.transform(F.filter("_added", lambda t: ~t["is_new"]), stored)
-    new = F.transform(F.filter("_added", lambda t: t["is_new"]), lambda t: t["observed"])
-    return rows.select(
-        "*", F.coalesce(new, F.array().cast(rows.schema["tags_before"].dataType)).alias("tags_new"),
-        F.coalesce(F.size("_added"), F.lit(0)).alias("tags_added"),
-        F.concat(F.coalesce("tags_before", F.array().cast(rows.schema["tags_before"].dataType)),
-                 F.coalesce(known, F.array().cast(rows.schema["tags_before"].dataType)),
-                 F.coalesce(new, F.array().cast(rows.schema["tags_before"].dataType))).alias("tags_after"),
-    ).drop("_added")
+    added = F.when(F.col(event)["seq"] == F.col("seq"), F.filter(F.col(event)["entries"], lambda t: F.array_contains(names, t["name"])))
+    rows = rows.withColumn("_added", added)
+    return rows.select("*", F.transform(F.filter("_added", lambda t: ~t["is_new"]), stored).alias("tags_known"),
+                       F.transform(F.filter("_added", lambda t: t["is_new"]), lambda t: t["observed"]).alias("tags_new"),
+                       F.coalesce(F.size("_added"), F.lit(0)).alias("tags_added")).drop("_added")
+
+
+def with_tags(rows: DataFrame, attached: DataFrame | None) -> DataFrame:
+    """Add ``tags_after``: the tags an object has after a row (object, seq, tags_known, tags_new): those of earlier roots in
+    the order they were attached, then the known, then the new. The list of an object is joined to the rows that need it and
+    to no others, so it is as large as what comes out."""
+    empty = F.array().cast(rows.schema["tags_new"].dataType)
+    own = [F.coalesce("tags_known", empty), F.coalesce("tags_new", empty)]
+    if attached is None:
+        return rows.withColumn("tags_after", F.concat(*own))
+    history = attached.groupBy("object_type", "object_key").agg(F.array_sort(F.collect_list(_entry())).alias("_history"))
+    before = F.transform(F.filter("_history", lambda t: t["seq"] < F.col("seq")),
+                         lambda t: F.struct(t["id"], t["name"], t["slug"], t["color"]))
+    joined = rows.join(history, ["object_type", "object_key"], "left")
+    return joined.withColumn("tags_after", F.concat(F.coalesce(before, empty), *own)).drop("_history")

@@ -13,10 +13,11 @@ from meshledger.operators.changes import assemble_change_sets, decide_noted, wit
 from meshledger.operators.flatten import (
     add_keys, classify_roots, explode_entities, flatten, lay_out, number_copies,
 )
-from meshledger.operators.fold import fold_observations
+from meshledger.operators.fold import fold_observations, state_of_batch
 from meshledger.operators.logs import build_log, request_errors, split_rejects
 from meshledger.operators.resolve import apply_resolution, resolve_parents
 from meshledger.operators.steady import split_steady
+from meshledger.operators.tags import attached_tags
 from meshledger.operators.touched import touched_state
 from meshledger.operators.validate import check_envelope
 from meshledger.registry import ALL, Shape, shape_of
@@ -81,8 +82,10 @@ def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None,
     nodes = stage(flatten(apply_resolution(keyed, resolved, shape), shape=shape))
     moving, quiet = split_steady(nodes, state, shape, hot_rows)
     moving = stage(moving)
-    folded = fold_observations(moving, state, limit_for(moving, hot_rows), since, shape)
-    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape)
+    limit = limit_for(moving, hot_rows)
+    attached = attached_tags(moving, state, state_of_batch(state, moving), limit)
+    folded = fold_observations(moving, state, limit, since, shape, attached)
+    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached)
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:

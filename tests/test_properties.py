@@ -154,6 +154,7 @@ def test_steady_keys_change_nothing(spark):
     from meshledger.operators.fold import fold_observations
     from meshledger.operators.resolve import apply_resolution, resolve_parents
     from meshledger.operators.steady import split_steady
+    from meshledger.operators.tags import attached_tags
     from meshledger.plans.reconcile import keyed_roots
 
     state = empty_state(spark)
@@ -164,9 +165,11 @@ def test_steady_keys_change_nothing(spark):
     moving, quiet = stage(moving), stage(quiet)
     assert quiet.count() > 0 and moving.count() + quiet.count() == nodes.count()
 
+    attached = attached_tags(nodes, state, state, None)
+
     def listed(folded):
-        rows = decide(folded).orderBy("seq", "ord").collect()
+        rows = decide(folded, attached).orderBy("seq", "ord").collect()
         return [(r["seq"], r["ord"], r["change_type"], r["object_type"], r["data"]) for r in rows]
 
-    part = fold_observations(moving, state).unionByName(quiet, allowMissingColumns=True)
-    assert listed(part) == listed(fold_observations(nodes, state))
+    part = fold_observations(moving, state, attached=attached).unionByName(quiet, allowMissingColumns=True)
+    assert listed(part) == listed(fold_observations(nodes, state, attached=attached))
