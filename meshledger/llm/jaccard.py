@@ -38,7 +38,9 @@ SHINGLE = 5
 #: Ratio of a band's ends; differences taken up by a part's subsets and number of its parts, level by level.
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
 #: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
-SLICES = (4 << 20, 1 << 20, 128 << 10)
+SLICES = (2 << 20, 512 << 10, 64 << 10)
+#: Signatures combined at once within a task.
+COMBINED = 1 << 20
 #: Pairs across components in one signature group beyond which it is left out.
 CROWDED = 300
 #: Ids of candidates up to this number (8 bytes each) are broadcast to find their texts; more are joined.
@@ -153,7 +155,7 @@ def signature_groups(docs: DataFrame, level: int) -> DataFrame:
     def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return signatures(*shingle_sets(text), len(text), level)
 
-    return sharing(docs, keys, SLICES[level])
+    return sharing(docs, keys, SLICES[level], COMBINED)
 
 
 def parity_sketch(value: np.ndarray) -> bytes:
@@ -247,6 +249,15 @@ def pairs_across(member: DataFrame) -> DataFrame:
     return each.groupBy("signature").agg(((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))) / 2).alias("across"))
 
 
+def distinct_groups(member: DataFrame) -> DataFrame:
+    """Of the signatures with equal members (told apart by two hashes and their number) the smallest: others would make the same
+    pairs again. A passage that documents share gives many such signatures."""
+    told = member.groupBy("signature").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("a"),
+                                           F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("b"))
+    kept = told.groupBy("n", "a", "b").agg(F.min("signature").alias("signature")).select("signature")
+    return member.join(kept, "signature", "left_semi")
+
+
 def needed(member: DataFrame, spare: DataFrame) -> DataFrame:
     """The members that have to be compared across components. Put a set's filled parts in the order of such pairs, those
     of signatures without any first: two similar sets meet in one of the first d + 1 of each, as of the parts before their
@@ -292,7 +303,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         member = stage(member.join(mixed, "signature").distinct())
         release(spark, groups, part)
         last = level + 1 == len(LEVELS)
-        chosen = member if level else stage(needed(member, full_spare))
+        chosen = stage(distinct_groups(member if level else stage(needed(member, full_spare))))
         crowded = (pairs_across(chosen).filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
         plain = chosen.join(crowded, "signature", "left_anti").select("signature", "doc", "component")
         other = plain.select("signature", F.col("doc").alias("two"), F.col("component").alias("beside"))

@@ -16,9 +16,9 @@ COMBINED = 1 << 21
 
 
 def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
-            size: int = 4 << 20) -> DataFrame:
+            size: int = 4 << 20, limit: int = COMBINED) -> DataFrame:
     """(signature, doc, leader): the documents of every key that two documents or more have. ``keys_of`` gives
-    (text, key) rows of a column of texts, about ``size`` bytes at a time.
+    (text, key) rows of a column of texts, about ``size`` bytes at a time; ``limit`` keys are combined at once.
 
     The leader is the smallest document a task has seen with the key, or, for such leaders, the smallest of all: a
     task keeps the others to itself, so a key has one row for each task in the shuffle, however hot it is."""
@@ -48,7 +48,7 @@ def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.
                 docs.append(part.column("doc_id").to_numpy()[home])
                 found.append(signature)
                 held += len(signature)
-                if held >= COMBINED:
+                if held >= limit:
                     yield combined()
                     docs, found, held = [], [], 0
         if held:
