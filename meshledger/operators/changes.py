@@ -148,8 +148,8 @@ def add_tags(emitted: DataFrame, attached: DataFrame | None) -> DataFrame:
     rows = with_tags(emitted, attached)
     full = F.col("record").isNotNull() & (F.size("tags_after") > 0)
     data = F.when(full, F.expr(_merged("data", [_member("tags", "to_json(tags_after)")]))).otherwise(F.col("data"))
-    record = F.col("record").withField("tags", F.col("tags_after"))
-    return rows.withColumns({"data": data, "record": record}).drop("tags_known", "tags_new", "tags_after")
+    record = F.col("record").withField("tags", F.col("tags_held"))
+    return rows.withColumns({"data": data, "record": record}).drop("tags_known", "tags_new", "tags_after", "tags_held")
 
 
 def dedup_changes(changes: DataFrame) -> DataFrame:

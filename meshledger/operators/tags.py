@@ -100,14 +100,18 @@ def split_added(rows: DataFrame, event: str) -> DataFrame:
 
 def with_tags(rows: DataFrame, attached: DataFrame | None) -> DataFrame:
     """Add ``tags_after``: the tags an object has after a row (object, seq, tags_known, tags_new): those of earlier roots in
-    the order they were attached, then the known, then the new. The list of an object is joined to the rows that need it and
-    to no others, so it is as large as what comes out."""
+    the order they were attached, then the known, then the new as observed; and ``tags_held``, the same with the ids that the
+    new ones get. The list of an object is joined to the rows that need it and to no others, so it is as large as what
+    comes out."""
     empty = F.array().cast(rows.schema["tags_new"].dataType)
-    own = [F.coalesce("tags_known", empty), F.coalesce("tags_new", empty)]
+    known, new = F.coalesce("tags_known", empty), F.coalesce("tags_new", empty)
+    made = F.transform(new, lambda t: F.struct(assigned_id(F.lit(TAG_TYPE), t["name"]).alias("id"), t["name"], t["slug"], t["color"]))
     if attached is None:
-        return rows.withColumn("tags_after", F.concat(*own))
+        return rows.withColumns({"tags_after": F.concat(known, new), "tags_held": F.concat(known, made)})
     history = attached.groupBy("object_type", "object_key").agg(F.array_sort(F.collect_list(_entry())).alias("_history"))
     before = F.transform(F.filter("_history", lambda t: t["seq"] < F.col("seq")),
                          lambda t: F.struct(t["id"], t["name"], t["slug"], t["color"]))
     joined = rows.join(history, ["object_type", "object_key"], "left")
-    return joined.withColumn("tags_after", F.concat(F.coalesce(before, empty), *own)).drop("_history")
+    joined = joined.withColumn("_before", F.coalesce(before, empty))
+    return joined.withColumns({"tags_after": F.concat("_before", known, new), "tags_held": F.concat("_before", known, made)}).drop(
+        "_history", "_before")
