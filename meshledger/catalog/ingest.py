@@ -199,7 +199,7 @@ def constraint_violations_machines(spark, folder):
 
 
 def _repeated(letter, n):
-    return F.repeat(F.lit(letter), n)
+    return letter * n
 
 
 #: kind -> (an entity that breaks rules, what it breaks, what makes it whole).
