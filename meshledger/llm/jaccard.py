@@ -21,7 +21,7 @@ not read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ SHINGLE = 5
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
 #: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
 SLICES = (2 << 20, 512 << 10, 64 << 10)
+#: Pairs of texts in an Arrow batch.
+PAIRS = 128
 #: Signatures combined at once within a task.
 COMBINED = 1 << 20
 #: Pairs across components in one signature group beyond which it is left out.
@@ -189,6 +191,18 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(rule, "one long, two long").distinct())
 
 
+def few_rows(build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """Stage a frame whose rows hold two whole texts, with few of them in an Arrow batch: a batch lies in the executor and
+    in its Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PAIRS)
+    try:
+        return stage(build())
+    finally:
+        spark.conf.set(name, before)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (one, two) whose sets are similar enough, staged."""
     pairs = stage(plausible(pairs, sets))
@@ -213,9 +227,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("one").alias("doc_id")).unionAll(pairs.select("two")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    found = stage(pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
-                  .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
-                  .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"))
+    found = few_rows(lambda: pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
+                     .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
+                     .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"), docs.sparkSession)
     release(docs.sparkSession, pairs)
     return found
 
