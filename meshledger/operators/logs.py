@@ -193,8 +193,9 @@ def ranges_of_page(found: DataFrame, offset: int, size: int, ranges: int) -> tup
             break
     if first is None:
         return found.where(F.lit(False)), 0
-    inside = [F.col("id") < cuts[first - 1]] * (first > 0) + [F.col("id") >= cuts[last]] * (last < len(cuts))
-    return found.where(all_of(inside)), offset - skipped
+    below = F.col("id") < cuts[first - 1] if first > 0 else F.lit(True)
+    above = F.col("id") >= cuts[last] if last < len(cuts) else F.lit(True)
+    return found.where(below & above), offset - skipped
 
 
 def next_token(log: DataFrame, query: LogQuery, returned: int) -> str:

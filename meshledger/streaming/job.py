@@ -101,8 +101,9 @@ def reconcile_stream(messages: DataFrame, root: str, checkpoint: str, hot_rows:
 def stream_state_changes(log: DataFrame) -> DataFrame:
     """(state, n) corrections over a stream of log records: a later record of an id takes it out of its old state.
 
-    Only ids that are not final are remembered, so the memory holds what is in flight; an id's records may come in one
-    batch or in several, queued ones late or not at all. The sum of n by state is the count of the latest records."""
+    An id's records may come in one batch or in several, queued ones late or not at all, final ones twice. What is remembered is
+    the state of every id, final ones too, so that a late or repeated record counts nothing; Spark keeps it by id in the
+    partitions of its state store. The sum of n by state is the count of the latest records."""
     final = [s for s in COUNTED_STATES.values() if s != "QUEUED"]
 
     def correct(key, parts, memory):
