@@ -54,7 +54,7 @@ def test_batches_change_nothing(spark):
         ("dcim.devicerole", "r1", {"id": 7, "name": "r1", "slug": "r1", "color": "000000"}),
         ("dcim.site", "undefined", {"id": 8, **UNDEFINED, "status": {"value": "active"}}),
     ]
-    state, rows = stored(spark, objects), wandering(5, 10)
+    state, rows = stored(spark, objects), wandering(5, 8)
     whole = in_batches(spark, rows, state, 1)
     assert whole[0] and in_batches(spark, rows, state, 3) == whole
     assert in_batches(spark, rows, state, len(rows)) == whole
@@ -95,7 +95,7 @@ def test_shape_of_a_batch_changes_nothing(spark, monkeypatch):
     from meshledger.operators.flatten import classify_roots, explode_entities
     from meshledger.plans import reconcile as plan
 
-    for pick in (0, 3):
+    for pick in (3,):
         rows = [r for i, r in enumerate(mixed_requests(spark, 40)) if i % 6 == pick]
         roots = stage(classify_roots(explode_entities(many_requests(spark, rows))))
         assert set(present_shape(roots).slots) < set(ALL.slots)
