@@ -19,7 +19,7 @@ from meshledger.functions.scalars import absent_if_empty, key_part
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import add_chunks, carry_forward
 from meshledger.operators.flatten import is_placeholder
-from meshledger.operators.salts import heavy_keys, join_salted
+from meshledger.operators.salts import heavy_keys, join_salted, shuffled
 from meshledger.registry import ALL, SEPARATOR, UNDEFINED, Shape
 from meshledger.session import stage
 
@@ -165,11 +165,11 @@ def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = N
 
 
 def apply_resolution(keyed: DataFrame, resolved: DataFrame | None, shape: Shape = ALL) -> DataFrame:
-    """Put the found parents in place: new keys, and ``kept_<slot>`` for parents only kept."""
+    """Put the found parents in place: new keys, and ``kept_<slot>`` for parents only kept. ``keyed`` is staged."""
     kept = {s: F.lit(False) for s in shape.slots}
     if resolved is None:
         return keyed.withColumns({"kept_" + s: c for s, c in kept.items()})
-    rows = keyed.join(resolved, "seq", "left")
+    rows = keyed.join(shuffled(resolved, keyed.count()), "seq", "left")
     keys: dict[str, Column] = {s: F.col("key_" + s) for s in shape.slots}
     for slot in (*HELD, *CLUSTER_HELD):
         if "new_" + slot in resolved.columns:

@@ -13,6 +13,12 @@ from meshledger.session import stage
 _SALT, _SALTS = "_salt", "_salts"
 
 
+def shuffled(side: DataFrame, most: int) -> DataFrame:
+    """A join's side of at most ``most`` rows: if these may be many, it is never sent through the driver. Estimates don't tell: a
+    few columns of a staged wide table count as their share of all its columns, whatever is in them."""
+    return side.hint("merge") if most > BROADCAST_KEYS else side
+
+
 def heavy_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
     """(keys, number of salts) of the keys with more than ``hot_rows`` rows, None if there are none.
 
