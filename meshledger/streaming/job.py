@@ -6,11 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.logs import COUNTED_STATES, log_records, with_change_sets
@@ -102,24 +100,26 @@ def stream_state_changes(log: DataFrame) -> DataFrame:
     """(state, n) corrections over a stream of log records: a later record of an id takes it out of its old state.
 
     An id's records may come in one batch or in several, queued ones late or not at all, final ones twice. What is remembered is
-    the state of every id, final ones too, so that a late or repeated record counts nothing; Spark keeps it by id in the
-    partitions of its state store. The sum of n by state is the count of the latest records."""
+    when an id was first and last seen queued, and final, by the time Spark gives a batch, so that a late or repeated record counts
+    nothing; Spark keeps it by id in the partitions of its state store. A kind of record is new to an id if it was seen at no
+    other time than now: batches only need different times, in whatever order a clock gives them. The sum of n by state is the
+    count of the latest records."""
     final = [s for s in COUNTED_STATES.values() if s != "QUEUED"]
-
-    def correct(key, parts, memory):
-        rank = {"QUEUED": 0} | {s: 1 for s in final}
-        now = memory.get[0] if memory.exists else None
-        states = [now] if now else []
-        for part in parts:
-            states += part["state"].tolist()
-        new = max((s for s in states if s in rank), key=lambda s: rank[s], default=None)
-        if new is None or new == now or now in final:
-            return
-        memory.update((new,))
-        yield pd.DataFrame({"state": [new] + [now] * (now is not None), "n": [1] + [-1] * (now is not None)})
-
-    return log.select("id", "state").groupBy("id").applyInPandasWithState(
-        correct, "state string, n long", "state string", "append", GroupStateTimeout.NoTimeout)
+    now = F.current_timestamp()
+    is_final = F.col("state").isin(final)
+    kept = log.where(is_final | (F.col("state") == "QUEUED")).select(
+        "id", F.when(~is_final, now).alias("queued"), F.when(is_final, now).alias("done"),
+        F.when(is_final, F.array_position(F.lit(final), F.col("state")).cast("int")).alias("at"))
+    seen = kept.groupBy("id").agg(*[f(c).alias(n + c) for c in ("queued", "done") for f, n in ((F.min, "first_"), (F.max, "last_"))],
+                                  F.min("at").alias("at")).withColumn("now", now)
+    new = {c: F.coalesce((F.col("first_" + c) == F.col("now")) & (F.col("last_" + c) == F.col("now")), F.lit(False))
+           for c in ("queued", "done")}
+    queued_before = F.col("first_queued").isNotNull() & ~new["queued"]
+    one = lambda state, n: F.struct(state.alias("state"), F.lit(n).cast("bigint").alias("n"))
+    entered = F.when(new["done"], one(F.get(F.lit(final), F.col("at") - 1), 1)).when(
+        new["queued"] & F.col("first_done").isNull(), one(F.lit("QUEUED"), 1))
+    left = F.when(new["done"] & queued_before, one(F.lit("QUEUED"), -1))
+    return seen.select(F.inline(F.array_compact(F.array(entered, left))))
 
 
 def count_states_of_stream(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -128,7 +128,7 @@ def count_states_of_stream(log: DataFrame, path: str, checkpoint: str, trigger:
         corrections.groupBy("state").agg(F.sum("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/batch={batch:012d}")
 
-    return (stream_state_changes(log).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (stream_state_changes(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
