@@ -5,8 +5,8 @@ forms (written-out emails, long ip addresses, cards with other separators, natio
 Five labelers vote for, against or not at all on every proposed span: its format (regex), a check sum or the like, a
 gazetteer, keywords before it, and the characters around it. Expectation-maximisation over the counts of each combination of votes
 estimates how far each labeler can be relied on for each kind, without any label (a two-class model of independent labelers). A
-logistic classifier of votes and shape starts at the estimated log odds and is trained on the expected labels; it
-decides on the spans that are no base ones. A span whose check fails, and one that overlaps a base span, is never added.
+logistic classifier of votes and shape starts at the estimated log odds and is trained on the expected labels, corrected by what is
+certain: a span whose check fails is none. So shapes that such spans have count against the others; it decides on the spans that are no base ones. A span whose check fails, and one that overlaps a base span, is never added.
 
 The text is read once: its spans and votes are staged, the model is a few hundred numbers learned from counts of vote
 combinations (``3 ** 5 * 2 ** 3`` at most for a kind), and the staged spans are scored. No row is shuffled but these counts.
@@ -298,11 +298,15 @@ def _log_odds(theta: Column) -> Column:
 
 
 def trained(rows: Column, theta: Column) -> Column:
-    """Weights of the logistic classifier: gradient steps on the expected labels, from the estimated log odds on."""
+    """Weights of the logistic classifier: gradient steps on the expected labels, from the estimated log odds on.
+
+    The estimate alone would be its own best fit, and no step would change it; the labels that a failed check settles are what
+    it learns from."""
     start = _log_odds(theta)
     width = 1 + 2 * len(LABELERS) + len(SHAPES)
     labelled = bind(start, lambda w: F.transform(rows, lambda row: bind(features(row["vote"], row["shape"]), lambda x: F.struct(
-        x.alias("x"), row["n"].alias("n"), _logistic(_dot(w, x)).alias("label")))))
+        x.alias("x"), row["n"].alias("n"),
+        F.when(F.get(row["vote"], F.lit(1)) == 0, 0.0).otherwise(_logistic(_dot(w, x))).alias("label")))))
 
     def step(data: Column) -> Callable[[Column, Column], Column]:
         def move(weights: Column, _: Column) -> Column:
