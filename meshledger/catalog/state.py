@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshledger.catalog.ingest import nodes_of, staged_nodes
 from meshledger.catalog.observe import arrival, as_requests, entity, only_if, query, shown, table, tag
 from meshledger.functions.scalars import key_part, natural_key, scoped_identity
-from meshledger.operators.carry import add_chunks, carry_forward
+from meshledger.operators.carry import HOT_ROWS, add_chunks, carry_forward
 from meshledger.operators.flatten import (
     add_keys, classify_roots, explode_entities, flatten, lay_out, vm_lookup_key,
 )
@@ -16,6 +16,8 @@ from meshledger.operators.fold import fold_observations, guard_identity
 from meshledger.operators.lookup import known_tags, lookup_state, new_tags
 from meshledger.operators.resolve import apply_resolution, resolve_parents
 from meshledger.operators.tags import attached_tags, tag_links, with_tags
+from meshledger.plans.reconcile import limit_for
+from meshledger.registry import shape_of
 from meshledger.session import stage
 from meshledger.sources.state import conform_state, empty_state, wrap_state
 
@@ -46,6 +48,12 @@ def state_lookup(spark, folder):
     return lookup_state(nodes, state).select(arrival().alias("p_partkey"), "matched_id")
 
 
+def fold(nodes, state, root_type, attached=None):
+    """The fold as the job runs it: columns of the types that a root has, and a key with very many observations is cut into
+    chunks. ``nodes`` is staged."""
+    return fold_observations(nodes, state, limit_for(nodes, HOT_ROWS), shape=shape_of([root_type]), attached=attached)
+
+
 def resolved(requests, state):
     roots = classify_roots(explode_entities(requests)).where("root_error IS NULL").select("seq", "entity")
     keyed = stage(add_keys(lay_out(roots)))
@@ -120,7 +128,7 @@ a AS (SELECT site, att.tag, doc, pos, doc = first AS is_new FROM att JOIN seen U
 def folded_tags(spark, folder):
     nodes, state = staged_nodes(tagged_documents(spark, folder)), empty_state(spark)
     attached = attached_tags(nodes, state, state, None)
-    return fold_observations(nodes, state, attached=attached), attached
+    return fold(nodes, state, "dcim.site", attached), attached
 
 
 @query("running_tags", RUNNING_SQL + """
@@ -219,7 +227,7 @@ SELECT k AS o_orderkey, CASE WHEN nth = 1 THEN 'create'
   ELSE 'none' END AS change FROM p""")
 def change_detect(spark, folder):
     """A carried description, and a size that is compared as observed."""
-    folded = fold_observations(staged_nodes(observed_disks(spark, folder)), empty_state(spark))
+    folded = fold(staged_nodes(observed_disks(spark, folder)), empty_state(spark), "virtualization.virtualdisk")
     change = F.when(F.col("created"), "create").when(F.col("fields_differ"), "update").otherwise("none")
     return folded.where("slot = 'virtual_disk'").select(arrival().alias("o_orderkey"), change.alias("change"))
 
@@ -230,7 +238,7 @@ def default_fill(spark, folder):
     status = F.when(F.col("c_custkey") % 4 == 0, "planned").otherwise("")
     seen = entity(site={"name": F.col("c_name"), "status": status})
     nodes = staged_nodes(as_requests(table(spark, folder, "customer"), F.col("c_custkey"), F.array(seen)))
-    return fold_observations(nodes, empty_state(spark)).select(
+    return fold(nodes, empty_state(spark), "dcim.site").select(
         arrival().alias("c_custkey"), F.col("record.status").alias("status"))
 
 
@@ -239,7 +247,7 @@ def first_creator(spark, folder):
     """An object new in several roots is created by the earliest."""
     seen = entity(device_role={"name": F.col("o_orderpriority")})
     nodes = staged_nodes(as_requests(table(spark, folder, "orders"), F.col("o_orderkey"), F.array(seen)))
-    return fold_observations(nodes, empty_state(spark)).where("created").select(
+    return fold(nodes, empty_state(spark), "dcim.devicerole").where("created").select(
         F.col("object_key").alias("name"), arrival().alias("o_orderkey"))
 
 
@@ -256,7 +264,7 @@ def snapshot_union(spark, folder):
     rows = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     seen = entity(site={"name": F.col("n_name"), "description": F.when(F.col("s_suppkey") % 3 == 0, text("s_suppkey", "d"))})
     nodes = staged_nodes(as_requests(rows, F.col("s_suppkey"), F.array(seen)))
-    return fold_observations(nodes, state).select(arrival().alias("s_suppkey"), "object_id",
+    return fold(nodes, state, "dcim.site").select(arrival().alias("s_suppkey"), "object_id",
                                                   F.col("record.description").alias("description"))
 
 

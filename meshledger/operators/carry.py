@@ -17,6 +17,8 @@ from meshledger.session import stage
 # A key with more rows than this in one batch is cut into chunks.
 HOT_ROWS = 500_000
 CHUNKS = 256
+# Split points that are compared at once.
+BLOCK = 16
 SPLIT_SAMPLE = 8_192
 # Hot keys are at most rows / HOT_ROWS; broadcast them only when that is few.
 BROADCAST_KEYS = 100_000
@@ -49,9 +51,13 @@ def add_chunks(rows: DataFrame, keys: Sequence[str], order: str, hot_rows: int |
               .orderBy(F.xxhash64(order)).limit(SPLIT_SAMPLE).collect())
     ranked = sorted(row[0] for row in spread)
     points = ranked[:: max(1, len(ranked) // chunks)]
-    bounds = F.array(*[F.lit(p) for p in points])
-    position = F.size(F.filter(bounds, lambda b: b <= F.col(order)))
-    return marked.withColumn(CHUNK, F.when(F.col("_hot"), position).otherwise(0)).drop("_hot"), True
+    bounds, coarse = (F.array(*[F.lit(p) for p in some]) for some in (points, points[::BLOCK]))
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= F.col(order)))
+    # The block of points a row falls into first, then its place in there: few comparisons for each row.
+    first = (F.col("_block") - 1) * BLOCK
+    marked = marked.withColumn("_block", F.when(F.col("_hot"), upto(coarse)).otherwise(0))
+    position = F.when(F.col("_block") > 0, first + upto(F.slice(bounds, first + 1, F.lit(BLOCK)))).otherwise(0)
+    return marked.withColumn(CHUNK, position).drop("_hot", "_block"), True
 
 
 def carry_forward(rows: DataFrame, keys: Sequence[str], order: Sequence[str], last: Sequence[str],
