@@ -63,6 +63,12 @@ def explode_entities(requests: DataFrame) -> DataFrame:
         F.col("ingestion_ts"), F.col("id"), F.coalesce("position", F.lit(0)), F.col("copy")))
 
 
+def spread(entities: DataFrame) -> DataFrame:
+    """Deal entities over the tasks by their place. A small file, or one request with very many entities, is a single task's, and
+    each entity costs far more than its bytes; what is staged from few tasks is read by few tasks again."""
+    return entities.repartition("seq")
+
+
 def classify_roots(entities: DataFrame) -> DataFrame:
     """Add the object type and the error that keeps an entity from being reconciled."""
     entity = F.col("entity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshledger.operators.flatten import explode_entities
+from meshledger.operators.flatten import explode_entities, spread
 from meshledger.registry import BY_ENTITY
 from meshledger.operators.validate import entity_violations, request_violations
 
@@ -24,5 +24,5 @@ def check_constraints(requests: DataFrame, kinds: tuple[str, ...] | None = None)
     kinds = present_kinds(entities) if kinds is None else kinds
     if not kinds:
         return own
-    inner = entities.select("id", "position", F.explode(entity_violations(kinds)).alias("violation"))
+    inner = spread(entities.select("id", "position", "entity", "seq")).select("id", "position", F.explode(entity_violations(kinds)).alias("violation"))
     return own.unionByName(inner)
