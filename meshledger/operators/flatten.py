@@ -71,6 +71,7 @@ def spread(entities: DataFrame) -> DataFrame:
 
 def classify_roots(entities: DataFrame) -> DataFrame:
     """Add the object type and the error that keeps an entity from being reconciled."""
+    entities = spread(entities)
     entity = F.col("entity")
     missing = entity.isNull() | ~variant_set(entity)
     nil = F.when(missing, F.concat(F.lit("entity at index "), F.col("position").cast("string"),
