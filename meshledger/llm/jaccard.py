@@ -38,11 +38,11 @@ SHINGLE = 5
 #: Ratio of a band's ends; differences taken up by a part's subsets and number of its parts, level by level.
 RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
 #: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
-SLICES = (2 << 20, 512 << 10, 64 << 10)
-#: Pairs of texts in an Arrow batch.
-PAIRS = 128
+SLICES = (512 << 10, 256 << 10, 64 << 10)
+#: Pairs of texts in an Arrow batch, and single texts.
+PAIRS, TEXTS = 128, 2_000
 #: Signatures combined at once within a task.
-COMBINED = 1 << 20
+COMBINED = 1 << 19
 #: Pairs across components in one signature group beyond which it is left out.
 CROWDED = 300
 #: Ids of candidates up to this number (8 bytes each) are broadcast to find their texts; more are joined.
@@ -191,12 +191,12 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(rule, "one long, two long").distinct())
 
 
-def few_rows(build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """Stage a frame whose rows hold two whole texts, with few of them in an Arrow batch: a batch lies in the executor and
+def few_rows(build: Callable[[], DataFrame], spark: SparkSession, rows: int = PAIRS) -> DataFrame:
+    """Stage a frame made from rows that hold whole texts, with few of them in an Arrow batch: a batch lies in the executor and
     in its Python worker at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, PAIRS)
+    spark.conf.set(name, rows)
     try:
         return stage(build())
     finally:
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_one", 1 << 20):
+            for part in slices(batch, "text_one", SLICES[0]):
                 keep = []
                 sets = []
                 for name in ("text_one", "text_two"):
@@ -238,7 +238,7 @@ def set_keys(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key (a, b), equal for equal sets, the parity sketch and the spare parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICES[0]):
                 doc, value = shingle_sets(part.column("text"))
                 size = np.bincount(doc, minlength=part.num_rows)
                 keys = [np.zeros(part.num_rows, _U) for _ in range(2)]
@@ -288,7 +288,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes (doc_id, n_shingles), a row for each row of ``docs``, and (node, component) of linked documents."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(set_keys(docs))
+    sets = few_rows(lambda: set_keys(docs), spark, TEXTS)
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     full = sets.select("doc_id", "n_shingles", "a", "b").filter("n_shingles > 0 AND doc_id IS NOT NULL")
     full_spare = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
@@ -305,7 +305,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alone = named.join(passed, "doc_id", "left_anti")
     links, known, scope = copies, None, alone
     for level in range(len(LEVELS)):
-        groups = stage(signature_groups(scope, level))
+        groups = few_rows(lambda: signature_groups(scope, level), spark, TEXTS)
         stars = stage(groups.select(F.col("doc").alias("one"), F.col("leader").alias("two")).filter("one <> two").distinct())
         links = links.unionAll(verified(stars, named, sets))
         tried = stars if known is None else known.unionAll(stars)

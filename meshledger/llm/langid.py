@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Lookup, np.ndarray], keep:
         languages, lookup, chance = current.value
         scores = WordScores(lookup, chance)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 1 << 20):
                 text = part.column("__text")
                 words = words_of(text)
                 distinct, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)

@@ -13,6 +13,8 @@ from meshledger.llm.textarrays import slices
 
 #: Keys combined at once within a task.
 COMBINED = 1 << 21
+#: Rows of an Arrow batch that goes back: it lies in the worker and in the executor at once.
+ROWS = 1 << 16
 
 
 def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
@@ -25,7 +27,7 @@ def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, found, held = [], [], 0
 
-        def combined() -> pa.RecordBatch:
+        def combined() -> Iterator[pa.RecordBatch]:
             doc, signature = np.concatenate(docs), np.concatenate(found)
             order = np.lexsort((doc, signature))
             doc, signature = doc[order], signature[order]
@@ -37,10 +39,12 @@ def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.
             count = np.diff(np.r_[start, len(doc)])
             leader = np.repeat(doc[start], count)
             rows = np.r_[start, np.flatnonzero(np.repeat(count > 1, count))]
-            whole = np.arange(len(rows)) < len(start)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(signature[rows].view(np.int64)), pa.array(doc[rows]), pa.array(leader[rows], mask=whole)],
-                ["signature", "doc", "leader"])
+            for at in range(0, len(rows), ROWS):
+                some = rows[at : at + ROWS]
+                whole = np.arange(at, at + len(some)) < len(start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signature[some].view(np.int64)), pa.array(doc[some]), pa.array(leader[some], mask=whole)],
+                    ["signature", "doc", "leader"])
 
         for batch in batches:
             for part in slices(batch, "text", size):
@@ -49,10 +53,10 @@ def sharing(docs: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.
                 found.append(signature)
                 held += len(signature)
                 if held >= limit:
-                    yield combined()
+                    yield from combined()
                     docs, found, held = [], [], 0
         if held:
-            yield combined()
+            yield from combined()
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by signature and document: a group's first row is its leader, which is known before the others.

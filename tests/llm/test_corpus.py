@@ -231,3 +231,19 @@ def test_encoding_takes_bounded_memory():
     plain = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
     assert ids[border[1] : border[2]].tolist() == plain.encode(" ".join(words[:50]))
     assert ids[:100_000].tolist() == plain.encode(" ".join(words[:60_000]))[:100_000]
+
+
+def test_shared_keys_come_back_in_small_batches(spark, monkeypatch):
+    """op3_jaccard, pipeline: all keys that a task had combined went back in one Arrow batch."""
+    import numpy as np
+
+    from meshledger.llm import sharing
+
+    monkeypatch.setattr(sharing, "ROWS", 3)
+    docs = spark.createDataFrame([(i, "x") for i in range(20)], "doc_id long, text string").coalesce(1)
+
+    def keys(text):
+        return np.repeat(np.arange(len(text)), 2), np.tile(np.array([5, 9], np.uint64), len(text))
+
+    found = sharing.sharing(docs, keys)
+    assert sorted(map(tuple, found.collect())) == sorted((s, d, 0) for s in (5, 9) for d in range(20))
