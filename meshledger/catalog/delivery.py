@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meshledger.catalog.observe import arrival, as_requests, entity, query, table
 from meshledger.functions.scalars import arrival_order, log_id
+from meshledger.operators.salts import dealt
 from meshledger.plans.reconcile import reconcile
 from meshledger.schemas import ERROR
 from meshledger.sources.state import empty_state
@@ -34,7 +35,8 @@ def repeated_requests(spark, folder):
     k = F.col("event_id")
     once = as_requests(table(spark, folder, "events"), k, F.array(entity(site={
         "name": F.concat(F.lit("e"), k.cast("string")), "description": F.col("event_type")})))
-    log = reconcile(once.unionAll(once), empty_state(spark)).log
+    twice = once.unionAll(once)
+    log = dealt(reconcile(twice, empty_state(spark)).log, twice.count(), "ingestion_ts")
     return log.groupBy(F.col("ingestion_ts").alias("event_id"), "state").agg(F.countDistinct("id").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshledger import registry as R
 from meshledger.functions.scalars import content_key
+from meshledger.operators.salts import dealt
 from meshledger.operators.tags import with_tags
 from meshledger.registry import ALL, NOT_DEDUPED, SLOTS, TAG_TYPE, Shape
 
@@ -176,9 +177,10 @@ def order_changes(changes: DataFrame) -> DataFrame:
         "data", "record", F.when(F.col("place") >= _NOTES, F.col("data")).alias("noted"))
 
 
-def decide_noted(folded: DataFrame, shape: Shape = ALL, attached: DataFrame | None = None) -> DataFrame:
-    """All steps from folded nodes to numbered changes and notes; a shuffle by root, and by object where there are tags."""
-    emitted = emit_changes(propagate_changes(gather_roots(folded), shape), shape)
+def decide_noted(folded: DataFrame, shape: Shape = ALL, attached: DataFrame | None = None, number: int | None = None) -> DataFrame:
+    """All steps from folded nodes to numbered changes and notes; a shuffle by root, and by object where there are tags. ``number``
+    tells how many nodes there are."""
+    emitted = emit_changes(propagate_changes(gather_roots(dealt(folded, number, "seq")), shape), shape)
     return order_changes(dedup_changes(add_tags(emitted, attached)))
 
 

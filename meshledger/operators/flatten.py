@@ -14,6 +14,7 @@ from meshledger.functions.scalars import (
     absent_if_empty, arrival_order, fill_slug, key_part, natural_key,
 )
 from meshledger.operators.carry import BROADCAST_KEYS
+from meshledger.operators.salts import dealt
 from meshledger.operators.validate import (
     INVALID_ROOT, object_type_of, root_error, variant_set,
 )
@@ -49,7 +50,7 @@ def number_copies(requests: DataFrame, earlier: DataFrame | None = None) -> Data
     start = placed.groupBy("_part", *DELIVERY).count().select(
         "_part", *DELIVERY, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part", *DELIVERY).orderBy("_content", "_row"))
-    numbered = placed.withColumn("_place", inside).join(start, ["_part", *DELIVERY])
+    numbered = dealt(placed, placed.count(), "_part", *DELIVERY).withColumn("_place", inside).join(start, ["_part", *DELIVERY])
     copy = (F.col("_earlier") + F.col("_start") + F.col("_place") - 1).cast("int").alias("copy")
     return once.unionByName(numbered.select(*requests.columns, copy))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meshledger.functions.scalars import identity_of_key
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import CHUNK, add_chunks, carry_forward
+from meshledger.operators.salts import dealt
 from meshledger.operators.tags import split_added, tag_events
 from meshledger.registry import ALL, REFERENCES, SCALARS, TYPES, Shape
 
@@ -55,9 +56,11 @@ def state_of_batch(state: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None,
-                      since: DataFrame | None = None, shape: Shape = ALL, attached: DataFrame | None = None) -> DataFrame:
+                      since: DataFrame | None = None, shape: Shape = ALL, attached: DataFrame | None = None,
+                      number: int | None = None) -> DataFrame:
     """Nodes with ``before_x`` (held before this root), flags, and the asked-for values. Parents are held from
-    where ``since`` says that they are attached. ``attached`` are the batch's tags (see ``attached_tags``)."""
+    where ``since`` says that they are attached. ``attached`` are the batch's tags (see ``attached_tags``),
+    ``number`` how many nodes there are."""
     state = guard_identity(state)
     refs = ["ref_" + r for r in shape.references]
     touched = state_of_batch(state, nodes)
@@ -71,6 +74,7 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
         feed = feed.withColumn("_event", F.lit(None).cast(NO_EVENT))
     feed, attached_as = add_attached(feed, since, {r: r[4:] for r in refs})
     feed, chunked = add_chunks(feed, KEYS, "seq", hot_rows)
+    feed = dealt(feed, number, *KEYS, CHUNK)
     last = ["object_id", *shape.scalars, *attached_as.values(), "_seen", "_stored", "_event"]
     carried = carry_forward(feed, KEYS, ["seq", "ord"], last, ["slug"], chunked)
     carried = split_added(carried.where("seq != '' AND ord >= 0"), "before__event")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meshledger.functions.scalars import (
     log_id, log_key, normalized_error, page_offset, page_token, unquote_ingestion_ts,
 )
+from meshledger.operators.salts import dealt
 
 COUNTED_STATES = {"queued": "QUEUED", "reconciled": "RECONCILED", "failed": "FAILED",
                   "no_changes": "NO_CHANGES"}
@@ -33,9 +34,11 @@ def final_state(error: Column, change_set_id: Column) -> Column:
     return F.when(error.isNotNull(), "FAILED").when(change_set_id.isNotNull(), "RECONCILED").otherwise("NO_CHANGES")
 
 
-def build_log(roots: DataFrame, change_sets: DataFrame, apply_errors: DataFrame | None = None) -> DataFrame:
-    """Final record per entity: FAILED with its error, RECONCILED with its change set, or NO_CHANGES."""
-    rows = log_records(roots).drop("state").join(
+def build_log(roots: DataFrame, change_sets: DataFrame, apply_errors: DataFrame | None = None,
+              number: int | None = None) -> DataFrame:
+    """Final record per entity: FAILED with its error, RECONCILED with its change set, or NO_CHANGES. ``number`` tells how many
+    roots there are."""
+    rows = dealt(log_records(roots).drop("state"), number, "seq").join(
         change_sets.select("seq", "change_set_id").distinct(), "seq", "left")
     if apply_errors is not None:
         # A refused change set is no longer among the changes; its id follows from the root.

@@ -84,8 +84,8 @@ def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None,
     moving = stage(moving)
     limit = limit_for(moving, hot_rows)
     attached = attached_tags(moving, state, state_of_batch(state, moving), limit)
-    folded = fold_observations(moving, state, limit, since, shape, attached)
-    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached)
+    folded = fold_observations(moving, state, limit, since, shape, attached, moving.count())
+    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached, nodes.count())
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
@@ -118,4 +118,4 @@ def reconcile(requests: DataFrame, state: DataFrame | Snapshot, responses: DataF
     rejects = checked.where(F.col("request_error").isNotNull()).withColumn(
         "errors", F.array("request_error")).drop("request_error").unionByName(failed.drop("copy"))
     return Reconciled(changes, assemble_change_sets(changes), source_of(state).after(changes),
-                      build_log(roots, changes, responses), errors.drop("copy"), rejects)
+                      build_log(roots, changes, responses, roots.count()), errors.drop("copy"), rejects)
