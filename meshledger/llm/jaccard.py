@@ -6,7 +6,8 @@ part that holds something. d differences touch at most d parts, so of any d + 1
 
 Sets with an equal signature are compared with the smallest of them only (a star, combined within a task before it
 is shuffled), and what is linked needs no further comparison. Where a group still holds several components, their
-members are compared across components. A group with many such pairs, made by passages that unlike documents share, is
+members are compared across components, by size and parity sketch inside the task that has the group: only pairs
+that these do not rule out become rows. A group with many such pairs, made by passages that unlike documents share, is
 left out: n is large enough for a set to lose some parts and keep d + 1. Sets that do not (texts made of such passages, and
 sets with too few filled parts) go on to the next level with each other: parts cut into n2 parts again, signed by
 every subset of n2 - k of them, which holds many more shingles. Candidates whose sizes or parity sketches rule out the
@@ -45,6 +46,9 @@ PAIRS, TEXTS = 128, 2_000
 COMBINED = 1 << 19
 #: Pairs across components in one signature group beyond which it is left out.
 CROWDED = 300
+#: Rows of signature groups compared by one call, pairs compared at once, and members of a group beyond which it is cut into
+#: blocks, each pair of blocks on its own.
+BUCKET, COMPARED, BLOCK = 1 << 15, 1 << 16, 2_000
 #: Ids of candidates up to this number (8 bytes each) are broadcast to find their texts; more are joined.
 BROADCAST_IDS = 200_000
 _U = np.uint64
@@ -175,6 +179,96 @@ def fewest_apart(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(folded ^ small).sum())
 
 
+class Looks:
+    """Sizes and sketches of documents. A document without size has several texts and is never ruled out."""
+
+    def __init__(self, size: np.ndarray, sketch: list[bytes | None]):
+        self.size, self.width = size, np.array([len(x or b"") for x in sketch], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        self.table: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width[self.width > 0]).tolist():
+            # Sets of like size have sketches of one width, or one is twice as long and folded.
+            rows = np.flatnonzero((self.width == width) | (self.width == 2 * width))
+            self.at[width] = np.zeros(len(size), np.int64)
+            self.at[width][rows] = np.arange(len(rows))
+            self.table[width] = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketch[row], np.uint8).reshape(-1, width), axis=0)
+                                          for row in rows]).view(_U)
+
+    def alike(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which pairs of rows sizes and sketches do not rule out, as ``plausible`` tells."""
+        n, m = self.size[one], self.size[two]
+        keep = (n < 0) | (m < 0)
+        compared = ~keep & (10 * np.minimum(n, m) >= 8 * np.maximum(n, m))
+        narrow = np.where(compared, np.minimum(self.width[one], self.width[two]), 0)
+        for width, table in self.table.items():
+            rows = np.flatnonzero(narrow == width)
+            at = self.at[width]
+            differ = np.bitwise_count(table[at[one[rows]]] ^ table[at[two[rows]]]).sum(axis=1, dtype=np.int64)
+            keep[rows] = 9 * differ <= n[rows] + m[rows]
+        return keep
+
+
+def alike_across(place: np.ndarray, row: np.ndarray, component: np.ndarray, side: np.ndarray, looks: Looks) -> Iterator[np.ndarray]:
+    """Pairs of rows of ``looks`` that share a place, are of different components and not ruled out, ``COMPARED`` pairs at
+    a time. Rows of sides 1 and 2 are compared with the other side only, those of side 0 with each other."""
+    order = np.argsort(place, kind="stable")
+    place, row, component, side = place[order], row[order], component[order], side[order]
+    rows = np.arange(len(place))
+    after = np.searchsorted(place, place, "right") - rows - 1
+    through = np.cumsum(after)
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(through, through[i] - after[i] + COMPARED, "right")))
+        count = after[i:j]
+        left = np.repeat(rows[i:j], count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + left + 1
+        keep = (component[left] != component[right]) & ((side[left] == 0) | (side[left] != side[right]))
+        left, right = row[left[keep]], row[right[keep]]
+        keep = looks.alike(left, right)
+        if keep.any():
+            yield np.unique(np.stack([np.maximum(left, right)[keep], np.minimum(left, right)[keep]]), axis=1)
+        i = j
+
+
+def looks_of(sets: DataFrame) -> DataFrame:
+    """doc, size and sketch of every document with a set; of one with several different sets -1 and null."""
+    one = F.expr("size = most AND sketch = last")
+    return (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc"))
+            .agg(F.min("n_shingles").alias("size"), F.max("n_shingles").alias("most"), F.min("sketch").alias("sketch"),
+                 F.max("sketch").alias("last"))
+            .select("doc", F.when(one, F.col("size")).otherwise(-1).alias("size"), F.when(one, F.col("sketch")).alias("sketch")))
+
+
+def pairs_of_groups(member: DataFrame, looks: DataFrame) -> DataFrame:
+    """(one, two), one > two: members of a group of different components that sizes and sketches do not rule out.
+
+    Groups are dealt over buckets, and a bucket gets the sketch of each of its documents once. What a call holds is bounded: a
+    group of many members is cut into blocks."""
+    buckets = member.count() // BUCKET + 1
+    large = (member.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1"))
+    own, other = F.pmod(F.xxhash64("doc"), F.col("blocks")), F.col("other")
+    place = F.xxhash64("signature", F.least(own, other), F.greatest(own, other))
+    dealt = (member.join(large, "signature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select(place.alias("place"), "doc", "component", F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"))
+             .withColumn("bucket", F.pmod("place", F.lit(buckets))))
+    seen = (dealt.select(F.col("bucket").alias("of"), F.col("doc").alias("id")).distinct()
+            .join(looks.withColumnRenamed("doc", "id"), "id").select("of", "id", "size", "sketch"))
+
+    def compare(rows: pa.Table, seen: pa.Table) -> pa.Table:
+        doc = seen.column("id").to_numpy()
+        order = np.argsort(doc)
+        seen, doc = seen.take(pa.array(order)), doc[order]
+        row = np.searchsorted(doc, rows.column("doc").to_numpy())
+        found = list(alike_across(*(rows.column("place").to_numpy(), row, *(rows.column(c).to_numpy() for c in ("component", "side"))),
+                                  Looks(seen.column("size").to_numpy(), seen.column("sketch").to_pylist())))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        # Rows are in the order of the ids.
+        return pa.table({"one": doc[pairs[0]], "two": doc[pairs[1]]})
+
+    return dealt.groupBy("bucket").cogroup(seen.groupBy("of")).applyInArrow(compare, "one long, two long").distinct()
+
+
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches do not rule out. Only unlike sets are ruled out, never a similar pair."""
     def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +387,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = sets.select("doc_id", "n_shingles", "a", "b").filter("n_shingles > 0 AND doc_id IS NOT NULL")
     full_spare = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
                   .agg(F.min("spare_even").alias("spare_even"), F.min("spare_odd").alias("spare_odd")))
+    looks = stage(looks_of(sets))
     # Equal sets are one class; its smallest document stands for it.
     classes = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("two"), F.count("*").alias("n"))
     copies = stage(full.join(classes.filter("n > 1").drop("n"), ["n_shingles", "a", "b"])
@@ -320,11 +415,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         chosen = stage(distinct_groups(member if level else stage(needed(member, full_spare))))
         crowded = (pairs_across(chosen).filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
         plain = chosen.join(crowded, "signature", "left_anti").select("signature", "doc", "component")
-        other = plain.select("signature", F.col("doc").alias("two"), F.col("component").alias("beside"))
-        across = (plain.join(other, "signature").filter("component > beside")
-                  .select(F.greatest("doc", "two").alias("one"), F.least("doc", "two").alias("two")).distinct()
-                  .join(tried, ["one", "two"], "left_anti"))
-        across = stage(across)
+        across = few_rows(lambda: pairs_of_groups(plain, looks).join(tried, ["one", "two"], "left_anti"), spark, TEXTS)
         links = links.unionAll(verified(across, named, sets))
         known = tried.unionAll(across)
         if last:

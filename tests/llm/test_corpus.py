@@ -65,6 +65,52 @@ def test_jaccard_finds_every_link_at_every_level(spark, monkeypatch):
     assert {d: got.get(d, d) for d in component} == component
 
 
+def test_unlike_members_of_a_group_never_become_rows(spark, monkeypatch):
+    """A passage in unlike documents: what goes on to be verified grows with the links, not with the square of the group."""
+    from meshledger.llm import jaccard
+
+    passage = " ".join("p%d" % i for i in range(120))
+    docs = [(i, passage + " " + " ".join(f"d{i}w{k}" for k in range(40)), "en") for i in range(60)]
+    docs += [(60 + i, docs[i][1] + " end", "en") for i in range(3)]
+    counts = []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: (counts.append(pairs.count()), verified(pairs, *rest))[1])
+    got = {r.node: r.component for r in similar(spark.createDataFrame(docs, "doc_id long, text string, lang string"))[1].collect()}
+    assert got == {60: 0, 61: 1, 62: 2}
+    assert sum(counts[1::2]) < 60 < sum(counts)  # stars and pairs across components take turns
+
+
+def test_groups_in_blocks_lose_no_pair(spark, monkeypatch):
+    """Groups cut into blocks and buckets, an id of several texts: all that sizes and sketches do not rule out."""
+    import random
+
+    from meshledger.llm import jaccard
+
+    pick = random.Random(5)
+    base = [f"w{i}" for i in range(70)]
+    docs = []
+    for i in range(80):
+        text = [w if pick.random() > 0.04 * (i % 5) else f"x{pick.randrange(10**6)}" for w in base[: pick.choice((30, 60, 70))]]
+        docs.append((i if i else 7, " ".join(text), "en"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    sets = jaccard.set_keys(frame).cache()
+    ids = sorted({d for d, *_ in docs})
+    groups = [(s, d, d % 9) for s in range(6) for d in ids if s < 1 or pick.random() < 0.4]
+    member = spark.createDataFrame(groups, "signature long, doc long, component long")
+    pairs = {(max(a, b), min(a, b)) for s, a, x in groups for t, b, y in groups if s == t and x != y}
+    all_pairs = spark.createDataFrame(sorted(pairs), "one long, two long")
+    expected = {tuple(r) for r in jaccard.plausible(all_pairs, sets).collect()}
+    several = {(a, b) for a, b in pairs if 7 in (a, b)}  # an id of several texts is left to the check that follows
+    looks = jaccard.looks_of(sets)
+    for block, compared, bucket in ((2_000, 1 << 16, 1 << 15), (7, 5, 20)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "COMPARED", compared)
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        got = [tuple(r) for r in jaccard.pairs_of_groups(member, looks).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected | several
+    assert 50 < len(expected) < len(pairs)
+
+
 def test_substrings(spark, odd):
     folder, docs = odd
     expected = [(d, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for d, w, kept in tables.brute_kept(docs)]
