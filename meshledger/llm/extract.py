@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshledger.llm.shared import stage, table
+from meshledger.llm.shared import few_rows, stage, table
 
 #: A leaf is template if its text has this share of a host's different pages with its place, of this many at least.
 CONSTANT_SHARE, LEAST_PAGES = 0.6, 4
 #: Texts of so many words or characters count wherever they stand under one path of tags.
 LONG_WORDS, LONG_CHARS = 4, 24
+#: Pages in an Arrow batch.
+PAGES = 256
 #: Wrappers of all hosts up to this many bytes are broadcast; more are joined, each host cut into SALTS.
 BROADCAST_BYTES, SALTS = 16 << 20, 16
 
@@ -408,11 +410,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    counted = (pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html")
-               .mapInPandas(_counted, "host string, place long, text long, content long")
-               .distinct().groupBy("host", "place", "text").count())
+    counted_places = (pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "html")
+                      .mapInPandas(_counted, "host string, place long, text long, content long")
+                      .distinct().groupBy("host", "place", "text").count())
     # Both sides of the join read the counts; few rows are left of them.
-    counted = stage(counted.filter(F.col("count") >= math.ceil(CONSTANT_SHARE * LEAST_PAGES)))
+    counted = few_rows(lambda: counted_places.filter(F.col("count") >= math.ceil(CONSTANT_SHARE * LEAST_PAGES)), pages.sparkSession, PAGES)
     of_place = (counted.filter(F.col("text").isNull() & (F.col("count") >= LEAST_PAGES))
                 .select("host", "place", F.col("count").alias("pages")))
     template = (counted.filter("text IS NOT NULL").join(of_place, ["host", "place"])
@@ -425,8 +427,8 @@ def extract(pages: DataFrame) -> DataFrame:
         cut = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
         side = wrapper.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = cut.join(side, ["host", "salt"], "left")
-    return (joined.select("page_id", "url", "host", "html", "template")
-            .mapInPandas(_main_text, "page_id long, url string, text string, n_chars long"))
+    return few_rows(lambda: joined.select("page_id", "url", "host", "html", "template")
+                    .mapInPandas(_main_text, "page_id long, url string, text string, n_chars long"), pages.sparkSession, PAGES)
 
 
 def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ not read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshledger.llm.components import components
-from meshledger.llm.shared import settle, stage, table
+from meshledger.llm.shared import few_rows, settle, stage, table
 from meshledger.session import release
 from meshledger.llm.sharing import sharing
 from meshledger.llm.textarrays import inside, mix, run_hashes, slices, words_of
@@ -285,18 +285,6 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(rule, "one long, two long").distinct())
 
 
-def few_rows(build: Callable[[], DataFrame], spark: SparkSession, rows: int = PAIRS) -> DataFrame:
-    """Stage a frame made from rows that hold whole texts, with few of them in an Arrow batch: a batch lies in the executor and
-    in its Python worker at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        return stage(build())
-    finally:
-        spark.conf.set(name, before)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (one, two) whose sets are similar enough, staged."""
     pairs = stage(plausible(pairs, sets))
@@ -323,7 +311,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     found = few_rows(lambda: pairs.join(text.select(F.col("doc_id").alias("one"), F.col("text").alias("text_one")), "one")
                      .join(text.select(F.col("doc_id").alias("two"), F.col("text").alias("text_two")), "two")
-                     .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"), docs.sparkSession)
+                     .select("one", "two", "text_one", "text_two").mapInArrow(compare, "one long, two long"), docs.sparkSession, PAIRS)
     release(docs.sparkSession, pairs)
     return found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 __all__ = ["UPPER", "LOWER", "SPACE_CLASS", "SPACES", "table", "remainder", "held_out", "stage", "sample_rows",
-           "labelled_sample", "settle"]
+           "labelled_sample", "few_rows", "settle"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rest: Column
     return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
 
 
+def few_rows(build: Callable[[], DataFrame], spark: SparkSession, rows: int) -> DataFrame:
+    """Stage a frame made from rows that hold whole texts, with few of them in an Arrow batch: a batch lies in the executor and
+    in its Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        return stage(build())
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(spark: SparkSession) -> None:
     """Let the driver collect what finished steps left; the shuffle files they own go with it."""
     gc.collect()

@@ -78,3 +78,21 @@ def test_named_boxes_go_on_every_page(spark):
     pages = {i: f"<article><h1>T{i}</h1>{body(i)}{boxes[i % 6] if i % 5 < 2 else ''}</article>{boxes[(i + 1) % 6]}" for i in range(20)}
     got = texts(spark, pages)
     assert got == {i: "\n".join([f"T{i}", *(f"part {k} of page {i}" for k in range(1 + i % 4))]) for i in pages}
+
+
+def test_pages_go_to_python_few_at_a_time(spark, monkeypatch):
+    from meshledger.llm import extract as operator
+
+    def few(function):
+        def run(frames):
+            for frame in frames:
+                assert len(frame) <= 1_000, f"{len(frame)} whole pages at once"
+                yield from function(iter([frame]))
+        return run
+
+    for name in ("_counted", "_main_text"):
+        monkeypatch.setattr(operator, name, few(getattr(operator, name)))
+    rows = [(i, f"https://h.example/{i}", f"<html><body><article><p>text {i}</p></article></body></html>") for i in range(3_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in operator.extract(pages).collect()}
+    assert got == {i: f"text {i}" for i in range(3_000)}
