@@ -1,17 +1,18 @@
-"""Similarity join of shingle sets by PartEnum signatures.
+"""Similarity join of shingle sets by PartEnum signatures and rare shingles.
 
 Sets are grouped into bands of like size. Two sets of Jaccard similarity 4/5 or more differ in at most a ninth of
-their summed sizes, d elements. At the first level the shingle domain is cut into n parts by hash, and a set signs each
-part that holds something. d differences touch at most d parts, so of any d + 1 filled parts of a set a similar set signs one alike.
+their summed sizes, d elements. First the shingle domain is cut into n parts by hash, and a set signs each part that holds
+something. d differences touch at most d parts, so of any d + 1 filled parts of a set a similar set signs one alike.
 
 Sets with an equal signature are compared with the smallest of them only (a star, combined within a task before it
 is shuffled), and what is linked needs no further comparison. Where a group still holds several components, their
 members are compared across components, by size and parity sketch inside the task that has the group: only pairs
 that these do not rule out become rows. A group with many such pairs, made by passages that unlike documents share, is
 left out: n is large enough for a set to lose some parts and keep d + 1. Sets that do not (texts made of such passages, and
-sets with too few filled parts) go on to the next level with each other: parts cut into n2 parts again, signed by
-every subset of n2 - k of them, which holds many more shingles. Candidates whose sizes or parity sketches rule out the
-similarity go; every other is verified on the shingles of the whole texts.
+sets with too few filled parts) go on with each other and are grouped by their rarest shingles: two similar sets of which
+neither has more than n share 4/5 n, so with all shingles in one order the first one they share is among the first
+n/5 + 1 of each. The order is by number of sets, and passages come last. Candidates whose sizes or parity sketches rule
+out the similarity go; every other is verified on the shingles of the whole texts.
 
 Defined results: a text without words is linked with nothing and has size 0; fewer words than a shingle make one
 shingle; equal texts are linked; rows of one doc_id are one node, linked as any of its texts is; a row without id has
@@ -21,7 +22,6 @@ not read.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +36,10 @@ from meshledger.llm.sharing import sharing
 from meshledger.llm.textarrays import inside, mix, run_hashes, slices, words_of
 
 SHINGLE = 5
-#: Ratio of a band's ends; differences taken up by a part's subsets and number of its parts, level by level.
-RATIO, LEVELS = 1.5, ((0, 1), (2, 5), (4, 10))
-#: Bytes of text signed at once: a word has about 0.5, 1.7 and 20 signatures.
-SLICES = (512 << 10, 256 << 10, 64 << 10)
+#: Ratio of a band's ends.
+RATIO = 1.5
+#: Bytes of text whose shingles are taken at once.
+SLICE = 512 << 10
 #: Pairs of texts in an Arrow batch, and single texts.
 PAIRS, TEXTS = 128, 2_000
 #: Signatures combined at once within a task.
@@ -95,7 +95,7 @@ def bands(size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _parts(doc: np.ndarray, value: np.ndarray, here: np.ndarray, band: np.ndarray, high: np.ndarray):
-    """First level: filled parts of each set in order, as (text, part, signature of what it holds)."""
+    """Filled parts of each set in order, as (text, signature of what the part holds)."""
     pick = here[doc]
     code = mix(value[pick] + _U(0x632BE59BD9B4E019))
     doc = doc[pick]
@@ -119,49 +119,55 @@ def spare_parts(doc: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def signatures(doc: np.ndarray, value: np.ndarray, texts: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(doc: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) rows of sets given as by ``shingle_sets``."""
     size = np.bincount(doc, minlength=texts)
-    out_doc, out = [np.empty(0, np.int64)], [np.empty(0, _U)]
-    spare, pieces = LEVELS[level]
-    for here, band, high, _ in bands(size):
-        if not here.any():
-            continue
-        if not level:
-            home, sign = _parts(doc, value, here, band, high)
-            out_doc.append(home)
-            out.append(sign)
-            continue
-        pick = here[doc]
-        d = doc[pick]
-        code = mix(value[pick] + _U((level + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-        differ = np.ceil(2 * high).astype(np.int64) // 9  # one number for the band
-        parts = (differ + spare + 1) // (spare + 1)
-        outer = (code % parts[d].astype(_U)).astype(np.int64)
-        inner = (code >> _U(40)) % _U(pieces)
-        rows = np.flatnonzero(here)
-        start = np.zeros(texts, np.int64)
-        start[rows] = np.cumsum(parts[rows]) - parts[rows]
-        height = int(parts[rows].sum())
-        cells = np.zeros(height * pieces, _U)
-        key, total = _sums((start[d] + outer) * pieces + inner.astype(np.int64), mix(code ^ _U(0x5851F42D4C957F2D)))
-        cells[key] = total
-        cells = mix(cells.reshape(height, pieces) + mix(np.arange(pieces, dtype=_U) + _U(17)))
-        home = np.repeat(rows, parts[rows])
-        place = (np.arange(height) - start[home]).astype(_U)
-        salt = mix((band * 64 + level).astype(_U))[home]
-        for number, subset in enumerate(itertools.combinations(range(pieces), pieces - spare)):
-            out_doc.append(home)
-            out.append(mix(cells[:, subset].sum(axis=1) + mix(place * _U(1024) + _U(number) + salt)))
-    return np.concatenate(out_doc), np.concatenate(out)
-
-
-def signature_groups(docs: DataFrame, level: int) -> DataFrame:
-    """(signature, doc, leader) of every signature that two documents or more have."""
+    found = [_parts(doc, value, here, band, high) for here, band, high, _ in bands(size)]
+    return np.concatenate([home for home, _ in found]), np.concatenate([sign for _, sign in found])
+
+
+def signature_groups(docs: DataFrame) -> DataFrame:
+    """(signature, doc, leader) of every signature that two documents or more have, staged."""
     def keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return signatures(*shingle_sets(text), len(text), level)
+        return signatures(*shingle_sets(text), len(text))
+
+    return few_rows(lambda: sharing(docs, keys, SLICE, COMBINED), docs.sparkSession, TEXTS)
+
 
-    return sharing(docs, keys, SLICES[level], COMBINED)
+def shingles_of(docs: DataFrame) -> DataFrame:
+    """(doc, of, shingle, needed, band, reach) of every text: ``of`` tells the sets of a document apart, ``needed`` of a set's
+    rarest shingles are compared, in the bands from ``band`` to ``reach``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                doc, value = shingle_sets(part.column("text"))
+                size = np.bincount(doc, minlength=part.num_rows)
+                of = np.zeros(part.num_rows, _U)
+                rows, total = _sums(doc, mix(value + _U(103)))
+                of[rows] = total
+                (_, band, *_), (beyond, *_) = bands(size)
+                columns = (of.view(np.int64)[doc], value.view(np.int64), (size // 5 + 1)[doc], band[doc], (band + beyond)[doc])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), *map(pa.array, columns)],
+                                                 ["doc", "of", "shingle", "needed", "band", "reach"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, of long, shingle long, needed long, band long, reach long")
+
+
+def rare_groups(docs: DataFrame) -> DataFrame:
+    """(signature, doc, leader) of every one of the rarest shingles that two documents or more of a band need, staged."""
+    spark, shingles = docs.sparkSession, shingles_of(docs)
+    often = few_rows(lambda: shingles.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), spark, TEXTS)
+    # Rows of one set that come again have equal ranks; shingles of one set alone take places but make no group.
+    order = Window.partitionBy("doc", "of").orderBy(F.coalesce("often", F.lit(1)), "shingle")
+    signed = few_rows(lambda: shingles.join(often, "shingle", "left").withColumn("nth", F.dense_rank().over(order))
+                      .filter("nth <= needed AND often > 1")
+                      .select(F.explode(F.sequence("band", "reach")).alias("in"), "shingle", "doc")
+                      .select(F.xxhash64("shingle", "in").alias("signature"), "doc").distinct(), spark, TEXTS)
+    release(spark, often)
+    lead = signed.groupBy("signature").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last")
+    groups = stage(signed.join(lead.drop("last"), "signature"))
+    release(spark, signed)
+    return groups
 
 
 def parity_sketch(value: np.ndarray) -> bytes:
@@ -291,7 +297,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_one", SLICES[0]):
+            for part in slices(batch, "text_one", SLICE):
                 keep = []
                 sets = []
                 for name in ("text_one", "text_two"):
@@ -320,7 +326,7 @@ def set_keys(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key (a, b), equal for equal sets, the parity sketch and the spare parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICES[0]):
+            for part in slices(batch, "text", SLICE):
                 doc, value = shingle_sets(part.column("text"))
                 size = np.bincount(doc, minlength=part.num_rows)
                 keys = [np.zeros(part.num_rows, _U) for _ in range(2)]
@@ -387,8 +393,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     passed = copies.select(F.col("one").alias("doc_id")).join(mingled, "doc_id", "left_anti")
     alone = named.join(passed, "doc_id", "left_anti")
     links, known, scope = copies, None, alone
-    for level in range(len(LEVELS)):
-        groups = few_rows(lambda: signature_groups(scope, level), spark, TEXTS)
+    for last in (False, True):
+        groups = rare_groups(scope) if last else signature_groups(scope)
         stars = stage(groups.select(F.col("doc").alias("one"), F.col("leader").alias("two")).filter("one <> two").distinct())
         links = links.unionAll(verified(stars, named, sets))
         tried = stars if known is None else known.unionAll(stars)
@@ -399,8 +405,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                  .filter("low < high").select("signature"))
         member = stage(member.join(mixed, "signature").distinct())
         release(spark, groups, part)
-        last = level + 1 == len(LEVELS)
-        chosen = stage(distinct_groups(member if level else stage(needed(member, full_spare))))
+        chosen = stage(distinct_groups(member if last else stage(needed(member, full_spare))))
         crowded = (pairs_across(chosen).filter(F.lit(False) if last else F.col("across") > CROWDED).select("signature"))
         plain = chosen.join(crowded, "signature", "left_anti").select("signature", "doc", "component")
         across = few_rows(lambda: pairs_of_groups(plain, looks).join(tried, ["one", "two"], "left_anti"), spark, TEXTS)
@@ -409,10 +414,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if last:
             break
         # A set that needs a crowded signature has others like it to find; so does one with too few filled parts.
-        onward = chosen.join(crowded, "signature").select(F.col("doc").alias("doc_id"))
-        if level == 0:
-            onward = onward.unionAll(full_spare.filter("spare_even < 0 OR spare_odd < 0").select("doc_id"))
-        onward = stage(onward.distinct())
+        onward = stage(chosen.join(crowded, "signature").select(F.col("doc").alias("doc_id"))
+                       .unionAll(full_spare.filter("spare_even < 0 OR spare_odd < 0").select("doc_id")).distinct())
         release(spark, member, chosen)
         settle(spark)
         if onward.isEmpty():

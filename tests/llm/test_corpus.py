@@ -80,6 +80,52 @@ def test_unlike_members_of_a_group_never_become_rows(spark, monkeypatch):
     assert sum(counts[1::2]) < 60 < sum(counts)  # stars and pairs across components take turns
 
 
+def test_sets_of_crowded_groups_are_compared_by_few_shingles(spark, monkeypatch):
+    """Texts that share a passage went on with some thousand signatures each."""
+    from meshledger.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CROWDED", 2)
+    passage = " ".join("p%d" % i for i in range(120))
+    docs = [(i, passage + " " + " ".join(f"d{i}w{k}" for k in range(40)), "en") for i in range(60)]
+    docs += [(60 + i, docs[i][1] + " end", "en") for i in range(3)]
+    rows = []
+    compared = jaccard.pairs_of_groups
+    monkeypatch.setattr(jaccard, "pairs_of_groups", lambda member, looks: (rows.append(member.count()), compared(member, looks))[1])
+    got = {r.node: r.component for r in similar(spark.createDataFrame(docs, "doc_id long, text string, lang string"))[1].collect()}
+    assert got == {60: 0, 61: 1, 62: 2}
+    assert len(rows) > 1 and sum(rows) < 63 * 156
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    """Sets around the threshold, rows that come again and ids of several texts: every link is within some group."""
+    import random
+
+    from meshledger.llm import jaccard
+
+    pick = random.Random(11)
+    docs = [(None, "a b c d e f g", "en"), (900, None, "en"), (901, " ", "en"), (902, "One two", "en"), (903, "one  two", "en")]
+    for family in range(15):
+        base = [f"f{family % 4}w{pick.randrange(80)}" for _ in range(pick.randrange(5, 120))]
+        for _ in range(7):
+            text = list(base) + ["t%d" % i for i in range(pick.randrange(0, 9))]
+            for _ in range(pick.randrange(0, 4)):
+                text[pick.randrange(len(text))] = "x%d" % pick.randrange(50)
+            docs.append((len(docs) if pick.random() < 0.9 else 7, " ".join(text), "en"))
+    docs += [(d, text.upper(), "en") for d, text, _ in docs[5:40:3]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    found = jaccard.rare_groups(frame.filter("doc_id IS NOT NULL AND text IS NOT NULL")).collect()
+    together = {}
+    for r in found:
+        together.setdefault(r.signature, set()).add(r.doc)
+        assert r.leader <= r.doc
+    sets = [(d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for d, text, _ in docs
+            if d is not None and (w := tables.words(text, lower=True))]
+    links = {(c, d) for c, one in sets for d, two in sets if c < d and 100 * len(one & two) >= 80 * len(one | two)}
+    met = {(c, d) for group in together.values() for c in group for d in group if c < d}
+    assert len(links) > 40 and links <= met
+    assert len(found) == sum(map(len, together.values())) and min(map(len, together.values())) > 1
+
+
 def test_groups_in_blocks_lose_no_pair(spark, monkeypatch):
     """Groups cut into blocks and buckets, an id of several texts: all that sizes and sketches do not rule out."""
     import random
