@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshledger.llm.pieces import VOCABULARY, Lookup, blocks, read_pieces
-from meshledger.llm.shared import SPACE_CLASS, SPACES, held_out, sample_rows, table
+from meshledger.llm.shared import SPACE_CLASS, SPACES, few_rows, held_out, sample_rows, table
 from meshledger.llm.textarrays import slices, words_of
 
 #: Training documents at most; rounds of expectation maximisation; pseudo-count of every piece.
 SAMPLE_DOCS, ROUNDS, PSEUDO = 4000, 2, 0.05
 #: Distinct words a task remembers.
 REMEMBERED = 400_000
+#: Documents in an Arrow batch of the pipeline's stage, which carries whole texts there and back.
+TEXTS = 1_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _RESCALE = 8
@@ -217,13 +219,15 @@ def identify(docs: DataFrame, model: tuple[list[str], Lookup, np.ndarray], keep:
     languages, lookup, chance = model
     current = docs.sparkSession.sparkContext.broadcast((languages, lookup, chance))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    # A text that is kept goes to Python once.
+    read, extra = ("text", []) if "text" in keep else ("__text", [F.col("text").alias("__text")])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, lookup, chance = current.value
         scores = WordScores(lookup, chance)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 20):
-                text = part.column("__text")
+            for part in slices(batch, read, 1 << 20):
+                text = part.column(read)
                 words = words_of(text)
                 distinct, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
                 each = scores.of(words.data, words.start[first], words.end[first], distinct)
@@ -242,14 +246,15 @@ def identify(docs: DataFrame, model: tuple[list[str], Lookup, np.ndarray], keep:
                        pa.array(np.where(plain, share[np.arange(len(best)), best], 0.0))],
                     [*keep, "__lang", "__score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(
+    return docs.select(*keep, *extra).mapInArrow(
         predict, f"{fields}, __lang string, __score double")
 
 
 def known_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents whose language is told, all their columns; ``und`` goes."""
     model = fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
-    return identify(docs, model, docs.columns).filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    return few_rows(lambda: identify(docs, model, docs.columns).filter(F.col("__lang") != UNKNOWN).select(*docs.columns),
+                    spark, TEXTS)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_languages_without_blanks(spark):
     assert model[0] == ["ja", "th", "zh"]
     told = {r.doc_id: r["__lang"] for r in langid.identify(frame, model, ["doc_id"]).collect()}
     assert all(told[i] == lang for i, _, lang in rows)
+
+
+def test_the_pipeline_sends_whole_texts_once_and_in_small_batches(spark, monkeypatch):
+    from meshledger.llm import shared
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(i, text, lang) for i in range(20) for text, lang in [("the house and the garden %d" % i, "en")]]
+    rows += [(20 + i, "das Haus und der Garten %d" % i, "de") for i in range(20)]
+    rows += [(50, None, "en"), (51, "12 !!", "en"), (None, "the house", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before, seen, stage = spark.conf.get(size), [], shared.stage
+    monkeypatch.setattr(shared, "stage", lambda df: (
+        seen.append((int(spark.conf.get(size)), "__text" in df._jdf.queryExecution().toString())), stage(df))[1])
+    got = langid.known_language(spark, frame)
+    assert seen == [(langid.TEXTS, False)] and spark.conf.get(size) == before
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] not in (50, 51)), key=str)
