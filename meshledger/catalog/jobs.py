@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.observe import arrival, as_requests, entity, only_if, query, table
+from meshledger.catalog.observe import arrival, as_requests, entity, only_if, over_tasks, query, table
 from meshledger.catalog.state import stored_rows, text
 from meshledger.functions.scalars import assigned_id, natural_key
 from meshledger.operators.changes import assemble_change_sets, count_changes, roots_without_changes
@@ -144,6 +144,7 @@ def observed_ports(spark, folder):
     customer = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = table(spark, folder, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = over_tasks(rows.select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_name", "n_name"), "o_orderkey")
     seen = entity(interface={
         "name": F.concat(F.lit("if"), (k % 4).cast("string")),
         "device": {"name": F.col("c_name"), "site": {"name": F.col("n_name")}},

@@ -15,6 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def over_tasks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file, dealt over the tasks: one split is read by one task, and the requests made of its rows cost far more
+    than their bytes. The number is given, as Spark puts partitions of few bytes together again."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query and the SQL that states the same result."""
     def keep(function):

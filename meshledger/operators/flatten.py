@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshledger import registry as R
 from meshledger.functions.scalars import (
     absent_if_empty, arrival_order, fill_slug, key_part, natural_key,
 )
-from meshledger.operators.carry import BROADCAST_KEYS
-from meshledger.operators.salts import dealt
+from meshledger.operators.salts import dealt, few_or_shuffled, shuffled
 from meshledger.operators.validate import (
     INVALID_ROOT, object_type_of, root_error, variant_set,
 )
 from meshledger.registry import ALL, SLOTS, UNDEFINED, Shape
-from meshledger.session import stage
+from meshledger.schemas import ENTITY
+from meshledger.session import dropped_shuffles, release, stage
 
 
 DELIVERY = ("ingestion_ts", "id")
@@ -41,16 +42,20 @@ def number_copies(requests: DataFrame, earlier: DataFrame | None = None) -> Data
     number = again.count()
     if not number:
         return requests.withColumn("copy", F.lit(0))
-    side = F.broadcast(again) if number <= BROADCAST_KEYS else again
+    side = few_or_shuffled(again, number)
+    whole_content = whole_entities(F.col("entities"), requests.schema["entities"].dataType)
     once = requests.join(side, list(DELIVERY), "left_anti").withColumn("copy", F.lit(0))
-    repeated = stage(requests.join(side, list(DELIVERY)).withColumn("_content", F.xxhash64(F.to_json("entities")))
+    repeated = stage(requests.join(side, list(DELIVERY)).withColumn("_content", F.xxhash64(F.to_json(whole_content)))
                      .withColumn("_row", F.monotonically_increasing_id()))
     placed = stage(repeated.repartitionByRange(*DELIVERY, "_content", "_row").withColumn("_part", F.spark_partition_id()))
+    release(requests.sparkSession, repeated)
     before = Window.partitionBy(*DELIVERY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = placed.groupBy("_part", *DELIVERY).count().select(
         "_part", *DELIVERY, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part", *DELIVERY).orderBy("_content", "_row"))
-    numbered = dealt(placed, placed.count(), "_part", *DELIVERY).withColumn("_place", inside).join(start, ["_part", *DELIVERY])
+    many = placed.count()
+    numbered = dealt(placed, many, "_part", *DELIVERY).withColumn("_place", inside).join(
+        shuffled(start, many), ["_part", *DELIVERY])
     copy = (F.col("_earlier") + F.col("_start") + F.col("_place") - 1).cast("int").alias("copy")
     return once.unionByName(numbered.select(*requests.columns, copy))
 
@@ -73,7 +78,7 @@ def spread(entities: DataFrame) -> DataFrame:
 def classify_roots(entities: DataFrame) -> DataFrame:
     """Add the object type and the error that keeps an entity from being reconciled."""
     entities = spread(entities)
-    entity = F.col("entity")
+    entity = whole(F.col("entity"), entities.schema["entity"].dataType)
     missing = entity.isNull() | ~variant_set(entity)
     nil = F.when(missing, F.concat(F.lit("entity at index "), F.col("position").cast("string"),
                                    F.lit(" is nil")))
@@ -102,6 +107,42 @@ def _only(value: str, fields: tuple[str, ...]) -> str:
     return f"CASE WHEN {value}.name != '' THEN named_struct({members}) END"
 
 
+def narrowed(entity: Column, kinds: tuple[str, ...]) -> Column:
+    """An entity without the kinds that do not occur: they have hundreds of columns, all null, to write and read again."""
+    return F.when(entity.isNotNull(), F.struct(*[entity[k].alias(k) for k in ENTITY.fieldNames() if k in kinds or k not in R.BY_ENTITY]))
+
+
+def whole(entity: Column, kind: T.StructType) -> Column:
+    """All kinds of an entity of type ``kind``, which may lack some (see ``narrowed``). A missing entity has none."""
+    have = kind.fieldNames()
+    if set(ENTITY.fieldNames()) <= set(have):
+        return entity
+    return F.struct(*[(entity[f.name] if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in ENTITY.fields])
+
+
+def whole_entities(entities: Column, kind: T.ArrayType) -> Column:
+    if set(ENTITY.fieldNames()) <= set(kind.elementType.fieldNames()):
+        return entities
+    return F.transform(entities, lambda e: F.when(e.isNotNull(), whole(e, kind.elementType)))
+
+
+def present_kinds(requests: DataFrame) -> tuple[str, ...]:
+    """The kinds that occur; their flags come to the driver in one row."""
+    occurs = {k: F.exists(F.col("entities")[k], lambda e: e.isNotNull()) for k in R.BY_ENTITY}
+    with dropped_shuffles(requests.sparkSession):
+        row = requests.agg(*[F.bool_or(flag).alias(k) for k, flag in occurs.items()]).first()
+    return tuple(k for k in R.BY_ENTITY if row[k])
+
+
+def by_kind(roots: DataFrame) -> DataFrame:
+    """A column ``e_<kind>`` for every kind instead of the entity. One that does not occur is a constant, so that all that is made of it
+    falls away in planning."""
+    kinds = {f.name: f.dataType for f in ENTITY.fields if f.name in R.BY_ENTITY}
+    have = roots.schema["entity"].dataType.fieldNames()
+    return roots.select(*[c for c in roots.columns if c != "entity"], *[
+        (F.col("entity." + k) if k in have else F.lit(None).cast(t)).alias("e_" + k) for k, t in kinds.items()])
+
+
 def lay_out(roots: DataFrame) -> DataFrame:
     """Columns ``on_<slot>`` and ``given_<slot>``: is the slot taken, and by which observed object.
 
@@ -109,37 +150,37 @@ def lay_out(roots: DataFrame) -> DataFrame:
     has nothing given either, so placeholders are inherited.
     """
     out = _rows(
-        roots,
-        on_ip_address="entity.ip_address IS NOT NULL", given_ip_address="entity.ip_address",
-        on_prefix="entity.prefix IS NOT NULL", given_prefix="entity.prefix",
-        on_vm_interface="entity.vminterface IS NOT NULL", given_vm_interface="entity.vminterface",
-        on_virtual_disk="entity.virtual_disk IS NOT NULL", given_virtual_disk="entity.virtual_disk",
-        on_interface="entity.interface IS NOT NULL OR entity.ip_address.interface IS NOT NULL",
-        _interface="coalesce(entity.interface, entity.ip_address.interface)",
-        on_vm="entity.virtual_machine IS NOT NULL OR entity.vminterface IS NOT NULL "
-              "OR entity.virtual_disk IS NOT NULL",
-        _vm="coalesce(entity.virtual_machine, entity.vminterface.virtual_machine, "
-            "entity.virtual_disk.virtual_machine)",
+        by_kind(roots),
+        on_ip_address="e_ip_address IS NOT NULL", given_ip_address="e_ip_address",
+        on_prefix="e_prefix IS NOT NULL", given_prefix="e_prefix",
+        on_vm_interface="e_vminterface IS NOT NULL", given_vm_interface="e_vminterface",
+        on_virtual_disk="e_virtual_disk IS NOT NULL", given_virtual_disk="e_virtual_disk",
+        on_interface="e_interface IS NOT NULL OR e_ip_address.interface IS NOT NULL",
+        _interface="coalesce(e_interface, e_ip_address.interface)",
+        on_vm="e_virtual_machine IS NOT NULL OR e_vminterface IS NOT NULL "
+              "OR e_virtual_disk IS NOT NULL",
+        _vm="coalesce(e_virtual_machine, e_vminterface.virtual_machine, "
+            "e_virtual_disk.virtual_machine)",
     )
     out = _rows(out, given_interface=_given("_interface"), given_vm=_only("_vm", MACHINE_FIELDS),
-                on_device="entity.device IS NOT NULL OR on_interface")
-    out = _rows(out, _device="coalesce(entity.device, given_interface.device)",
-                _cluster="coalesce(entity.cluster, given_vm.cluster)").drop("_interface", "_vm")
+                on_device="e_device IS NOT NULL OR on_interface")
+    out = _rows(out, _device="coalesce(e_device, given_interface.device)",
+                _cluster="coalesce(e_cluster, given_vm.cluster)").drop("_interface", "_vm")
     out = _rows(out, given_device=_only("_device", DEVICE_FIELDS), given_cluster=_given("_cluster"),
                 on_cluster="_cluster IS NOT NULL")
     out = _rows(
         out,
-        _platform="coalesce(entity.platform, given_device.platform, given_vm.platform)",
-        _device_type="coalesce(entity.device_type, given_device.device_type)",
-        on_device_type="entity.device_type IS NOT NULL OR on_device",
-        _role="coalesce(entity.device_role, given_device.role, given_vm.role)",
-        on_role="entity.device_role IS NOT NULL OR on_device OR on_vm",
-        _site="coalesce(entity.site, given_device.site, given_vm.site, given_prefix.site)",
-        on_site="entity.site IS NOT NULL OR on_device OR on_vm OR on_prefix",
-        _cluster_group="coalesce(entity.cluster_group, given_cluster.group)",
-        on_cluster_group="entity.cluster_group IS NOT NULL OR on_cluster",
-        _cluster_type="coalesce(entity.cluster_type, given_cluster.type)",
-        on_cluster_type="entity.cluster_type IS NOT NULL OR on_cluster",
+        _platform="coalesce(e_platform, given_device.platform, given_vm.platform)",
+        _device_type="coalesce(e_device_type, given_device.device_type)",
+        on_device_type="e_device_type IS NOT NULL OR on_device",
+        _role="coalesce(e_device_role, given_device.role, given_vm.role)",
+        on_role="e_device_role IS NOT NULL OR on_device OR on_vm",
+        _site="coalesce(e_site, given_device.site, given_vm.site, given_prefix.site)",
+        on_site="e_site IS NOT NULL OR on_device OR on_vm OR on_prefix",
+        _cluster_group="coalesce(e_cluster_group, given_cluster.group)",
+        on_cluster_group="e_cluster_group IS NOT NULL OR on_cluster",
+        _cluster_type="coalesce(e_cluster_type, given_cluster.type)",
+        on_cluster_type="e_cluster_type IS NOT NULL OR on_cluster",
         on_cluster_site="on_cluster",
     ).drop("_device", "_cluster")
     # A placeholder device has a placeholder platform; an observed one has a platform only if given.
@@ -151,11 +192,11 @@ def lay_out(roots: DataFrame) -> DataFrame:
         given_cluster_group=_given("_cluster_group"), given_cluster_type=_given("_cluster_type"),
         given_cluster_site=_given("given_cluster.site"),
     ).drop("_platform", "_device_type", "_role", "_site", "_cluster_group", "_cluster_type")
-    out = _rows(out, on_manufacturer="entity.manufacturer IS NOT NULL OR on_device_type",
-                _manufacturer="coalesce(entity.manufacturer, given_device_type.manufacturer)",
+    out = _rows(out, on_manufacturer="e_manufacturer IS NOT NULL OR on_device_type",
+                _manufacturer="coalesce(e_manufacturer, given_device_type.manufacturer)",
                 on_platform_manufacturer="given_platform.manufacturer IS NOT NULL",
                 given_platform_manufacturer=_given("given_platform.manufacturer"))
-    return _rows(out, given_manufacturer=_given("_manufacturer")).drop("_manufacturer", "entity")
+    return _rows(out, given_manufacturer=_given("_manufacturer")).drop("_manufacturer", *["e_" + k for k in R.BY_ENTITY])
 
 
 def is_placeholder(slot: str) -> Column:
@@ -241,12 +282,17 @@ def node_struct(slot_name: str, shape: Shape = ALL) -> str:
     return f"CASE WHEN key_{slot_name} IS NOT NULL THEN named_struct({inner}) END"
 
 
-def complete(nodes: DataFrame, shape: Shape = ALL) -> DataFrame:
-    """What is filled in or emptied, the same for every type: slugs, placeholder values, absent texts."""
-    types = F.col("object_type")
+def fill_slugs(nodes: DataFrame) -> DataFrame:
+    """Slugs of the nodes whose type has them, made from the name where none is observed."""
     with_slug = [t.name for t in R.TYPES.values() if t.slug]
-    slug = F.when(types.isin(*with_slug) & ~F.col("kept"),
+    slug = F.when(F.col("object_type").isin(*with_slug) & ~F.col("kept"),
                   fill_slug(F.col("slug"), key_part(F.col("object_key"), 1)))
+    return nodes.withColumn("slug", slug)
+
+
+def complete(nodes: DataFrame, shape: Shape = ALL) -> DataFrame:
+    """What is filled in or emptied, the same for every type: placeholder values, absent texts, the slugs of tags."""
+    types = F.col("object_type")
     values = {c: absent_if_empty(F.col(c)) for c in R.EMPTY_IS_ABSENT if c in shape.scalars}
     if "size" in shape.scalars:
         values["size"] = F.nullif(F.col("size"), F.lit(0))
@@ -255,15 +301,17 @@ def complete(nodes: DataFrame, shape: Shape = ALL) -> DataFrame:
             if column in t.placeholder:
                 filled = F.col("placeholder") & (types == t.name)
                 values[column] = F.when(filled, t.placeholder[column]).otherwise(values[column])
-    return nodes.withColumns({"slug": slug, "tags": tag_records(F.col("tags")), **values})
+    return nodes.withColumns({"tags": tag_records(F.col("tags")), **values})
 
 
-def flatten(keyed: DataFrame, *carried: str, shape: Shape = ALL) -> DataFrame:
-    """One row per object of every root, leaves first; ``carried`` columns are kept on each row."""
+def flatten(keyed: DataFrame, *carried: str, shape: Shape = ALL, slugs: bool = True) -> DataFrame:
+    """One row per object of every root, leaves first; ``carried`` columns are kept on each row. Slugs may be left to
+    ``fill_slugs``, for the nodes that need them."""
     nodes = ", ".join(node_struct(s, shape) for s in shape.slots)
     order = ", ".join(f"'{s}'" for s in SLOTS)
     rows = keyed.selectExpr("seq", *carried, f"inline(array_compact(array({nodes})))")
-    return complete(rows, shape).withColumn("ord", F.expr(f"CAST(array_position(array({order}), slot) AS INT)"))
+    rows = complete(fill_slugs(rows) if slugs else rows, shape)
+    return rows.withColumn("ord", F.expr(f"CAST(array_position(array({order}), slot) AS INT)"))
 
 
 def without_kept(keyed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meshledger.functions.scalars import identity_of_key
 from meshledger.operators.attach import add_attached
 from meshledger.operators.carry import CHUNK, add_chunks, carry_forward
-from meshledger.operators.salts import dealt
+from meshledger.operators.salts import dealt, shuffled
 from meshledger.operators.tags import split_added, tag_events
 from meshledger.registry import ALL, REFERENCES, SCALARS, TYPES, Shape
 
@@ -50,9 +50,9 @@ def guard_identity(state: DataFrame) -> DataFrame:
     return state.where(~type_is(*GUARDED) | agrees)
 
 
-def state_of_batch(state: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The part of the state the batch touches; a small batch broadcasts its keys."""
-    return state.join(nodes.select(*KEYS).distinct(), KEYS, "left_semi")
+def state_of_batch(state: DataFrame, nodes: DataFrame, number: int = 0) -> DataFrame:
+    """The part of the state the batch touches; a small batch broadcasts its keys. ``number`` tells how many nodes there are."""
+    return state.join(shuffled(nodes.select(*KEYS).distinct(), number), KEYS, "left_semi")
 
 
 def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None = None,
@@ -63,7 +63,7 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
     ``number`` how many nodes there are."""
     state = guard_identity(state)
     refs = ["ref_" + r for r in shape.references]
-    touched = state_of_batch(state, nodes)
+    touched = state_of_batch(state, nodes, number or 0)
     stored = touched.select(*KEYS, F.lit("").alias("seq"), F.lit(0).alias("ord"), "object_id", "slug",
                             *shape.scalars, *refs, F.lit(True).alias("_stored"))
     feed = nodes.unionByName(stored, allowMissingColumns=True).withColumn("_seen", F.lit(True))
@@ -74,7 +74,8 @@ def fold_observations(nodes: DataFrame, state: DataFrame, hot_rows: int | None =
         feed = feed.withColumn("_event", F.lit(None).cast(NO_EVENT))
     feed, attached_as = add_attached(feed, since, {r: r[4:] for r in refs})
     feed, chunked = add_chunks(feed, KEYS, "seq", hot_rows)
-    feed = dealt(feed, number, *KEYS, CHUNK)
+    # A chunk that all rows share is no key of the window's: dealt by it, the rows would be shuffled once more.
+    feed = dealt(feed, number, *KEYS, *([CHUNK] if chunked else []))
     last = ["object_id", *shape.scalars, *attached_as.values(), "_seen", "_stored", "_event"]
     carried = carry_forward(feed, KEYS, ["seq", "ord"], last, ["slug"], chunked)
     carried = split_added(carried.where("seq != '' AND ord >= 0"), "before__event")

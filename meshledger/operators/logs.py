@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from meshledger.functions.scalars import (
     log_id, log_key, normalized_error, page_offset, page_token, unquote_ingestion_ts,
 )
-from meshledger.operators.salts import dealt
+from meshledger.operators.flatten import whole
+from meshledger.operators.salts import dealt, shuffled
 
 COUNTED_STATES = {"queued": "QUEUED", "reconciled": "RECONCILED", "failed": "FAILED",
                   "no_changes": "NO_CHANGES"}
@@ -23,11 +24,12 @@ PAGE_LIMIT = 1000
 
 def log_records(roots: DataFrame) -> DataFrame:
     """The record every typed entity starts with, before it is reconciled."""
+    entity = whole(F.col("entity"), roots.schema["entity"].dataType)
     return roots.where(F.col("object_type").isNotNull()).select(
         "seq", log_id(F.col("ingestion_ts"), F.col("id"), F.col("position"), F.col("copy")).alias("id"),
         F.col("object_type").alias("data_type"), F.lit("QUEUED").alias("state"),
         F.col("id").alias("request_id"), "ingestion_ts", "producer_app_name", "producer_app_version",
-        "sdk_name", "sdk_version", F.to_json("entity").alias("entity"), "copy", "root_error")
+        "sdk_name", "sdk_version", F.to_json(F.when(F.col("entity").isNotNull(), entity)).alias("entity"), "copy", "root_error")
 
 
 def final_state(error: Column, change_set_id: Column) -> Column:
@@ -39,7 +41,7 @@ def build_log(roots: DataFrame, change_sets: DataFrame, apply_errors: DataFrame
     """Final record per entity: FAILED with its error, RECONCILED with its change set, or NO_CHANGES. ``number`` tells how many
     roots there are."""
     rows = dealt(log_records(roots).drop("state"), number, "seq").join(
-        change_sets.select("seq", "change_set_id").distinct(), "seq", "left")
+        shuffled(change_sets.select("seq", "change_set_id").distinct(), number or 0), "seq", "left")
     if apply_errors is not None:
         # A refused change set is no longer among the changes; its id follows from the root.
         refused = apply_errors.withColumnRenamed("change_set_id", "_refused")

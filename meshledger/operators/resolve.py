@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import absent_if_empty, key_part
 from meshledger.operators.attach import add_attached
-from meshledger.operators.carry import add_chunks, carry_forward
+from meshledger.operators.carry import BROADCAST_KEYS, add_chunks, carry_forward
 from meshledger.operators.flatten import is_placeholder
 from meshledger.operators.salts import heavy_keys, join_salted, shuffled
 from meshledger.registry import ALL, SEPARATOR, UNDEFINED, Shape
@@ -107,20 +107,20 @@ def _narrow(keyed: DataFrame, shape: Shape) -> DataFrame:
     return keyed.where(where).select(*columns)
 
 
-def _held_in_state(state: DataFrame, keys: DataFrame, references: dict[str, str]) -> DataFrame:
-    return state.join(keys, ["object_type", "object_key"], "left_semi").select(
+def _held_in_state(state: DataFrame, keys: DataFrame, references: dict[str, str], most: int) -> DataFrame:
+    return state.join(shuffled(keys, most), ["object_type", "object_key"], "left_semi").select(
         "object_type", "object_key", F.lit("").alias("seq"),
         *[F.col("ref_" + r).alias("own_" + n) for n, r in references.items()])
 
 
 def _latest(rows: DataFrame, names: tuple[str, ...], type_column: Column, key_column: Column,
-            state: DataFrame, references: dict[str, str], hot_rows: int | None, since: DataFrame | None) -> DataFrame:
+            state: DataFrame, references: dict[str, str], hot_rows: int | None, since: DataFrame | None, most: int) -> DataFrame:
     """Add ``real_x``: the parent seen in this row, else the real one the holder has, else the placeholder it has."""
     # Rows without a holder get a key of their own, so that they do not gather anywhere.
     marked = rows.withColumn("object_type", F.coalesce(type_column, F.lit(""))).withColumn(
         "object_key", F.coalesce(key_column, F.concat(F.lit(SEPARATOR), "seq")))
     keys = marked.where(F.col("object_type") != "").select("object_type", "object_key").distinct()
-    both = marked.unionByName(_held_in_state(state, keys, references), allowMissingColumns=True)
+    both = marked.unionByName(_held_in_state(state, keys, references, most), allowMissingColumns=True)
     seen = {"own_" + n: references[n] for n in names} | {"blank_" + n: references[n] for n in names if n in KEPT}
     both, attached = add_attached(both, since, seen)
     both, chunked = add_chunks(both, ["object_type", "object_key"], "seq", hot_rows)
@@ -140,13 +140,17 @@ def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = N
         return None
     rows = _narrow(keyed, shape)
     if "platform" in shape.slots:
-        # One name may be on most devices.
-        rows = stage(rows) if hot_rows is not None else rows
-        heavy = None if hot_rows is None else heavy_keys(rows, ["platform_name"], hot_rows)
-        rows = join_salted(rows, named_platforms(keyed, state), ["platform_name"], heavy, "seq")
+        # One name may be on most devices; if the names are few, the devices are not shuffled by them.
+        named, number, heavy = named_platforms(keyed, state), 0, None
+        if hot_rows is not None:
+            named = stage(named)
+            number = named.count()
+            heavy = None if number <= BROADCAST_KEYS else heavy_keys(rows, ["platform_name"], hot_rows)
+            named = F.broadcast(named) if number <= BROADCAST_KEYS else named
+        rows = join_salted(rows, named, ["platform_name"], heavy, "seq", most=number)
         rows = rows.withColumn("own_platform", F.coalesce("named_platform", "own_platform"))
     if any(s in shape.slots for s in HOLDERS):
-        rows = _latest(rows, held, F.col("holder_type"), F.col("holder_key"), state, {h: h for h in held}, hot_rows, since)
+        rows = _latest(rows, held, F.col("holder_type"), F.col("holder_key"), state, {h: h for h in held}, hot_rows, since, keyed.count())
     else:
         rows = rows.select("*", *[F.col("own_" + n).alias("real_" + n) for n in held])
     found = held
@@ -155,7 +159,8 @@ def resolve_parents(keyed: DataFrame, state: DataFrame, hot_rows: int | None = N
                              F.when(F.col("want_cluster"), F.col("real_cluster")), F.col("cluster_key"))
         rows = rows.withColumn("cluster_key", F.when(F.col("cluster_key").isNotNull(), cluster))
         rows = _latest(rows, CLUSTER_HELD, F.when(F.col("cluster_key").isNotNull(), F.lit(CLUSTER)),
-                       F.col("cluster_key"), state, {"cluster_group": "group", "cluster_type": "type"}, hot_rows, since)
+                       F.col("cluster_key"), state, {"cluster_group": "group", "cluster_type": "type"}, hot_rows, since,
+                       keyed.count())
         found = (*held, *CLUSTER_HELD)
     new = {n: F.when(F.col("want_" + n), F.col("real_" + n)) for n in found}
     if "platform" in new:

@@ -28,6 +28,11 @@ def shuffled(side: DataFrame, most: int) -> DataFrame:
     return side.hint("merge") if most > BROADCAST_KEYS else side
 
 
+def few_or_shuffled(side: DataFrame, number: int) -> DataFrame:
+    """A join's side of ``number`` rows: few go to every task, and the other side moves nowhere; more never go through the driver."""
+    return F.broadcast(side) if number <= BROADCAST_KEYS else side.hint("merge")
+
+
 def heavy_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
     """(keys, number of salts) of the keys with more than ``hot_rows`` rows, None if there are none.
 
@@ -42,14 +47,15 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_
     return None if found.isEmpty() else found
 
 
-def join_salted(rows: DataFrame, side: DataFrame, keys: Sequence[str], heavy: DataFrame | None, *spread: str) -> DataFrame:
+def join_salted(rows: DataFrame, side: DataFrame, keys: Sequence[str], heavy: DataFrame | None, *spread: str,
+                most: int = 0) -> DataFrame:
     """Left join with a side that has at most one row per key. Rows of a heavy key go to its salts by the hash of
-    ``spread``, and its row of the side goes to each; a null key matches nothing."""
+    ``spread``, and its row of the side goes to each; a null key matches nothing. ``most``: how many rows the side may have."""
     keys = list(keys)
     if heavy is None:
-        return rows.join(side, keys, "left")
+        return rows.join(shuffled(side, most), keys, "left")
     salt = F.when(F.col(_SALTS).isNotNull(), F.pmod(F.xxhash64(*spread), F.col(_SALTS))).otherwise(0).cast("int")
     marked = rows.join(F.broadcast(heavy), keys, "left").withColumn(_SALT, salt).drop(_SALTS)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))
     copied = side.join(F.broadcast(heavy), keys, "left").withColumn(_SALT, copies).drop(_SALTS)
-    return marked.join(copied, [*keys, _SALT], "left").drop(_SALT)
+    return marked.join(shuffled(copied, most), [*keys, _SALT], "left").drop(_SALT)

@@ -65,7 +65,7 @@ def mark_known(attached: DataFrame, known: DataFrame, hot_rows: int | None = HOT
 def attached_tags(nodes: DataFrame, state: DataFrame, touched: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
     """Every (object, tag) with the place it was attached first, staged; None if the batch and its objects have no tags.
     ``touched`` is the state of the batch's objects."""
-    if nodes.where("tags IS NOT NULL").isEmpty() and touched.where("tags IS NOT NULL").isEmpty():
+    if nodes.where("tags IS NOT NULL").isEmpty() and (state.where("tags IS NOT NULL").isEmpty() or touched.where("tags IS NOT NULL").isEmpty()):
         return None
     links = tag_links(nodes)
     return stage(mark_known(first_attached(links, touched), first_seen_tags(links, state), hot_rows))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshledger.functions.scalars import key_part
+from meshledger.operators.salts import shuffled
 from meshledger.registry import SLOTS, TAG_TYPE, Shape
-from meshledger.session import stage
+from meshledger.session import release, stage
 
 PLATFORM = "dcim.platform"
 #: Reference of a stored holder -> type of the parent, for parents that a root may take from the holder.
@@ -69,9 +70,11 @@ def touched_state(keyed: DataFrame, look_up, shape: Shape) -> DataFrame:
     found = [stage(look_up(asked))]
     rounds = 0 if not any(SLOTS[s].type.name in HOLDERS for s in shape.slots) else 2 if "vm" in shape.slots else 1
     for _ in range(rounds):
-        more = stage(held_keys(found[-1], shape).join(asked, ["object_type", LOOK], "left_anti"))
-        if more.isEmpty():
+        more = stage(held_keys(found[-1], shape).join(shuffled(asked, asked.count()), ["object_type", LOOK], "left_anti"))
+        none = more.isEmpty()
+        asked = asked.unionByName(more)
+        if none:
             break
         found.append(stage(look_up(more)))
-        asked = asked.unionByName(more)
+    release(keyed.sparkSession, asked)
     return reduce(DataFrame.unionByName, found)

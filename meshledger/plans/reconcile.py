@@ -11,12 +11,12 @@ from meshledger.operators.attach import attachments, by_object, digest
 from meshledger.operators.carry import HOT_ROWS
 from meshledger.operators.changes import assemble_change_sets, decide_noted, without_notes
 from meshledger.operators.flatten import (
-    add_keys, classify_roots, explode_entities, flatten, lay_out, number_copies,
+    add_keys, classify_roots, explode_entities, fill_slugs, flatten, lay_out, narrowed, number_copies, present_kinds, whole_entities,
 )
 from meshledger.operators.fold import fold_observations, state_of_batch
 from meshledger.operators.logs import build_log, request_errors, split_rejects
 from meshledger.operators.resolve import apply_resolution, resolve_parents
-from meshledger.operators.steady import split_steady
+from meshledger.operators.steady import split_steady, steady_keys
 from meshledger.operators.tags import attached_tags
 from meshledger.operators.touched import touched_state
 from meshledger.operators.validate import check_envelope
@@ -64,28 +64,32 @@ def find_changes(roots: DataFrame, state: DataFrame | Snapshot, hot_rows: int |
     state = touched_state(keyed, source_of(state).look_up, shape)
     assumed, known = None, (0, None)
     while True:
-        noted = stage(_changes_under(keyed, state, assumed, hot_rows, shape))
+        noted = _changes_under(keyed, state, assumed, hot_rows, shape)
         notes = noted.where(F.col("noted").isNotNull())
         found = None if notes.isEmpty() else stage(attachments(notes))
         seen = (0, None) if found is None else digest(found)
         if seen == known:
-            release(spark, keyed, *[x for x in (found, assumed) if x is not None])
+            release(spark, keyed, state, *[x for x in (found, assumed) if x is not None])
             return without_notes(noted)
         release(spark, noted, *([] if assumed is None else [assumed]))
         known, assumed = seen, by_object(found) if seen[0] else None
+        release(spark, *([] if found is None else [found]))
 
 
 def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None, hot_rows: int | None,
                    shape: Shape) -> DataFrame:
-    """Changes and notes if parents are attached as ``since`` says."""
+    """Changes and notes if parents are attached as ``since`` says, staged; what was staged on the way is deleted."""
     resolved = resolve_parents(keyed, state, limit_for(keyed, hot_rows), since, shape)
-    nodes = stage(flatten(apply_resolution(keyed, resolved, shape), shape=shape))
-    moving, quiet = split_steady(nodes, state, shape, hot_rows)
-    moving = stage(moving)
-    limit = limit_for(moving, hot_rows)
-    attached = attached_tags(moving, state, state_of_batch(state, moving), limit)
-    folded = fold_observations(moving, state, limit, since, shape, attached, moving.count())
-    return decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached, nodes.count())
+    nodes = stage(flatten(apply_resolution(keyed, resolved, shape), shape=shape, slugs=False))
+    steady = steady_keys(nodes, state, shape)
+    moving, quiet = split_steady(nodes, state, shape, hot_rows, steady)
+    moving = stage(fill_slugs(moving))
+    limit, number = limit_for(moving, hot_rows), moving.count()
+    attached = attached_tags(moving, state, state_of_batch(state, moving, number), limit)
+    folded = fold_observations(moving, state, limit, since, shape, attached, number)
+    noted = stage(decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached, nodes.count()))
+    release(keyed.sparkSession, nodes, steady, moving, *([] if attached is None else [attached]))
+    return noted
 
 
 def limit_for(staged: DataFrame, hot_rows: int | None) -> int | None:
@@ -105,7 +109,8 @@ def reconcile(requests: DataFrame, state: DataFrame | Snapshot, responses: DataF
     requests came before (see ``number_copies``).
 
     Roots are classified once and written; the changes, the log and the errors read them."""
-    checked = check_envelope(requests)
+    kinds = present_kinds(requests)
+    checked = check_envelope(requests.withColumn("entities", F.transform("entities", lambda e: narrowed(e, kinds))))
     good = number_copies(checked.where(F.col("request_error").isNull()).drop("request_error"), earlier)
     roots = stage(classify_roots(explode_entities(good)))
     taken = roots
@@ -117,5 +122,6 @@ def reconcile(requests: DataFrame, state: DataFrame | Snapshot, responses: DataF
     _, failed = split_rejects(good, errors)
     rejects = checked.where(F.col("request_error").isNotNull()).withColumn(
         "errors", F.array("request_error")).drop("request_error").unionByName(failed.drop("copy"))
+    rejects = rejects.withColumn("entities", whole_entities(F.col("entities"), rejects.schema["entities"].dataType))
     return Reconciled(changes, assemble_change_sets(changes), source_of(state).after(changes),
                       build_log(roots, changes, responses, roots.count()), errors.drop("copy"), rejects)

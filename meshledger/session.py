@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While it is set, the shuffle files of a query go when it ends. Else they stay until the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "meshledger", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks. On a cluster the job takes the session it is given."""
@@ -35,12 +40,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="meshledger-checkpoint-"))
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write once as Parquet beside the checkpoints and read back: cuts the lineage, survives lost
-    executors, and every later reader loads only the columns it needs."""
+    executors, and every later reader loads only the columns it needs. The shuffles behind it are not needed any more."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with dropped_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

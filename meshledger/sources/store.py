@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshledger.operators.apply import apply_changes
+from meshledger.operators.salts import shuffled
 from meshledger.operators.touched import LOOK, look_of
 from meshledger.sources.state import empty_state, state_schema
 
@@ -34,8 +35,9 @@ class FrameState:
         self.rows = rows
 
     def look_up(self, keys: DataFrame) -> DataFrame:
+        """``keys`` is staged."""
         rows = self.rows.withColumn(LOOK, look_of(F.col("object_type"), F.col("object_key")))
-        return rows.join(keys, ["object_type", LOOK], "left_semi").select(*self.rows.columns)
+        return rows.join(shuffled(keys, keys.count()), ["object_type", LOOK], "left_semi").select(*self.rows.columns)
 
     def after(self, changes: DataFrame) -> DataFrame:
         return apply_changes(self.rows, changes)
