@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshledger.catalog.observe import arrival, as_requests, entity, query, table
+from meshledger.catalog.observe import arrival, as_requests, entity, over_tasks, query, table
 from meshledger.functions.scalars import arrival_order, log_id
 from meshledger.operators.salts import dealt
 from meshledger.plans.reconcile import reconcile
@@ -33,7 +33,7 @@ SELECT event_id, state, 1 AS n FROM events, (VALUES ('RECONCILED'), ('NO_CHANGES
 def repeated_requests(spark, folder):
     """Every request comes twice, with one id and arrival time: the second finds nothing to change."""
     k = F.col("event_id")
-    once = as_requests(table(spark, folder, "events"), k, F.array(entity(site={
+    once = as_requests(over_tasks(table(spark, folder, "events").select("event_id", "event_type"), "event_id"), k, F.array(entity(site={
         "name": F.concat(F.lit("e"), k.cast("string")), "description": F.col("event_type")})))
     twice = once.unionAll(once)
     log = dealt(reconcile(twice, empty_state(spark)).log, twice.count(), "ingestion_ts")
