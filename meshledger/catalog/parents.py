@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshledger.catalog.jobs import device_state, union_states
-from meshledger.catalog.observe import arrival, as_requests, entity, query, table
+from meshledger.catalog.observe import arrival, as_requests, entity, only_if, over_tasks, query, table
 from meshledger.catalog.state import stored_rows, text
 from meshledger.functions.scalars import natural_key
 from meshledger.plans.reconcile import reconcile
@@ -15,24 +15,16 @@ from meshledger.sources.state import empty_state
 def late_platforms(spark, folder):
     """Every customer's new device is seen four times: bare, with ios, then with a serial (no customer divisible by 3)
     and eos (none that leaves 2), then with ios again."""
-    k = F.col("c_custkey")
-    site = {"name": F.col("n_name")}
+    k, step = F.col("c_custkey"), F.col("step")
     rest = k % 3
-    seen = [
-        {"name": F.col("c_name"), "site": site},
-        {"name": F.col("c_name"), "site": site, "platform": {"name": F.lit("ios")}},
-        {"name": F.col("c_name"), "site": site, "serial": F.when(rest != 0, text("c_custkey", "S")),
-         "platform": {"name": F.when(rest == 2, "").otherwise("eos")}},
-        {"name": F.col("c_name"), "site": site, "platform": {"name": F.lit("ios")}},
-    ]
     # A platform with a blank name would be a placeholder: the third one is left out where it is not meant.
-    bare = {"name": F.col("c_name"), "site": site, "serial": text("c_custkey", "S")}
-    entities = F.array(*[entity(device=d) for d in seen], entity(device=bare))
+    platform = only_if((step % 2 == 1) | ((step == 2) & (rest != 2)), "platform", {"name": F.when(step == 2, "eos").otherwise("ios")})
+    seen = entity(device={"name": F.col("c_name"), "site": {"name": F.col("n_name")}, "platform": platform,
+                          "serial": F.when((step == 2) & (rest != 0), text("c_custkey", "S"))})
     rows = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    steps = rows.select("c_custkey", F.posexplode(entities).alias("step", "seen")).where(
-        (F.col("step") < 2) | (F.col("step") == 3) | ((F.col("step") == 2) == (rest != 2)))
-    steps = steps.withColumn("step", F.when(F.col("step") == 4, 2).otherwise(F.col("step")))
-    return as_requests(steps, k * 4 + F.col("step"), F.array("seen"))
+    rows = over_tasks(rows.select("c_custkey", "c_name", "n_name"), "c_custkey")
+    steps = rows.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("step"))
+    return as_requests(steps, k * 4 + step, F.array(seen))
 
 
 def platform_state(spark, folder):

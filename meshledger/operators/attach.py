@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshledger.operators.carry import BROADCAST_KEYS
+from meshledger.operators.salts import few_or_shuffled
 from meshledger.session import stage
 
 #: Later than any place in arrival order.
@@ -54,7 +54,7 @@ def add_attached(rows: DataFrame, since: DataFrame | None, columns: Mapping[str,
     ``since`` is the result of :func:`by_object`; without it whatever is seen is attached."""
     if since is None:
         return rows, {c: c for c in columns}
-    joined = rows.join(F.broadcast(since) if since.count() <= BROADCAST_KEYS else since, ["object_type", "object_key"], "left")
+    joined = rows.join(few_or_shuffled(since, since.count()), ["object_type", "object_key"], "left")
 
     def attached(column: str, reference: str) -> Column:
         start = F.coalesce(F.col(SINCE)[reference], F.lit(""))
