@@ -25,6 +25,10 @@ from meshledger.session import release, stage
 from meshledger.sources.store import FrameState, Snapshot
 
 
+#: Batches with more nodes than this are decided in so many slices.
+SLICED_NODES, SLICES = 4_000_000, 4
+
+
 @dataclass(frozen=True)
 class Reconciled:
     changes: DataFrame      # one row per change, numbered inside its change set
@@ -87,8 +91,16 @@ def _changes_under(keyed: DataFrame, state: DataFrame, since: DataFrame | None,
     limit, number = limit_for(moving, hot_rows), moving.count()
     attached = attached_tags(moving, state, state_of_batch(state, moving, number), limit)
     folded = fold_observations(moving, state, limit, since, shape, attached, number)
-    noted = stage(decide_noted(folded.unionByName(quiet, allowMissingColumns=True), shape, attached, nodes.count()))
-    release(keyed.sparkSession, nodes, steady, moving, *([] if attached is None else [attached]))
+    folded, number, used = folded.unionByName(quiet, allowMissingColumns=True), nodes.count(), [nodes, steady, moving]
+    if number > SLICED_NODES:
+        # Large batches are decided a slice of the roots at a time: nodes with all they ask for take most room in the shuffle by root.
+        folded = stage(folded)
+        release(keyed.sparkSession, *used)
+        used, part = [folded], F.pmod(F.xxhash64("seq"), F.lit(SLICES))
+        noted = stage(*[decide_noted(folded.where(part == i), shape, attached, -(-number // SLICES)) for i in range(SLICES)])
+    else:
+        noted = stage(decide_noted(folded, shape, attached, number))
+    release(keyed.sparkSession, *used, *([] if attached is None else [attached]))
     return noted
 
 

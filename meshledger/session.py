@@ -50,13 +50,15 @@ def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, *more: DataFrame) -> DataFrame:
     """Write once as Parquet beside the checkpoints and read back: cuts the lineage, survives lost
-    executors, and every later reader loads only the columns it needs. The shuffles behind it are not needed any more."""
+    executors, and every later reader loads only the columns it needs. The shuffles behind it are not needed any more.
+    ``more`` tables with the same columns are written after it, one at a time, into the same one."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
     with dropped_shuffles(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        for part in (df, *more):
+            part.write.mode("append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
